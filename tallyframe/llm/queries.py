@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, urlfilter, warc
+from . import decontam, packing, pii, quality, simhash, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.references(docs))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,17 +50,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op5_pii, op6_quality, op9_warc_transactions, op10_url_rules)}
+    return {f.__name__: f for f in (op1_packing, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL}
+    return {"op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL}
 
 
 OP10_SQL = r"""
 with u as (
   select page_id,
-         lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)) as host,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) as path
   from pages),
 r(said, rhost, rpath) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
@@ -82,3 +90,19 @@ select page_id, payload_bytes, payload_digest,
        case when page_id <> top then top end as refers_to
 from m
 """
+
+OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+bi as (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0),
+g as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as gram from bi),
+di as (select doc_id, w, unnest(generate_series(1, len(w))) as i from d where len(w) > 0),
+dg as (select doc_id, len(w) as nw, i, s.n, array_to_string(w[i:i + s.n - 1], ' ') as gram from di, (select distinct n from g) s where i + s.n - 1 <= len(w)),
+hits as (select doc_id, i, dg.n, item_id from dg join g using (n, gram)),
+covered as (select distinct doc_id, unnest(generate_series(i, i + n - 1)) as p from hits),
+c as (select doc_id, count(*) as n_hit from covered group by 1),
+k as (select doc_id, count(distinct item_id) as n_items, sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) as items_sha256 from hits group by 1)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join k using (doc_id)
+"""

@@ -170,6 +170,7 @@ def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(pages, path, min_bytes=min_bytes)
     got = assemble(read_warc(spark, path, with_payload=False))
-    flat = got.select(F.col("metadata.page_id").alias("page_id"), F.col("capture.record_id").alias("id"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("to"), F.col("capture.payload_bytes").alias("bytes"), F.col("capture.payload_digest").alias("digest"))
-    firsts = flat.filter("record_type = 'response'").select(F.col("id").alias("to"), F.col("page_id").alias("to_page"), F.col("bytes").alias("to_bytes"), F.col("digest").alias("to_digest"))
-    return flat.join(firsts, "to", "left").select("page_id", F.coalesce("bytes", "to_bytes").alias("payload_bytes"), F.coalesce("digest", "to_digest").alias("payload_digest"), "record_type", F.col("to_page").alias("refers_to"))
+    flat = got.select(F.col("metadata.page_id").alias("page_id"), F.col("capture.record_id").alias("id"), F.col("capture.record_type").alias("record_type"), F.coalesce("capture.refers_to", "capture.record_id").alias("to"))
+    # a response names itself here, so that no key stands for all of them
+    firsts = got.filter("capture.record_type = 'response'").select(F.col("capture.record_id").alias("to"), F.col("metadata.page_id").alias("to_page"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"))
+    return flat.join(firsts, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("id") != F.col("to"), F.col("to_page")).alias("refers_to"))
