@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, packing, pii, quality, simhash, urlfilter, warc
+from . import decontam, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def piece_vocabulary_path() -> str:
     return tokenizer_path("piece_bpe_32k.model")
 
@@ -58,7 +62,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op3_lattice_lm, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
