@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
+from . import decontam, licenses, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), piece_vocabulary_path)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -62,11 +66,11 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL}
+    return {"op4_license_scan": op4_sql(), "op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL}
 
 
 OP10_SQL = r"""
@@ -118,3 +122,27 @@ select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0) as n_h
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c using (doc_id) left join k using (doc_id)
 """
+
+
+def op4_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+    return OP4_SQL.replace("TEMPLATE_ROWS", rows)
+
+
+OP4_SQL = r"""
+with t0(template, license, text) as (values TEMPLATE_ROWS),
+t as (select template, license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from t0),
+ts as (select template, license, len(w) - 1 as t_size from t),
+tb as (select template, g, count(*) as tn from (select template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t) group by all),
+p0 as (
+  select doc_id, unnest(string_split(text, chr(10))) as passage from documents
+  union all
+  select doc_id, x as passage from (select doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) as x from documents) where contains(x, chr(10))),
+p as (select doc_id, row_number() over () as pid, regexp_extract_all(translate(passage, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from p0),
+pb as (select doc_id, pid, len(w) - 1 as size, g, count(*) as n from (select doc_id, pid, w, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from p where len(w) between 2 and 130) group by all),
+m as (select doc_id, pid, template, 2.0::double * sum(least(n, tn))::bigint / (any_value(size) + any_value(t_size)) as dice
+      from pb join tb using (g) join ts using (template) group by doc_id, pid, template),
+b as (select doc_id, arg_min(license, (-dice, license)) as license, max(dice) as dice, count(distinct license) as n_licenses
+      from m join ts using (template) where dice >= 0.8 group by doc_id)
+select doc_id, license, coalesce(dice, 0.0::double) as dice, coalesce(n_licenses, 0) as n_licenses from documents left join b using (doc_id)
+"""
