@@ -38,31 +38,49 @@ from .common import crc_mod, written
 
 MARK = "▁"
 #: Held by every task: this many words with their counts and log probabilities.
-FREQUENT = 50_000
+FREQUENT = 150_000
 LANGUAGES = 6
-LONG_WORD = 48
+LONG_WORD = 32
 FLUSH_WORDS = 300_000
-BATCH_WORDS = 4_096
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Cells of the lattices that are summed at once.
+LATTICE_CELLS = 1 << 21
 #: Expected-count passes over the table of words, and the prior count that a piece keeps.
 PASSES, PRIOR = 2, 0.05
 LOG10 = math.log(10.0)
 
 
 class Vocabulary:
-    """Pieces with starting log weights: a Zipf law over the vocabulary's own ranks."""
+    """Pieces with starting log weights: a Zipf law over the vocabulary's own ranks.
+
+    Substrings are looked up by a 64-bit hash, in a sorted table for each length.
+    """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         usable = [(sp.id_to_piece(i), -sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and -sp.get_score(i) < 1e8]
-        self.index = {p: i for i, (p, _) in enumerate(usable)}
-        self.longest = max(map(len, self.index))
         self.byte, self.end = len(usable), len(usable) + 1
         self.size = len(usable) + 2
         rank = np.array([r for _, r in usable] + [len(usable), 1.0])
         weight = 1.0 / (rank + 10.0)
         self.start = np.log(weight / weight.sum())
+        by_length: dict[int, list[int]] = {}
+        for i, (p, _) in enumerate(usable):
+            by_length.setdefault(len(p), []).append(i)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, ids in by_length.items():
+            h = np.zeros(len(ids), np.uint64)
+            for c in code_points([usable[i][0] for i in ids], n).T:
+                h = h * HASH_BASE + c
+            order = np.argsort(h)
+            self.tables[n] = h[order], np.array(ids, np.int32)[order]
+
+
+def code_points(words: list[str], n: int) -> np.ndarray:
+    """(words, n): the code points of words of n characters."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64)
 
 
 @cache
@@ -70,76 +88,77 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _edges(words: list[str], v: Vocabulary) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
-    """Words by length: their numbers, the length, and for each (from, to) the pieces there.
-
-    A piece comes as (rows, pieces, bytes): bytes counts the byte pieces of a character that
-    has no piece of its own, else it is 0.
-    """
+def _lattices(words: list[str], v: Vocabulary) -> Iterator[tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]]:
+    """Words of one length at a time: their numbers; for each piece length the piece that
+    starts at each place (-1: none); and the UTF-8 bytes of each character."""
     groups: dict[int, list[int]] = {}
     for at, w in enumerate(words):
         groups.setdefault(len(w), []).append(at)
-    get, longest = v.index.get, v.longest
-    for n, rows in groups.items():
-        found: dict[tuple[int, int], tuple[list, list, list]] = {}
-        for row, at in enumerate(rows):
-            w = words[at]
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    piece = get(w[i:j])
-                    if piece is None:
-                        if j > i + 1:
-                            continue
-                        piece, size = v.byte, len(w[i].encode("utf-8", "replace"))
-                    else:
-                        size = 0
-                    x = found.setdefault((i, j), ([], [], []))
-                    x[0].append(row)
-                    x[1].append(piece)
-                    x[2].append(size)
-        yield np.array(rows), n, {k: tuple(np.array(a) for a in x) for k, x in found.items()}
+    for n, every in groups.items():
+        step = max(1, LATTICE_CELLS // (n * min(n, max(v.tables))))
+        for rows in (np.array(every[i : i + step]) for i in range(0, len(every), step)):
+            chars = code_points([words[i] for i in rows], n)
+            h = np.zeros_like(chars)
+            pieces = {}
+            for size in range(1, n + 1):
+                h = h[:, : n - size + 1] * HASH_BASE + chars[:, size - 1 :]
+                if size in v.tables:
+                    keys, ids = v.tables[size]
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    pieces[size] = np.where(keys[at] == h, ids[at], -1)
+            yield rows, pieces, 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
+
+
+def _weights(pieces: dict[int, np.ndarray], sizes: np.ndarray, logp: np.ndarray, v: Vocabulary) -> dict[int, np.ndarray]:
+    """Log weights of the edges; a character without a piece is its bytes, each a 256th of one."""
+    out = {n: np.where(p >= 0, logp[p], -np.inf) for n, p in pieces.items()}
+    out[1] = np.where(pieces[1] >= 0, out[1], sizes * (logp[v.byte] - math.log(256)))
+    return out
+
 
+def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    t = np.stack(terms)
+    top = t.max(axis=0)
+    return top + np.log(np.exp(t - top).sum(axis=0))
 
-def _weight(logp: np.ndarray, piece: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Log weights (edges, languages): a byte edge is its bytes, each a 256th of the piece."""
-    w = logp[:, piece].T
-    spelled = size > 0
-    return np.where(spelled[:, None], (w - math.log(256)) * np.maximum(size, 1)[:, None], w) if spelled.any() else w
+
+def _forward(w: dict[int, np.ndarray], n: int) -> list[np.ndarray]:
+    """alpha[j]: log probability of the first j characters over all their segmentations."""
+    alpha = [np.zeros(len(w[1]))]
+    for j in range(1, n + 1):
+        alpha.append(_log_sum([alpha[j - size] + w[size][:, j - size] for size in w if size <= j]))
+    return alpha
 
 
 def log_marginals(words: list[str], logp: np.ndarray, v: Vocabulary) -> np.ndarray:
     """(words, languages): log probability of each word over all its segmentations."""
     out = np.zeros((len(words), len(logp)))
-    for rows, n, edges in _edges(words, v):
-        out[rows] = _forward(len(rows), n, edges, logp)[:, n]
+    for rows, pieces, sizes in _lattices(words, v):
+        for k, lp in enumerate(logp):
+            out[rows, k] = _forward(_weights(pieces, sizes, lp, v), sizes.shape[1])[-1]
     return out
 
 
-def _forward(m: int, n: int, edges: dict, logp: np.ndarray) -> np.ndarray:
-    alpha = np.full((m, n + 1, len(logp)), -np.inf)
-    alpha[:, 0] = 0.0
-    for i, j in sorted(edges, key=lambda e: (e[1], e[0])):
-        r, piece, size = edges[i, j]
-        alpha[r, j] = np.logaddexp(alpha[r, j], alpha[r, i] + _weight(logp, piece, size))
-    return alpha
-
-
-def expected_counts(words: list[str], counts: np.ndarray, logp: np.ndarray, v: Vocabulary) -> np.ndarray:
+def expected_counts(words: list[str], counts: np.ndarray, lp: np.ndarray, v: Vocabulary) -> np.ndarray:
     """(languages, pieces): expected uses of each piece, given (words, languages) counts."""
-    total = np.zeros((len(logp), v.size))
-    for rows, n, edges in _edges(words, v):
-        m = len(rows)
-        alpha = _forward(m, n, edges, logp)
-        beta = np.full_like(alpha, -np.inf)
-        beta[:, n] = 0.0
-        for i, j in sorted(edges, key=lambda e: (-e[0], -e[1])):
-            r, piece, size = edges[i, j]
-            w = _weight(logp, piece, size)
-            post = np.exp(alpha[r, i] + w + beta[r, j] - alpha[r, n]) * counts[rows[r]]
-            times = np.maximum(size, 1)[:, None]
-            for k in range(len(logp)):
-                total[k] += np.bincount(piece, weights=(post * times)[:, k], minlength=v.size)
-            beta[r, i] = np.logaddexp(beta[r, i], beta[r, j] + w)
+    total = np.zeros((counts.shape[1], v.size))
+    for rows, pieces, sizes in _lattices(words, v):
+        n, w = sizes.shape[1], _weights(pieces, sizes, lp, v)
+        alpha = _forward(w, n)
+        beta = [np.zeros(len(rows))]  # beta[-1 - i]: of what follows the first i characters
+        for i in range(n - 1, -1, -1):
+            beta.append(_log_sum([beta[n - i - size] + w[size][:, i] for size in w if size <= n - i]))
+        beta.reverse()
+        for size, p in pieces.items():
+            at = np.stack(alpha[: n - size + 1], axis=1) + w[size] + np.stack(beta[size:], axis=1) - alpha[n][:, None]
+            uses = np.exp(at)
+            if size == 1:
+                spelled = p < 0
+                p, uses = np.where(spelled, v.byte, p), np.where(spelled, uses * sizes, uses)
+            row, place = np.nonzero(p >= 0)
+            piece, uses = p[row, place], uses[row, place]
+            for k in range(counts.shape[1]):
+                total[k] += np.bincount(piece, weights=uses * counts[rows[row], k], minlength=v.size)
     return total
 
 
@@ -194,12 +213,15 @@ def corpus_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
 def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path: Callable[[], str]) -> np.ndarray:
     """(languages, pieces) log probabilities from PASSES passes of expected counts.
 
-    What a task sends is a table of the fixed vocabulary, and so is what the driver gets.
+    The segmentations of a word are weighed by the pieces of all languages together, and its
+    expected pieces are counted for each language. What a task sends is a table of the fixed
+    vocabulary, and so is what the driver gets.
     """
     v = vocabulary(vocabulary_path())
-    logp = np.tile(v.start, (len(names), 1))
+    pooled = v.start
+    n = np.zeros((len(names), v.size))
     for _ in range(PASSES):
-        now = words.sparkSession.sparkContext.broadcast(logp)
+        now = words.sparkSession.sparkContext.broadcast(pooled)
 
         def run(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             voc = vocabulary(vocabulary_path())
@@ -209,22 +231,18 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
                 b, counts = b[counts.sum(axis=1) > 0], counts[counts.sum(axis=1) > 0]
                 total[:, voc.end] += counts[(b["word"] == "").to_numpy()].sum(axis=0)
                 cut = [(p, i) for i, w in enumerate(b["word"]) if w for p in parts(w)]
-                for at in range(0, len(cut), BATCH_WORDS):
-                    some = cut[at : at + BATCH_WORDS]
-                    total += expected_counts([p for p, _ in some], counts[[i for _, i in some]], now.value, voc)
+                total += expected_counts([p for p, _ in cut], counts[[i for _, i in cut]], now.value, voc) if cut else 0.0
             k, piece = np.nonzero(total)
             yield pd.DataFrame({"k": k, "piece": piece, "n": total[k, piece]})
 
-        got = words.mapInPandas(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).collect()
-        n = np.zeros_like(logp)
-        for r in got:
+        n[:] = 0.0
+        for r in words.mapInPandas(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).collect():
             n[r["k"], r["piece"]] = r["n"]
-        # each language leans on the pieces of all, and all on the vocabulary's own weights
         every = n.sum(axis=0) + PRIOR * v.size * np.exp(v.start)
-        every /= every.sum()
-        mixed = n + PRIOR * 1_000 * every
-        logp = np.log(mixed / mixed.sum(axis=1, keepdims=True))
-    return logp
+        pooled = np.log(every / every.sum())
+    # each language leans on the pieces of all, and all on the vocabulary's own weights
+    mixed = n + PRIOR * 1_000 * np.exp(pooled)
+    return np.log(mixed / mixed.sum(axis=1, keepdims=True))
 
 
 def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.ndarray, distinct: np.ndarray, vocabulary_path: Callable[[], str]) -> DataFrame:
@@ -241,9 +259,8 @@ def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.n
         for b in batches:
             lp = np.zeros((len(b), len(names)))
             cut = [(p, i) for i, w in enumerate(b["word"]) if w for p in parts(w)]
-            for at in range(0, len(cut), BATCH_WORDS):
-                some = cut[at : at + BATCH_WORDS]
-                np.add.at(lp, [i for _, i in some], log_marginals([p for p, _ in some], now.value, voc))
+            if cut:
+                np.add.at(lp, [i for _, i in cut], log_marginals([p for p, _ in cut], now.value, voc))
             lp[(b["word"] == "").to_numpy()] = now.value[:, voc.end]
             with np.errstate(divide="ignore"):
                 whole = np.log(known * b[names].to_numpy(float) / np.maximum(used, 1.0))
