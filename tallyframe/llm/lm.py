@@ -300,7 +300,7 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
         base, known = base_of(cs), cs > 0
         for b in batches:
             rows, rare = [], []
-            for row, text in zip(b["row"], b["text"], strict=True):
+            for row, doc_id, held, text in zip(b["row"], b["doc_id"], b["held_out"], b["text"], strict=True):
                 counts = Counter(words_of(text))
                 got, times = [], []
                 for w, n in counts.items():
@@ -311,27 +311,27 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
                         got.append(i)
                         times.append(n)
                 i, t = np.array(got, np.int64), np.array(times, float)
-                rows.append((row, sum(counts.values()) + 1, int(t[known[i]].sum()) + (end_c > 0), float(t @ base[i] + base_of(end_c)), *(t @ lp[i] + end_lp)))
+                rows.append((row, doc_id, held, sum(counts.values()) + 1, int(t[known[i]].sum()) + (end_c > 0), float(t @ base[i] + base_of(end_c)), *(t @ lp[i] + end_lp)))
                 if len(rare) >= 200_000:
                     yield pd.DataFrame(rare, columns=["row", "word", "n"])
                     rare = []
-            yield pd.DataFrame(rows, columns=["row", "n_tokens", "n_known", "base", *k_sums])
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", *k_sums])
             yield pd.DataFrame(rare, columns=["row", "word", "n"])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        types = {"n": "Int64", "n_tokens": "Int64", "n_known": "Int64"}
+        types = {"doc_id": "Int64", "held_out": "boolean", "n": "Int64", "n_tokens": "Int64", "n_known": "Int64"}
         for b in split(batches):
-            yield b.reindex(columns=["row", "word", "n", "n_tokens", "n_known", "base", *k_sums]).astype(types | {"word": object} | dict.fromkeys(("base", *k_sums), "float64"))
+            yield b.reindex(columns=["row", "doc_id", "held_out", "word", "n", "n_tokens", "n_known", "base", *k_sums]).astype(types | {"word": object} | dict.fromkeys(("base", *k_sums), "float64"))
 
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
-    schema = "row long, word string, n long, n_tokens long, n_known long, base double, " + ", ".join(f"{s} double" for s in k_sums)
-    cut = written(numbered.select("row", "text").mapInPandas(whole, schema), "document-words")
+    schema = "row long, doc_id long, held_out boolean, word string, n long, n_tokens long, n_known long, base double, " + ", ".join(f"{s} double" for s in k_sums)
+    cut = written(numbered.select("row", "doc_id", "held_out", "text").mapInPandas(whole, schema), "document-words")
     asked = cut.filter("word is not null").select("row", "word", "n").join(values, "word")
-    rare = asked.select("row", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (distinct + 1)))).alias("base"), *((F.col("n") * F.col(lps[i])).alias(s) for i, s in enumerate(k_sums)))
+    rare = asked.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (distinct + 1)))).alias("base"), *((F.col("n") * F.col(lps[i])).alias(s) for i, s in enumerate(k_sums)))
     both = rare.unionByName(cut.filter("word is null").select(*rare.columns))
-    sums_of = both.groupBy("row").agg(*(F.sum(x).alias(x) for x in rare.columns[1:]))
+    # a document has one row with its id, and one for each rarer word
+    sums_of = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in rare.columns[3:]))
     terms = [F.col(s) + float(w) for s, w in zip(k_sums, log_share, strict=True)]
     most = F.greatest(*terms) if len(terms) > 1 else terms[0]
     total = (most + F.log(sum((F.exp(t - most) for t in terms[1:]), F.exp(terms[0] - most)))) / LOG10
-    ids = numbered.select("row", "doc_id", "held_out")
-    return ids.join(sums_of, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score"))
+    return sums_of.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import shared_path, written
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -65,18 +65,25 @@ def _record(kind: str, headers: list[Column], block: Column) -> Column:
 def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes one transaction (three records) for each row of pages(page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    seen = pages.select("page_id", "url", html.alias("html"), F.monotonically_increasing_id().alias("row")).withColumn("digest", base32_of_hex(F.sha1(F.col("html").cast("binary"))))
-    # of each payload the largest page id, how many rows have it, and one of those rows
-    small = seen.filter(F.octet_length("html") >= min_bytes).select("digest", F.coalesce("page_id", F.lit(-(2**63))).alias("id"), "row")
-    per_id = small.groupBy("digest", "id").agg(F.count("*").alias("same"), F.min("row").alias("first"))
-    kept = per_id.groupBy("digest").agg(F.max(F.struct("id", "same", "first")).alias("top"), F.sum("same").alias("rows")).filter("rows > 1").select("digest", "top")
+    seen = pages.select("page_id", "url", html.alias("html")).withColumn("digest", base32_of_hex(F.sha1(F.col("html").cast("binary"))))
+    # of each payload the largest page id, how many rows have it, and the least of their urls
+    small = seen.filter(F.octet_length("html") >= min_bytes).select("digest", F.coalesce("page_id", F.lit(-(2**63))).alias("id"), "url")
+    per_id = written(small.groupBy("digest", "id").agg(F.count("*").alias("same"), F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("first")), "warc-digests")
+    kept = per_id.groupBy("digest").agg(F.max(F.struct("id", "same", "first.url")).alias("top"), F.sum("same").alias("rows")).filter("rows > 1").select("digest", "top")
     all_ = seen.join(kept, "digest", "left")
-    is_top = F.col("top").isNull() | ((F.coalesce("page_id", F.lit(-(2**63))) == F.col("top.id")) & ((F.col("top.same") == 1) | (F.col("row") == F.col("top.first"))))
+    is_last = F.col("top").isNull() | (F.coalesce("page_id", F.lit(-(2**63))) == F.col("top.id"))
+    tied = F.coalesce(is_last & (F.col("top.same") > 1), F.lit(False))
+    all_ = all_.withColumn("is_top", is_last)
+    if not per_id.filter("same > 1").isEmpty():
+        # repeated rows of one page: counted, and one of the first url's copies is the response
+        copies = all_.filter(tied).groupBy("page_id", "url", "html", "digest", "top").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        marked = copies.withColumn("is_top", (F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("top.url")))
+        all_ = all_.filter(~tied).unionByName(marked.select(*all_.columns))
     # the id of a kept response follows from its payload, so that a revisit can name it
     kept_id = _urn(F.lit("kept"), F.col("digest"))
-    own_id = F.when(F.col("top").isNotNull() & is_top, kept_id).otherwise(_urn(F.lit("own"), F.col("page_id"), F.col("digest"), F.col("row")))
+    own_id = F.when(F.col("top").isNotNull() & F.col("is_top"), kept_id).otherwise(_urn(F.lit("own"), F.col("page_id"), F.col("digest"), F.monotonically_increasing_id()))
     safe = F.regexp_replace("url", "[\\x00-\\x20\\x7f]", "%20")
-    rows = all_.select("page_id", "html", "digest", safe.alias("uri"), own_id.alias("id"), is_top.alias("is_top"), kept_id.alias("kept_id"))
+    rows = all_.select("page_id", "html", "digest", safe.alias("uri"), own_id.alias("id"), "is_top", kept_id.alias("kept_id"))
     named = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     about = [named("WARC-Date", F.lit(date)), named("WARC-Target-URI", F.col("uri"))]  # concat_ws leaves out nulls
     about_page = [named("WARC-Record-ID", F.col("id")), *about, named("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.lit("Content-Type: application/http;msgtype=response")]
