@@ -21,11 +21,15 @@ SQL: dict[str, str] = {}
 AS_OF = "2001-08-01 20:00:00"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, money: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Registers a query and its SQL. Columns named in money leave both engines as doubles."""
+
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("double") for c in money})) if money else f
         if sql is not None:
-            SQL[f.__name__] = BASE + sql
+            head, _, last = sql.rpartition("--result\n")
+            kept = ", ".join(f"{c}::double as {c}" for c in money)
+            SQL[f.__name__] = BASE + head + (f"select * replace ({kept}) from ({last})" if money else last)
         return f
 
     return register
@@ -150,14 +154,14 @@ def _exceptions(numbered: DataFrame) -> DataFrame:
 # --- pairs and layers ---------------------------------------------------------------------
 
 
-@query("""select status, match_layer, count(*) as n, sum(gateway_amount)::decimal(38,2) as gateway_amount from feed group by 1, 2""")
+@query("""select status, match_layer, count(*) as n, sum(gateway_amount)::decimal(38,2) as gateway_amount from feed group by 1, 2""", money=("gateway_amount",))
 def recon_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums by status and layer: the whole engine end to end."""
     rows = reads.feed(_results(spark, d), _rec(spark, d))
     return rows.groupBy("status", "match_layer").agg(F.count("*").alias("n"), F.sum("gateway_amount").cast("decimal(38,2)").alias("gateway_amount"))
 
 
-@query("select txn_id, currency, g_row_id, l_row_id, dt_us, d_amount from cand")
+@query("select txn_id, currency, g_row_id, l_row_id, dt_us, d_amount from cand", money=("d_amount",))
 def pair_candidates(spark: SparkSession, d: str) -> DataFrame:
     return matching.candidates(_rec(spark, d)).select("txn_id", "currency", "g_row_id", "l_row_id", "dt_us", F.col("d_amount").cast("decimal(19,2)").alias("d_amount"))
 
@@ -173,7 +177,7 @@ def _layer(name: str) -> None:
 
     n = matching.LAYER_OF_RANK.index(name) + 1
     run.__name__ = f"layer{n}_{name}"
-    query(f"select txn_id, currency, g_row_id, l_row_id, g_amount, l_amount, dt_us from pairs where match_layer = '{name}'")(run)
+    query(f"select txn_id, currency, g_row_id, l_row_id, g_amount, l_amount, dt_us from pairs where match_layer = '{name}'", money=("g_amount", "l_amount"))(run)
 
 
 for _name in matching.LAYER_OF_RANK:
@@ -196,7 +200,7 @@ for _name in ("gateway", "ledger"):
 # --- receipts -----------------------------------------------------------------------------
 
 
-@query("select side, row_id, idempotency_key, txn_id, amount, currency, occurred_at, received_at, submissions from rec")
+@query("select side, row_id, idempotency_key, txn_id, amount, currency, occurred_at, received_at, submissions from rec", money=("amount",))
 def first_receipts(spark: SparkSession, d: str) -> DataFrame:
     return _rec(spark, d)
 
@@ -253,7 +257,7 @@ def ledger_batches(spark: SparkSession, d: str) -> DataFrame:
 # --- scalars and notes --------------------------------------------------------------------
 
 
-@query("select row_id, greatest(abs(amount) * 0.01, 10.0)::decimal(22,4) as tolerance from rec where side = 'gateway'")
+@query("select row_id, greatest(abs(amount) * 0.01, 10.0)::decimal(22,4) as tolerance from rec where side = 'gateway'", money=("tolerance",))
 def tolerance(spark: SparkSession, d: str) -> DataFrame:
     return _rec(spark, d).filter("side = 'gateway'").select("row_id", money.tolerance(F.col("amount")).cast("decimal(22,4)").alias("tolerance"))
 
@@ -273,7 +277,7 @@ def result_notes(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d).select("gateway_id", "ledger_id", "notes")
 
 
-@query("select gateway_id, ledger_id, skew_ms, amount_delta from feed")
+@query("select gateway_id, ledger_id, skew_ms, amount_delta from feed", money=("amount_delta",))
 def skew_and_delta(spark: SparkSession, d: str) -> DataFrame:
     return reads.feed(_results(spark, d), _rec(spark, d)).select("gateway_id", "ledger_id", "skew_ms", "amount_delta")
 
@@ -379,7 +383,7 @@ def closure_outcomes(spark: SparkSession, d: str) -> DataFrame:
 # --- read path ----------------------------------------------------------------------------
 
 
-@query("select * from feed")
+@query("select * from feed", money=("gateway_amount", "ledger_amount", "amount_delta"))
 def result_feed(spark: SparkSession, d: str) -> DataFrame:
     return _feed(spark, d)
 
@@ -397,13 +401,13 @@ def feed_pages(spark: SparkSession, d: str) -> DataFrame:
     return reads.page_numbers(_numbered(spark, d), 50).select("id", "page")
 
 
-@query("select id, txn_id, gateway_amount, ledger_amount from feed where status = 'amount_drift' order by id desc limit 101")
+@query("select id, txn_id, gateway_amount, ledger_amount from feed where status = 'amount_drift' order by id desc limit 101", money=("gateway_amount", "ledger_amount"))
 def status_filter(spark: SparkSession, d: str) -> DataFrame:
     return reads.page(_feed(spark, d), 100, status="amount_drift").select("id", "txn_id", "gateway_amount", "ledger_amount")
 
 
 @query("""select e.id, e.result_id, e.opened_at, e.closed_at, e.resolution_notes, f.status, f.txn_id, f.currency, f.gateway_amount, f.ledger_amount, f.skew_ms, f.amount_delta
-from exc2 e join feed f on f.id = e.result_id where e.closed_at is null""")
+from exc2 e join feed f on f.id = e.result_id where e.closed_at is null""", money=("gateway_amount", "ledger_amount", "amount_delta"))
 def exception_feed(spark: SparkSession, d: str) -> DataFrame:
     numbered = _numbered(spark, d)
     rows = reads.exception_feed(_exceptions(numbered), reads.feed(numbered, _rec(spark, d)), open_only=True)
@@ -529,7 +533,7 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), key.alias("idempotency_key"), F.to_json(body).alias("payload"))
 
 
-@query(_RAW_SQL + "select k, txn_id, amount::decimal(18,2) as amount, currency, (epoch_us(occurred_at::timestamptz)) as occurred_us from checked where reject_reason is null")
+@query(_RAW_SQL + "--result\nselect k, txn_id, amount::decimal(18,2) as amount, currency, (epoch_us(occurred_at::timestamptz)) as occurred_us from checked where reject_reason is null", money=("amount",))
 def validated_submissions(spark: SparkSession, d: str) -> DataFrame:
     rows = validate.validated(_raw(spark, d), "gateway").filter("reject_reason is null")
     return rows.select("k", "txn_id", F.col("amount_value").alias("amount"), "currency", F.unix_micros("occurred_value").alias("occurred_us"))
