@@ -78,7 +78,7 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     wide = len(headers) + 64
     schema = ", ".join(f"c{i} string" for i in range(wide))
     raw = spark.read.option("wholetext", "false").text(path).filter(~F.col("value").rlike(rf"^[\s{blank}]*$")).withColumn("n", F.monotonically_increasing_id())
-    parsed = raw.select("n", F.from_csv("value", F.lit(schema), {"sep": delimiter, "ignoreLeadingWhiteSpace": "false", "nullValue": "\0", "emptyValue": "", "mode": "PERMISSIVE"}).alias("r"), _width("value", delimiter).alias("width"))
+    parsed = raw.select("n", F.from_csv("value", F.lit(schema), {"sep": delimiter, "ignoreLeadingWhiteSpace": "false", "nullValue": "\0", "emptyValue": "", "escape": '"', "mode": "PERMISSIVE"}).alias("r"), _width("value", delimiter).alias("width"))
     cells = F.array(*(F.coalesce(F.col("r")[f"c{i}"], F.lit("")) for i in range(len(headers))))
     return parsed.filter("n > 0").select((F.col("n") + 1).alias("line"), cells.alias("cells"), (F.col("width") != len(headers)).alias("ragged")), headers
 
