@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PAGE_LIMIT, PAGE_LIMIT_MAX, STATS_WINDOWS, STATUSES
+from ..functions.order import row_numbers
 from ..functions.times import diff_us, whole_ms
 
 
@@ -43,8 +44,7 @@ def page(rows: DataFrame, limit: int = PAGE_LIMIT, cursor: int | None = None, st
 def page_numbers(rows: DataFrame, limit: int) -> DataFrame:
     """The page that each row stands on in a whole walk, newest first."""
     checked_page(limit)
-    n = F.row_number().over(Window.orderBy(F.desc("id"))) - 1
-    return rows.withColumn("page", F.floor(n / limit).cast("long"))
+    return row_numbers(rows, [F.desc("id")], "n").withColumn("page", F.floor((F.col("n") - 1) / limit).cast("long")).drop("n")
 
 
 def exception_feed(exceptions: DataFrame, enriched: DataFrame, open_only: bool | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EXCEPTION_STATUSES, MatchConfig
+from ..functions.order import row_numbers
 from ..functions.text import match_notes, unmatched_notes
 from ..functions.times import add_us, diff_us, match_latency_ms
 from . import matching, receipts as receipt_ops
@@ -83,9 +84,8 @@ def reconcile(submissions: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT,
 
 
 def numbered(results: DataFrame) -> DataFrame:
-    """Results with ids in the order of decision. This orders all results: for reports."""
-    w = Window.orderBy("resolved_at", "status", "gateway_id", "ledger_id")
-    return results.withColumn("id", F.row_number().over(w).cast("long"))
+    """Results with ids, 1 .. n, in the order of decision."""
+    return row_numbers(results, ["resolved_at", "status", "gateway_id", "ledger_id"], "id")
 
 
 def exceptions(results: DataFrame) -> DataFrame:
