@@ -38,17 +38,16 @@ CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records in one archive file at most; an archive file is one row for its reader.
 RECORDS_PER_FILE = 6_000
+#: Repeated payloads (digests of 40 bytes with an id and a url) that are broadcast at most.
+BROADCAST_DIGESTS = 100_000
 RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, content_type string, declared_digest string, page_id long, payload_bytes long, payload_digest string, payload binary"
 
 
 def base32_of_hex(hex40: Column) -> Column:
     """Upper-case base32 of 40 hexadecimal digits: each 5 of these are 4 of those."""
-    out = []
-    for i in range(8):
-        bits = F.conv(F.substring(hex40, 5 * i + 1, 5), 16, 10).cast("int")
-        for shift in (15, 10, 5, 0):
-            out.append(F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*out)
+    fives = F.transform(F.sequence(F.lit(1), F.lit(36), F.lit(5)), lambda at: F.conv(F.substring(hex40, at, F.lit(5)), 16, 10).cast("int"))
+    places = F.flatten(F.transform(fives, lambda x: F.array(*(F.shiftright(x, n).bitwiseAND(31) for n in (15, 10, 5, 0)))))
+    return F.array_join(F.transform(places, lambda n: F.substring(F.lit(BASE32), n + 1, F.lit(1))), "")
 
 
 def _urn(*parts: Column) -> Column:
@@ -65,11 +64,14 @@ def _record(kind: str, headers: list[Column], block: Column) -> Column:
 def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes one transaction (three records) for each row of pages(page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    seen = pages.select("page_id", "url", html.alias("html")).withColumn("digest", base32_of_hex(F.sha1(F.col("html").cast("binary"))))
+    seen = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # of each payload the largest page id, how many rows have it, and the least of their urls
     small = seen.filter(F.octet_length("html") >= min_bytes).select("digest", F.coalesce("page_id", F.lit(-(2**63))).alias("id"), "url")
     per_id = written(small.groupBy("digest", "id").agg(F.count("*").alias("same"), F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("first")), "warc-digests")
     kept = per_id.groupBy("digest").agg(F.max(F.struct("id", "same", "first.url")).alias("top"), F.sum("same").alias("rows")).filter("rows > 1").select("digest", "top")
+    kept = written(kept, "warc-repeated")
+    if kept.count() <= BROADCAST_DIGESTS:  # else joined by a shuffle of the pages
+        kept = F.broadcast(kept)
     all_ = seen.join(kept, "digest", "left")
     is_last = F.col("top").isNull() | (F.coalesce("page_id", F.lit(-(2**63))) == F.col("top.id"))
     tied = F.coalesce(is_last & (F.col("top.same") > 1), F.lit(False))
@@ -86,7 +88,7 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "
     rows = all_.select("page_id", "html", "digest", safe.alias("uri"), own_id.alias("id"), "is_top", kept_id.alias("kept_id"))
     named = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     about = [named("WARC-Date", F.lit(date)), named("WARC-Target-URI", F.col("uri"))]  # concat_ws leaves out nulls
-    about_page = [named("WARC-Record-ID", F.col("id")), *about, named("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.lit("Content-Type: application/http;msgtype=response")]
+    about_page = [named("WARC-Record-ID", F.col("id")), *about, named("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("digest")))), F.lit("Content-Type: application/http;msgtype=response")]
     n = F.octet_length("html").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), n, F.lit(CRLF + CRLF))
     page = F.when(F.col("is_top"), _record("response", about_page, F.concat(http, F.col("html")))).otherwise(
