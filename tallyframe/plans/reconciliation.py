@@ -676,6 +676,74 @@ def text_forms(spark: SparkSession, d: str) -> DataFrame:
     return feeds._planned(spark.read.parquet(f"{d}/orders.parquet")).select("k", money.to_decimal_string(minor).alias("decimal_text"), money.format_minor(minor).alias("grouped"), times.format_timestamp(F.col("at")).alias("stamp"), times.format_clock(F.col("at")).alias("clock"))
 
 
+@query(_CELLS_SQL + """select txn_id, (amount_minor / 100.0)::decimal(18,2)::varchar as amount, currency, strftime(make_timestamp(occurred_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') as occurred_at, idempotency_key[1:128] as gateway_ref
+from n3 where reject_reason is null""")
+def gateway_payloads(spark: SparkSession, d: str) -> DataFrame:
+    return csvfile.gateway_payload(csvfile.accepted(_coerced(spark, d)))
+
+
+@query("""select k, k::varchar || case when k < 1000 then 'ms' else '' end as probe, (k * 7 / 100.0)::decimal(20,2)::varchar || '%' as percent,
+case when k * 97 < 1024 then (k * 97)::varchar || ' B' when k * 97 < 1048576 then (k * 97 / 1024.0)::decimal(20,6)::decimal(20,1)::varchar || ' KB' else (k * 97 / 1048576.0)::decimal(20,6)::decimal(20,1)::varchar || ' MB' end as bytes,
+'reason' || case when k % 3 = 0 then '' else ' — note ' || k end as resolution from o""")
+def label_forms(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k")).select(
+        "k", F.concat(k.cast("string"), F.when(k < 1000, "ms").otherwise("")).alias("probe"), text.format_percent(k * F.lit("0.0007").cast("decimal(5,4)")).alias("percent"), text.format_bytes(k * 97).alias("bytes"),
+        text.resolution_text(F.lit("reason"), F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit(" note "), k.cast("string")))).alias("resolution"),
+    )
+
+
+@query("select k, (planned * 1.0055)::decimal(18,2) as amount from o", money=("amount",))
+def half_up_amounts(spark: SparkSession, d: str) -> DataFrame:
+    rows = feeds._planned(spark.read.parquet(f"{d}/orders.parquet"))
+    return rows.select("k", money.half_up(F.col("planned") * F.lit("1.0055").cast("decimal(5,4)")).alias("amount"))
+
+
+@query("select side, row_id, submissions from pend")
+def pending_receipts(spark: SparkSession, d: str) -> DataFrame:
+    rec = _rec(spark, d)
+    return results.pending(rec, matching.assign(matching.classified(rec))).select("side", "row_id", "submissions")
+
+
+@query("select e.id, e.closed_at, e.resolution_notes, f.txn_id, f.status from exc2 e join feed f on f.id = e.result_id where e.closed_at is not null")
+def closed_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    numbered = _numbered(spark, d)
+    rows = reads.exception_feed(_exceptions(numbered), reads.feed(numbered, _rec(spark, d)), open_only=False)
+    return rows.select("id", "closed_at", "resolution_notes", "txn_id", "status")
+
+
+@query("select f.id, f.status, f.txn_id, e.id as exception_id, e.closed_at from feed f left join exc2 e on e.result_id = f.id")
+def feed_with_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    numbered = _numbered(spark, d)
+    exc = _exceptions(numbered).select(F.col("id").alias("exception_id"), "result_id", "closed_at")
+    rows = reads.feed(numbered, _rec(spark, d))
+    return rows.join(exc, rows["id"] == exc["result_id"], "left").select("id", "status", "txn_id", "exception_id", "closed_at")
+
+
+def stream_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The contested feed through the streaming matcher, in two arrivals cut in time."""
+    import uuid
+
+    from ..functions.order import ensure_checkpoints
+    from ..schemas import SUBMISSION
+    from ..streaming import matcher
+
+    ensure_checkpoints(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    rows = feeds.contested(spark.read.parquet(f"{d}/orders.parquet"))
+    cut = F.lit("2024-01-14 00:00:00").cast("timestamp_ntz")
+    for part in (rows.filter(F.col("received_at") < cut), rows.filter(F.col("received_at") >= cut)):
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        matcher.run_available(spark, f"{at}/in", SUBMISSION, f"{at}/out", f"{at}/checkpoints")
+    found = matcher.streamed_results(spark, f"{at}/out")
+    return found.filter("gateway_id is not null and ledger_id is not null").select("gateway_id", "ledger_id")
+
+
+QUERIES["stream_matches"] = stream_matches
+SQL["stream_matches"] = "select g_row_id as gateway_id, l_row_id as ledger_id from (" + SQL["assign_contested"] + ")"
+
+
 def flagship(spark: SparkSession, d: str, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """Counts by status and layer of everything that the engine decides."""
     return recon_summary(spark, d)
