@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, written
 
 MARK = "▁"
-#: Held by every task: this many words with their counts and log probabilities.
-FREQUENT = 150_000
+#: Held by every task: at most this many words with their counts and log probabilities.
+FREQUENT = 100_000
 LANGUAGES = 6
 LONG_WORD = 32
 FLUSH_WORDS = 300_000
@@ -288,7 +288,16 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
     base_of = lambda count: np.log10((count + 0.5) / (n_train + 0.5 * (distinct + 1)))
 
     lps = [f"lp_{i}" for i in range(len(names))]
-    top = values.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # a fixed number of rows
+    # an eighth of an octave of counts to a bin, so a few hundred bins whatever the corpus
+    bins = values.filter("c > 0").groupBy(F.floor(F.log2("c") * 8).cast("int").alias("bin")).count().collect()
+    least, room = None, FREQUENT
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["bin"]
+    often = values.filter((F.col("c") > 0) & (F.floor(F.log2("c") * 8) >= least)) if least is not None else values.limit(0)
+    top = often.collect()  # FREQUENT rows at most
     frequent = spark.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64), np.array([[r[x] for x in lps] for r in top], float).reshape(len(top), len(names))))
     end = values.filter("word = ''").first()
     end_c, end_lp = (end["c"], np.array([end[x] for x in lps])) if end else (0, np.full(len(names), math.log(0.5)))

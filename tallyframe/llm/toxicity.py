@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
 1. Terms. Labelled training documents give terms (words and word beginnings) that are far
-   more frequent in toxic ones. This fit sees at most ``MAX_LABELLED`` labelled rows, the
-   first by hash of their id; the bound is part of the method.
+   more frequent in toxic ones. This fit sees about ``MAX_LABELLED`` labelled rows at
+   most, chosen by a hash of their id; the bound is part of the method.
 2. Voters. The terms, strongest first, are dealt in turn to ``LEXICONS`` lexicon voters; pattern voters
    look at insult frames, density of terms, shouting and symbol noise. Each votes toxic or not.
 3. Label model. How often each pattern of votes occurs is counted over every document. An
@@ -63,9 +63,15 @@ def beginnings(word: str) -> list[str]:
 
 
 def labelled_sample(labels: DataFrame, max_rows: int = MAX_LABELLED, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, toxic of at most max_rows labelled documents outside the held-out fold."""
+    """doc_id, toxic of about max_rows labelled documents, or all, outside the held-out fold.
+
+    The rows whose id hashes below the share that is wanted: no sort, and the same rows each
+    time. The number varies by the root of max_rows only.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").filter(crc_mod("doc_id", folds) != held_out)
-    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    each = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = each.count()
+    return each if n <= max_rows else each.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(max_rows / n * (1 << 31)))
 
 
 def _document_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
