@@ -93,7 +93,8 @@ def shared_bytes(xor: np.ndarray) -> np.ndarray:
 
 def linked(xor: np.ndarray) -> np.ndarray:
     out = shared_bytes(xor) >= MIN_SHARED  # count filter
-    out[out] = np.bitwise_count(xor[out]) <= MAX_BITS  # verification
+    # verification; bitwise_count takes the absolute value of signed numbers
+    out[out] = np.bitwise_count(xor[out].view(np.uint64)) <= MAX_BITS
     return out
 
 
