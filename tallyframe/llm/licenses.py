@@ -92,7 +92,7 @@ def matches(docs: DataFrame, *, min_dice: float = MIN_DICE, texts: list[tuple[st
     """doc_id, text_key, license, template, dice for every passage that reaches min_dice."""
     known = templates(docs.sparkSession, min_dice, texts)
     largest = max((max(size_bounds(r["t_size"], min_dice), default=0) for r in known.select("t_size").distinct().collect()), default=0)
-    # a passage of n words has at least 2n - 1 characters and its words at most one bigram less
+    # a bigram has three characters at least
     cut = passages(docs, id_col, text_col).filter(F.length("passage") >= 3)
     sized = cut.select("doc_id", "text_key", words_of(F.col("passage")).alias("w")).withColumn("size", F.size("w") - 1).filter((F.col("size") >= 1) & (F.col("size") <= largest))
     pairs = sized.join(F.broadcast(known), "size").withColumn("grams", bigrams("w")).filter(F.arrays_overlap("grams", "t_bigrams"))
