@@ -25,10 +25,13 @@ def duplicate_counts(submissions: DataFrame) -> DataFrame:
     return submissions.groupBy(*KEY).agg((F.count("*") - 1).alias("duplicate_count"))
 
 
-def duplicate_markers(receipts: DataFrame) -> DataFrame:
-    """A result for every key that was sent more than once; its row stays open to a match."""
+def duplicate_markers(receipts: DataFrame, *keep: str) -> DataFrame:
+    """A result for every key that was sent more than once; its row stays open to a match.
+
+    keep: further columns of the receipt.
+    """
     of = lambda side: F.when(F.col("side") == side, F.col("row_id"))
-    return receipts.filter("submissions > 1").select(of("gateway").alias("gateway_id"), of("ledger").alias("ledger_id"), F.lit("duplicate").alias("status"), F.lit("duplicate").alias("match_layer"), duplicate_notes(F.col("submissions")).alias("notes"))
+    return receipts.filter("submissions > 1").select(of("gateway").alias("gateway_id"), of("ledger").alias("ledger_id"), F.lit("duplicate").alias("status"), F.lit("duplicate").alias("match_layer"), duplicate_notes(F.col("submissions")).alias("notes"), *keep)
 
 
 def acks(submissions: DataFrame) -> DataFrame:

@@ -69,10 +69,8 @@ def sweep(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConf
 
 def duplicates(receipts: DataFrame) -> DataFrame:
     """Duplicate markers as results, decided when the row was first received."""
-    at = receipts.select("side", "row_id", "received_at")
-    marked = receipt_ops.duplicate_markers(receipts)
-    on = (F.col("row_id") == F.coalesce("gateway_id", "ledger_id")) & (F.col("side") == F.when(F.col("gateway_id").isNotNull(), "gateway").otherwise("ledger"))
-    return marked.join(at, on).select("gateway_id", "ledger_id", "status", "match_layer", F.col("received_at").alias("resolved_at"), F.lit(0).cast("long").alias("match_latency_ms"), "notes")
+    marked = receipt_ops.duplicate_markers(receipts, "received_at")
+    return marked.select("gateway_id", "ledger_id", "status", "match_layer", F.col("received_at").alias("resolved_at"), F.lit(0).cast("long").alias("match_latency_ms"), "notes")
 
 
 def reconcile(submissions: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT, mode: str = "arrived") -> DataFrame:
