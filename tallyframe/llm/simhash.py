@@ -186,12 +186,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest id.
+    return first_of_each(docs, written(near_duplicates(docs), "near-duplicates"))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of each group (root in found), with all its columns: the one with the smallest id.
 
     Documents are told apart by id and text hash. Null ids come last; of equal ids the
     smallest text hash stays, and of wholly repeated rows one.
     """
-    found = written(near_duplicates(docs), "near-duplicates")
     each = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
     judged = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
