@@ -4,7 +4,7 @@ A language reference is two histograms over every document of that language: sha
 character classes, and shares of its most common words (all other words are one more bin).
 A document is compared with each reference by Jensen-Shannon distance; the nearest one
 counts. Short documents are not judged by divergence (``MIN_CHARS``, ``MIN_WORDS``), since
-their histograms say little.
+their histograms say little, nor are documents whose own language has no reference.
 
 Counting the corpus is one pass that sends per-task sums of distinct words; judging is a
 second pass without a shuffle.
@@ -12,7 +12,7 @@ second pass without a shuffle.
 Defined results: null and empty texts have no words, so they fail the base rule; documents
 without a language are counted under the empty name; an empty table gives no rows;
 repeated rows and null ids are judged each by itself; a reference needs ``MIN_REFERENCE``
-words, and with no reference at all the verdict is that of the base rule.
+words, and without one for a document's language the verdict is that of the base rule.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -30,7 +30,6 @@ from .common import written
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "quote", "symbol", "bracket", "mark", "control", "other")
 SYMBOLS = "#*$%&|<>"
 COMMON_WORDS = 100
-LANGUAGES = 16
 MIN_REFERENCE = 1_000
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Largest Jensen-Shannon distances (base 2, 0 to 1), as floor + slope / sqrt(words): what
@@ -121,22 +120,29 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each of the most used languages: class shares, its common words, their shares.
+    """For each language with MIN_REFERENCE words: class shares, its common words, their shares.
 
-    The driver gets at most LANGUAGES x (COMMON_WORDS + classes) counts.
+    The driver gets at most COMMON_WORDS + classes counts a language.
     """
     plain = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = written(plain.mapInPandas(_count, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")), "quality-counts")
-    totals = counts.filter("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_REFERENCE).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = counts.filter("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("total")).filter(F.col("total") >= MIN_REFERENCE)
+    known = written(known, "quality-languages")
+    totals = known.orderBy(F.desc("total"), "lang").collect()
     classes: dict[str, np.ndarray] = {}
-    for lang, what, n in counts.filter((F.col("kind") == "c") & F.col("lang").isin([r[0] for r in totals])).select("lang", "what", "n").collect():
+    for lang, what, n in counts.filter("kind = 'c'").join(known, "lang").select("lang", "what", "n").collect():
         classes.setdefault(lang, np.zeros(len(CLASSES)))[CLASSES.index(what)] = n
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "what"))
+    # Spark keeps each task's first COMMON_WORDS of a language before the shuffle
+    common = counts.filter("kind = 'w'").withColumn("place", place).filter(F.col("place") <= COMMON_WORDS).join(known, "lang")
+    top: dict[str, list] = {}
+    for r in sorted(common.select("lang", "what", "n", "place").collect(), key=lambda r: r["place"]):
+        top.setdefault(r["lang"], []).append(r)
     out = {}
     for lang, total in totals:
-        top = counts.filter((F.col("kind") == "w") & (F.col("lang") == lang)).orderBy(F.desc("n"), "what").limit(COMMON_WORDS).collect()
-        shares = np.array([r["n"] for r in top] + [0], float)
+        shares = np.array([r["n"] for r in top[lang]] + [0], float)
         shares[-1] = total - shares.sum()
-        out[lang] = (classes[lang] / classes[lang].sum(), {r["what"].encode(): i for i, r in enumerate(top)}, shares / total)
+        out[lang] = (classes[lang] / classes[lang].sum(), {r["what"].encode(): i for i, r in enumerate(top[lang])}, shares / total)
     return out
 
 
@@ -159,14 +165,14 @@ def nearest(raw: bytes, words: list[bytes], refs: dict) -> tuple[str | None, flo
     return best
 
 
-def judge(docs: DataFrame, refs: dict, *, id_col: str = "doc_id", text_col: str = "text", class_limit: tuple[float, float] = CLASS_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
+def judge(docs: DataFrame, refs: dict, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", class_limit: tuple[float, float] = CLASS_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
     """One row per document: base counts, verdict, nearest language and both distances."""
     names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
                 text = text or ""
                 raw = text.encode("utf-8", "replace")
                 words = raw.split()
@@ -174,10 +180,10 @@ def judge(docs: DataFrame, refs: dict, *, id_col: str = "doc_id", text_col: str
                 blanks = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
                 failed = n < 20 or 100 * repeats > 30 * n
                 lang = by_class = by_word = None
-                if n >= MIN_WORDS and len(text) >= MIN_CHARS:
+                if own in refs and n >= MIN_WORDS and len(text) >= MIN_CHARS:
                     lang, by_class, by_word = nearest(raw, raw.lower().split(), refs)
                 kept = not failed and (lang is None or all(d <= floor + slope / n**0.5 for d, (floor, slope) in ((by_class, class_limit), (by_word, word_limit))))
                 rows.append((doc_id, n, len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dup_lines(text), repeats, failed, kept, lang, by_class, by_word))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "class_distance": "float64", "word_distance": "float64"})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, DIGEST_SCHEMA)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang")).mapInPandas(run, DIGEST_SCHEMA)

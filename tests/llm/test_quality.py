@@ -56,5 +56,18 @@ def test_strange_text_is_rejected_and_plain_text_kept(spark):
     assert got[1002]["base_failed"] and got[1002]["language"] is None
 
 
+def test_every_language_has_its_reference_and_rare_ones_are_not_judged_by_others(spark):
+    rng = random.Random(5)
+    vocab = {f"l{k:02}": ["".join(chr(97 + (k + rng.randrange(6)) % 26) for _ in range(4)) for _ in range(40)] for k in range(20)}
+    text = lambda k, n=120: " ".join(rng.choice(vocab[k]) for _ in range(n))
+    rows = [(100 * i + j, text(k), k) for i, k in enumerate(vocab) for j in range(12 if i < 18 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(docs)
+    assert sorted(refs) == sorted(vocab)[:18]
+    got = quality.judge(docs, refs).collect()
+    assert len(got) == len(rows) and all(r["kept"] for r in got)
+    assert all(r["language"] == (f"l{r['doc_id'] // 100:02}" if r["doc_id"] < 1800 else None) for r in got)
+
+
 def test_empty(spark, no_docs):
     assert quality.judge(no_docs, quality.references(no_docs)).count() == 0
