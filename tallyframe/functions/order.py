@@ -1,37 +1,53 @@
-"""Row numbers over a whole frame without gathering it in one task."""
+"""Row numbers and running totals over a whole frame without gathering it in one task."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .frames import fresh, shared_dir
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """Uses the session's own checkpoint folder; sets one only where there is none."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tallyframe-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def _placed(rows: DataFrame, order: list[Column | str], part: str, at: str) -> DataFrame:
+    """rows range partitioned and sorted, kept so by a checkpoint, with partition and place."""
+    ensure_checkpoints(rows.sparkSession)
+    kept = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    n = F.monotonically_increasing_id()
+    return kept.withColumns({part: F.shiftright(n, 33), at: n.bitwiseAND((1 << 33) - 1)})
+
+
+def _before(sizes: list[tuple], start: object) -> list[tuple]:
+    out, total = [], start
+    for part, size in sorted(sizes):
+        out.append((part, total))
+        total += size
+    return out
 
 
 def row_numbers(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """rows with name, 1 .. n in the given order, which must tell all rows apart.
 
-    The rows are range partitioned and sorted, and kept so by a checkpoint; a row's number is
-    its place in its partition plus the sizes of the partitions before, of which there are
-    only as many as partitions.
+    A row's number is its place in its range partition plus the sizes of the partitions
+    before, of which there are only as many as partitions.
     """
-    ensure_checkpoints(rows.sparkSession)
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    at = F.monotonically_increasing_id()
-    placed = placed.withColumns({"__part": F.shiftright(at, 33), "__at": at.bitwiseAND((1 << 33) - 1)})
-    sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
-    if not before:
-        return placed.withColumn(name, F.lit(0).cast("long")).drop("__part", "__at")
-    offsets = rows.sparkSession.createDataFrame(list(before.items()), "__part long, __before long")
-    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+    part, at, before = (fresh(rows, c) for c in ("part", "at", "before"))
+    placed = _placed(rows, order, part, at)
+    offsets = _before([(r[0], r[1]) for r in placed.groupBy(part).count().collect()], 0)
+    known = rows.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
+    return placed.join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(at) + 1).drop(part, at, before)
+
+
+def running_totals(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """rows with name, the sum of value (long) over all rows up to and with this one, in order."""
+    part, at, before = (fresh(rows, c) for c in ("part", "at", "before"))
+    placed = _placed(rows, [order], part, at)
+    offsets = _before([(r[0], r[1]) for r in placed.groupBy(part).agg(F.sum(value)).collect()], 0)
+    known = rows.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
+    here = F.sum(value).over(Window.partitionBy(part).orderBy(at))
+    return placed.withColumn(name, here).join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(name)).drop(part, at, before)

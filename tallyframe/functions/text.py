@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MatchConfig
 from .money import format_amount, tolerance_text
-from .times import format_skew
+from .times import format_skew, to_fixed
 
 
 def derive_key(side: Column, txn_id: Column, minor: Column, epoch_ms: Column, prefix: str = "") -> Column:
@@ -53,15 +53,14 @@ def difference_label(status: Column, gateway_amount: Column, ledger_amount: Colu
 
 
 def format_percent(share: Column, digits: int = 2) -> Column:
-    return F.concat(F.round((share * 100).cast("decimal(20,8)"), digits).cast(f"decimal(20,{digits})").cast("string"), F.lit("%"))
+    return F.concat(to_fixed(share.cast("double") * 100.0, digits), F.lit("%"))
 
 
 def format_bytes(n: Column) -> Column:
-    one = lambda v: F.round(v.cast("decimal(30,6)"), 1).cast("decimal(20,1)").cast("string")
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(one(n / 1024), F.lit(" KB"))).otherwise(F.concat(one(n / 1048576), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(to_fixed(n / 1024.0, 1), F.lit(" KB"))).otherwise(F.concat(to_fixed(n / 1048576.0, 1), F.lit(" MB")))
 
 
 def format_throughput(rows: Column, ms: Column) -> Column:
-    per_s = (rows.cast("double") * 1000 / F.when(ms > 0, ms)).cast("decimal(30,6)")
-    one = lambda v, d: F.round(v, d).cast(f"decimal(20,{d})").cast("string")
-    return F.when(F.coalesce(ms, F.lit(0)) <= 0, "—").when(per_s >= 1_000_000, F.concat(one(per_s / 1_000_000, 1), F.lit("M rows/s"))).when(per_s >= 1_000, F.concat(one(per_s / 1_000, 0), F.lit("k rows/s"))).otherwise(F.concat(one(per_s, 0), F.lit(" rows/s")))
+    per_s = rows.cast("double") * 1000.0 / F.when(ms > 0, ms)
+    whole = lambda v: F.floor(v + 0.5).cast("string")
+    return F.when(F.coalesce(ms, F.lit(0)) <= 0, "—").when(per_s >= 1_000_000, F.concat(to_fixed(per_s / 1_000_000.0, 1), F.lit("M rows/s"))).when(per_s >= 1_000, F.concat(whole(per_s / 1_000), F.lit("k rows/s"))).otherwise(F.concat(whole(per_s), F.lit(" rows/s")))

@@ -66,17 +66,24 @@ def iso_utc(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    return F.round(value, digits).cast(f"decimal(20,{digits})").cast("string")
+def to_fixed(value: Column, digits: int) -> Column:
+    """A double with so many decimals: rounded by its exact binary value, true ties upwards."""
+    v = F.abs(value.cast("double"))
+    # a tie needs a value that binary fractions of digits + 1 places can hold
+    held = v * 2.0 ** (digits + 1)
+    tie = (held == F.floor(held)) & (F.pmod(v * (2.0 * 10**digits), F.lit(2.0)) == 1.0)
+    up = ((F.floor(v * 10.0**digits) + 1).cast("decimal(20,0)") / F.lit(10**digits).cast("decimal(10,0)")).cast(f"decimal(20,{digits})").cast("string")
+    near = F.replace(F.format_number(v, digits), F.lit(","), F.lit(""))
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.when(tie, up).otherwise(near))
 
 
 def format_skew(ms: Column) -> Column:
     """Signed, in milliseconds, seconds or minutes, whichever reads best."""
-    size = F.abs(ms).cast("decimal(20,0)")
-    text = F.when(size < 1000, F.concat(F.abs(ms).cast("string"), F.lit("ms"))).when(size < 60_000, F.concat(_fixed(size / 1000, 2), F.lit("s"))).otherwise(F.concat(_fixed(size / 60_000, 1), F.lit("m")))
+    size = F.abs(ms)
+    text = F.when(size < 1000, F.concat(size.cast("string"), F.lit("ms"))).when(size < 60_000, F.concat(to_fixed(size / 1000.0, 2), F.lit("s"))).otherwise(F.concat(to_fixed(size / 60_000.0, 1), F.lit("m")))
     return F.concat(F.when(ms >= 0, "+").otherwise("-"), text)
 
 
 def format_duration(ms: Column) -> Column:
-    v = ms.cast("decimal(20,4)")
-    return F.when(v < 1, F.concat(_fixed(v, 2), F.lit("ms"))).when(v < 1000, F.concat(_fixed(v, 0), F.lit("ms"))).otherwise(F.concat(_fixed(v / 1000, 2), F.lit("s")))
+    v = ms.cast("double")
+    return F.when(v < 1, F.concat(to_fixed(v, 2), F.lit("ms"))).when(v < 1000, F.concat(F.floor(v + 0.5).cast("string"), F.lit("ms"))).otherwise(F.concat(to_fixed(v / 1000.0, 2), F.lit("s")))

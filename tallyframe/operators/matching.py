@@ -1,8 +1,9 @@
 """Matching: candidate pairs, the layered classifier, and greedy one-to-one assignment.
 
-The join is on (txn_id, currency) with the time window as its residual, so both sides are
-shuffled once on the pair of keys; the assignment groups by the same keys and needs no
-further exchange.
+The join is on (txn_id, currency) and a stretch of time, with the exact window as its
+residual, so that even one transaction with very many rows is spread over tasks. The
+assignment folds the edges of a group in one row where they are few, and takes them in
+rounds of joins where they are many.
 """
 
 from __future__ import annotations
@@ -11,12 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MatchConfig
+from ..functions.frames import written
 from ..functions.money import tolerance
-from ..functions.times import time_delta_us
+from ..functions.times import diff_us, time_delta_us
 
 GROUP = ("txn_id", "currency")
 _FACTS = ("row_id", "amount", "occurred_at", "received_at")
 LAYER_OF_RANK = ("exact", "time_drift", "amount_drift")
+#: A stretch of the time axis is this many drift windows long.
+WINDOWS_A_STRETCH = 10
+#: Edges of one transaction and currency that are folded in one row.
+FOLD_EDGES = 256
+#: Crowded groups (two short keys each) that are broadcast at most.
+BROADCAST_GROUPS = 100_000
 
 
 def side(receipts: DataFrame, name: str) -> DataFrame:
@@ -35,19 +43,29 @@ def layer_rank(g_amount: Column, l_amount: Column, dt_us: Column, cfg: MatchConf
     )
 
 
+def layer_name(rank: Column) -> Column:
+    return F.when(rank == 0, LAYER_OF_RANK[0]).when(rank == 1, LAYER_OF_RANK[1]).when(rank == 2, LAYER_OF_RANK[2])
+
+
 def candidates(receipts: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """Every gateway and ledger row of one transaction and currency within the drift window."""
-    near = F.timestamp_diff("MICROSECOND", "g_occurred_at", "l_occurred_at").between(-cfg.drift_window_us, cfg.drift_window_us)
-    g, led = side(receipts, "gateway"), side(receipts, "ledger")
-    joined = g.join(led, [*GROUP]).filter(near)
+    """Every gateway and ledger row of one transaction and currency within the drift window.
+
+    A ledger row stands in each stretch of time that its window touches: one, or two at an edge.
+    """
+    long = F.lit(max(1, WINDOWS_A_STRETCH * cfg.drift_window_us))
+    stretch = lambda c, off: F.floor((diff_us(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c)) + off) / long)
+    both = F.array_distinct(F.array(stretch("l_occurred_at", -cfg.drift_window_us), stretch("l_occurred_at", cfg.drift_window_us)))
+    g = side(receipts, "gateway").withColumn("stretch", stretch("g_occurred_at", 0))
+    led = side(receipts, "ledger").withColumn("stretch", F.explode(both))
+    near = diff_us(F.col("g_occurred_at"), F.col("l_occurred_at")).between(-cfg.drift_window_us, cfg.drift_window_us)
+    joined = g.join(led, [*GROUP, "stretch"]).filter(near).drop("stretch")
     return joined.withColumns({"dt_us": time_delta_us(F.col("g_occurred_at"), F.col("l_occurred_at")), "d_amount": F.abs(F.col("g_amount") - F.col("l_amount"))})
 
 
 def classified(receipts: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """Candidate pairs with rank and match_layer; pairs that do not fit are left out."""
     rank = layer_rank(F.col("g_amount"), F.col("l_amount"), F.col("dt_us"), cfg)
-    layer = F.element_at(F.array(*map(F.lit, LAYER_OF_RANK)), F.col("rank") + 1)
-    return candidates(receipts, cfg).withColumn("rank", rank).filter("rank is not null").withColumn("match_layer", layer)
+    return candidates(receipts, cfg).withColumn("rank", rank).filter("rank is not null").withColumn("match_layer", layer_name(F.col("rank")))
 
 
 def best_counterparty(pairs: DataFrame, of: str = "gateway") -> DataFrame:
@@ -61,53 +79,88 @@ def _edges(pairs: DataFrame, mode: str) -> DataFrame:
     """Pairs as choices of a candidate, in the order in which the matcher meets them.
 
     ``arrived``: the later arrival chooses. ``all``: either row may choose, at its own turn.
+    An edge carries its pair's other columns, so that nothing is joined back to it.
     """
     turn = lambda s: F.struct(F.col(f"{s}_received_at").alias("at"), F.lit(0 if s == "g" else 1).alias("side"), F.col(f"{s}_row_id").alias("id"))
-    edge = lambda s, o: F.struct(turn(s).alias("turn"), "rank", "dt_us", "d_amount", F.col(f"{o}_row_id").alias("other"), F.col("g_row_id").alias("g"), F.col("l_row_id").alias("l"))
+    rest = F.struct(*(c for c in pairs.columns if c not in (*GROUP, "g_row_id", "l_row_id", "rank", "dt_us", "d_amount"))).alias("rest")
+    edge = lambda s, o: F.struct(turn(s).alias("turn"), "rank", "dt_us", "d_amount", F.col(f"{o}_row_id").alias("other"), F.col("g_row_id").alias("g"), F.col("l_row_id").alias("l"), rest)
     by_g, by_l = edge("g", "l"), edge("l", "g")
     if mode == "all":
-        return pairs.withColumn("edge", F.explode(F.array(by_g, by_l)))
+        return pairs.select(*GROUP, F.explode(F.array(by_g, by_l)).alias("edge"))
     if mode != "arrived":
         raise ValueError(f"mode is arrived or all, not {mode}")
-    return pairs.withColumn("edge", F.when(turn("g") > turn("l"), by_g).otherwise(by_l))
+    return pairs.select(*GROUP, F.when(turn("g") > turn("l"), by_g).otherwise(by_l).alias("edge"))
 
 
 def _folded(edges: Column) -> Column:
-    """One scan of the ordered edges; an edge is taken when neither of its rows is."""
-    none = F.array().cast("array<struct<g:bigint,l:bigint>>")
-    free = lambda acc, e: ~F.exists(acc, lambda t: (t["g"] == e["g"]) | (t["l"] == e["l"]))
-    return F.aggregate(edges, none, lambda acc, e: F.when(free(acc, e), F.array_append(acc, F.struct(e["g"].alias("g"), e["l"].alias("l")))).otherwise(acc))
+    """Which of the ordered edges are taken, when neither of their rows is: their places."""
+    none = F.struct(F.array().cast("array<bigint>").alias("g"), F.array().cast("array<bigint>").alias("l"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"))
+    free = lambda a, e: ~F.array_contains(a["g"], e["g"]) & ~F.array_contains(a["l"], e["l"])
+    take = lambda a, e: F.struct(F.array_append(a["g"], e["g"]).alias("g"), F.array_append(a["l"], e["l"]).alias("l"), F.array_append(a["at"], a["i"]).alias("at"), (a["i"] + 1).alias("i"))
+    leave = lambda a: F.struct(a["g"].alias("g"), a["l"].alias("l"), a["at"].alias("at"), (a["i"] + 1).alias("i"))
+    return F.aggregate(edges, none, lambda a, e: F.when(free(a, e), take(a, e)).otherwise(leave(a)), lambda a: a["at"])
 
 
-def assign(pairs: DataFrame, mode: str = "arrived") -> DataFrame:
-    """One-to-one matches: every row, in turn, takes its best partner that is still free."""
-    listed = _edges(pairs, mode).groupBy(*GROUP).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    single = F.transform("edges", lambda e: F.struct(e["g"].alias("g"), e["l"].alias("l")))
-    taken = F.when(F.size("edges") == 1, single).otherwise(_folded(F.col("edges")))
-    chosen = listed.select(*GROUP, F.explode(taken).alias("t")).select(*GROUP, F.col("t.g").alias("g_row_id"), F.col("t.l").alias("l_row_id"))
-    return pairs.join(chosen, [*GROUP, "g_row_id", "l_row_id"])
+def _fold(edges: DataFrame) -> DataFrame:
+    """The edges taken, where no group has more than a row may hold."""
+    listed = edges.groupBy(*GROUP).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    places = F.when(F.size("edges") == 1, F.array(F.lit(0))).otherwise(_folded(F.transform("edges", lambda e: F.struct(e["g"].alias("g"), e["l"].alias("l")))))
+    return listed.select(*GROUP, "edges", F.explode(places).alias("at")).select(*GROUP, F.get("edges", F.col("at")).alias("edge"))
+
 
+def _crowded_groups(edges: DataFrame, most: int) -> DataFrame:
+    return edges.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*GROUP)
 
-def assign_rounds(pairs: DataFrame, mode: str = "arrived", max_rounds: int = 1_000) -> DataFrame:
-    """The same matches without gathering a group: for one txn_id with very many rows.
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges that are first at both of their rows, and those that still have free rows."""
+    flat = left.withColumns({"g": F.col("edge.g"), "l": F.col("edge.l")})
+    first = lambda c: flat.groupBy(*GROUP, c).agg(F.min("edge").alias(f"first_{c}"))
+    met = flat.join(first("g"), [*GROUP, "g"]).join(first("l"), [*GROUP, "l"])
+    took = written(met.filter((F.col("edge") == F.col("first_g")) & (F.col("edge") == F.col("first_l"))).select(*GROUP, "edge", "g", "l"), "assigned")
+    free = flat.join(took.select(*GROUP, "g"), [*GROUP, "g"], "left_anti").join(took.select(*GROUP, "l"), [*GROUP, "l"], "left_anti")
+    return took.select(*GROUP, "edge"), free.select(*GROUP, "edge")
+
+
+def _settled(edges: DataFrame, most: int) -> DataFrame:
+    """The edges taken of a written table of edges: small groups by the fold, others by rounds.
 
     Edges are totally ordered, so the greedy scan takes exactly the edges that are first at
-    both of their rows, again and again. Each round is two aggregations and two joins.
+    both of their rows, again and again. A round is two aggregations and joins on single
+    rows, and takes at least the first edge of each group, so the loop ends; a group goes to
+    the fold as soon as few enough of its edges are left.
     """
-    left = _edges(pairs, mode).select(*GROUP, "edge", F.col("edge.g").alias("g_row_id"), F.col("edge.l").alias("l_row_id"))
-    done = None
-    for _ in range(max_rounds):
-        left = left.checkpoint()
-        if left.isEmpty():
+    done = []
+    while True:
+        crowded = written(_crowded_groups(edges, most), "crowded-groups")
+        if crowded.isEmpty():
+            done.append(_fold(edges))
             break
-        first = lambda c: left.groupBy(*GROUP, c).agg(F.min("edge").alias(f"first_{c}"))  # noqa: E731, B023
-        met = left.join(first("g_row_id"), [*GROUP, "g_row_id"]).join(first("l_row_id"), [*GROUP, "l_row_id"])
-        took = met.filter((F.col("edge") == F.col("first_g_row_id")) & (F.col("edge") == F.col("first_l_row_id"))).select(*GROUP, "g_row_id", "l_row_id").checkpoint()
-        done = took if done is None else done.unionByName(took)
-        left = left.join(took.select(*GROUP, "g_row_id"), [*GROUP, "g_row_id"], "left_anti").join(took.select(*GROUP, "l_row_id"), [*GROUP, "l_row_id"], "left_anti")
-    else:
-        raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    return pairs.join(done, [*GROUP, "g_row_id", "l_row_id"]) if done is not None else pairs.limit(0)
+        if crowded.count() <= BROADCAST_GROUPS:
+            crowded = F.broadcast(crowded)
+        done.append(_fold(edges.join(crowded, [*GROUP], "left_anti")))
+        took, left = _round(edges.join(crowded, [*GROUP], "left_semi"))
+        done.append(took)
+        edges = written(left, "edges-left")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def assign(pairs: DataFrame, mode: str = "arrived", fold_edges: int = FOLD_EDGES) -> DataFrame:
+    """One-to-one matches: every row, in turn, takes its best partner that is still free."""
+    edges = written(_edges(pairs, mode), "edges")
+    rest = [f.name for f in edges.schema["edge"].dataType["rest"].dataType]
+    named = {"g_row_id": "g", "l_row_id": "l", "rank": "rank", "dt_us": "dt_us", "d_amount": "d_amount"}
+    of = lambda c: F.col(c) if c in GROUP else F.col(f"edge.{named[c]}").alias(c) if c in named else F.col(f"edge.rest.{c}").alias(c)
+    assert set(pairs.columns) == {*GROUP, *named, *rest}
+    return _settled(edges, fold_edges).select(*map(of, pairs.columns))
+
+
+def assign_rounds(pairs: DataFrame, mode: str = "arrived") -> DataFrame:
+    """The same matches by rounds alone, whatever the size of a group."""
+    return assign(pairs, mode, fold_edges=0)
 
 
 def crowded(matches: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.order import running_totals
+
 #: Upper bounds of the latency histogram, in seconds.
 LATENCY_BUCKETS = (0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
 
@@ -23,12 +25,11 @@ def nearest_rank(rows: DataFrame, value: str, pcts: tuple[int, ...] = (50, 95, 9
 
     Counts of distinct values are summed in order, so the values are never gathered.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).count()
-    total = counts.agg(F.sum("count").alias("n"))
-    from pyspark.sql import Window
-
-    upto = counts.withColumn("upto", F.sum("count").over(Window.orderBy("v")))  # distinct values only
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("count"))
+    upto = running_totals(counts, "v", "count", "upto")
+    total = upto.agg(F.sum("count").alias("n"))
     asked = total.select("n", F.explode(F.array(*map(F.lit, pcts))).alias("pct")).withColumn("at", F.bround(F.col("pct").cast("decimal(6,2)") * (F.col("n") - 1).cast("decimal(18,0)") / 100, 0).cast("long"))
+    # one row for each pct
     return upto.join(F.broadcast(asked), F.col("upto") > F.col("at")).groupBy("pct").agg(F.min("v").alias("value"))
 
 

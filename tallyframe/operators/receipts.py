@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import fresh
+from ..functions.order import row_numbers
 from ..functions.text import duplicate_notes
 
 ARRIVAL = ("received_at", "row_id")
@@ -57,6 +59,14 @@ def batch_ack_totals(acked: DataFrame, batch_col: str = "batch_id") -> DataFrame
 
 
 def batches(rows: DataFrame, size: int, order: list[str], within: str) -> DataFrame:
-    """batch_id and position: runs of size rows in the given order, numbered within each group."""
-    n = F.row_number().over(Window.partitionBy(within).orderBy(*order)) - 1
-    return rows.withColumn("n", n).withColumn("batch_id", F.concat_ws("-", F.col(within).cast("string"), F.floor(F.col("n") / size).cast("string"))).withColumn("position", F.col("n") % size).drop("n")
+    """batch_id and position: runs of size rows in the given order, numbered within each group.
+
+    Numbers come from one order over all rows, less the first of each group, so that a group
+    with very many rows is no single task's work. order must tell a group's rows apart.
+    """
+    n, first = fresh(rows, "n"), fresh(rows, "first")
+    numbered = row_numbers(rows, [within, *order], n)
+    starts = numbered.groupBy(within).agg(F.min(n).alias(first))
+    at = F.col(n) - F.col(first)
+    placed = numbered.join(starts, within)
+    return placed.withColumn("batch_id", F.concat_ws("-", F.col(within).cast("string"), F.floor(at / size).cast("string"))).withColumn("position", at % size).drop(n, first)

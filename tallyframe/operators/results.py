@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, EXCEPTION_STATUSES, MatchConfig
+from ..config import DEFAULT, EXCEPTION_STATUSES, MAX_SWEEP_PASSES, SWEEP_BATCH, MatchConfig
+from ..functions.frames import written
 from ..functions.order import row_numbers
 from ..functions.text import match_notes, unmatched_notes
 from ..functions.times import add_us, diff_us, match_latency_ms
+from ..schemas import RESULT
 from . import matching, receipts as receipt_ops
 
 COLUMNS = ("gateway_id", "ledger_id", "status", "match_layer", "resolved_at", "match_latency_ms", "notes")
@@ -59,12 +61,63 @@ def sweep(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConf
 
     One pass settles all that any number of passes would: what is left has no partner.
     """
-    waiting = pending(receipts, matches)
-    again = matching.assign(matching.classified(waiting, cfg), mode)
-    due = stale(waiting, as_of, cfg).select("side", "row_id")
-    late = lambda s, c: due.filter(F.col("side") == s).select(F.col("row_id").alias(c))
-    rematched = again.join(late("gateway", "g_row_id"), "g_row_id", "left_semi").unionByName(again.join(late("ledger", "l_row_id"), "l_row_id", "left_semi")).dropDuplicates(["g_row_id", "l_row_id"])
-    return match_results(rematched, cfg).withColumn("resolved_at", as_of).unionByName(breaks(stale(pending(waiting, rematched), as_of, cfg), as_of))
+    waiting = written(pending(receipts, matches), "waiting")
+    rematched, left = _swept(waiting, as_of, cfg, mode)
+    return rematched.unionByName(breaks(stale(left, as_of, cfg), as_of))
+
+
+def _swept(waiting: DataFrame, as_of: Column, cfg: MatchConfig, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Results of stale rows that find a partner after all, and the rows that do not."""
+    late = lambda c: diff_us(F.col(c), as_of) > cfg.unmatched_after_s * 1_000_000
+    again = written(matching.assign(matching.classified(waiting, cfg), mode).filter(late("g_received_at") | late("l_received_at")), "rematched")
+    return match_results(again, cfg).withColumn("resolved_at", as_of), pending(waiting, again)
+
+
+def drain(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT, mode: str = "arrived", batch: int = SWEEP_BATCH, max_passes: int = MAX_SWEEP_PASSES) -> tuple[DataFrame, bool]:
+    """(results, drained): passes over the oldest stale rows, batch of a side in each.
+
+    A pass takes its rows off the pending table, which is written anew. The passes end when
+    one finds nothing (drained) or when their number is spent; what is left stays pending.
+    """
+    waiting = written(pending(receipts, matches), "waiting")
+    done = []
+    for _ in range(max_passes):
+        due = stale(waiting, as_of, cfg)
+        batches = [oldest(due.filter(F.col("side") == s), batch) for s in ("gateway", "ledger")]
+        chosen = written(batches[0].unionByName(batches[1]), "sweep-batch")
+        if chosen.isEmpty():
+            return _union(done, receipts.sparkSession), True
+        # a chosen row may take any pending partner; a partner may be younger than the wait
+        keys = chosen.select(*matching.GROUP).distinct()
+        near = waiting.join(keys, [*matching.GROUP], "left_semi")
+        pairs = matching.classified(near, cfg)
+        mine = lambda s, c: chosen.filter(F.col("side") == s).select(F.col("row_id").alias(c), F.lit(True).alias(f"{c}_due"))  # noqa: E731, B023
+        pairs = pairs.join(mine("gateway", "g_row_id"), "g_row_id", "left").join(mine("ledger", "l_row_id"), "l_row_id", "left").filter("g_row_id_due or l_row_id_due").drop("g_row_id_due", "l_row_id_due")
+        again = written(matching.assign(pairs, mode), "rematched")
+        done.append(written(match_results(again, cfg).withColumn("resolved_at", as_of).unionByName(breaks(pending(chosen, again), as_of)), "swept"))
+        waiting = written(pending(waiting.join(chosen.select("side", "row_id"), ["side", "row_id"], "left_anti"), again), "waiting")
+    return _union(done, receipts.sparkSession), False
+
+
+def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    out = spark.createDataFrame([], RESULT)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def append(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of found that a results table may take beside kept; a conflict is a no-op.
+
+    A row has one result that is not a duplicate marker, and one marker; a result whose rows
+    have theirs is left out, so a batch that is sent again adds nothing.
+    """
+    kind = (F.col("status") == "duplicate").alias("marker")
+    has = lambda c: kept.filter(F.col(c).isNotNull()).select(c, kind).distinct()
+    fresh = found.withColumn("marker", kind)
+    for c in ("gateway_id", "ledger_id"):
+        fresh = fresh.join(has(c), [c, "marker"], "left_anti")
+    return fresh.select(*found.columns)
 
 
 def duplicates(receipts: DataFrame) -> DataFrame:

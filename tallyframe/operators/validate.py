@@ -31,7 +31,9 @@ def parsed(raw: DataFrame, side: str, payload: str = "payload") -> DataFrame:
     fields = GATEWAY_FIELDS if side == "gateway" else LEDGER_FIELDS
     record = F.from_json(payload, ", ".join(f"{f} string" for f in fields))
     unknown = F.array_except(F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")), F.array(*map(F.lit, fields)))
-    return raw.withColumn("record", record).withColumn("unknown", unknown).select(*raw.columns, *(F.col("record")[f].alias(f) for f in fields), "unknown")
+    # one element, so that the payload is parsed once and not for each field that is read
+    once = F.explode(F.array(F.struct(record.alias("record"), unknown.alias("unknown")))).alias("v")
+    return raw.select(*raw.columns, once).select(*raw.columns, *(F.col(f"v.record.{f}").alias(f) for f in fields), F.col("v.unknown").alias("unknown"))
 
 
 def validated(raw: DataFrame, side: str) -> DataFrame:
@@ -41,7 +43,7 @@ def validated(raw: DataFrame, side: str) -> DataFrame:
     reason = F.when(F.size("unknown") > 0, "unknown field")
     for ok, text in [*_rules("idempotency_key"), _length(own, 128)]:
         reason = reason.when(~ok, text)
-    return rows.withColumn("reject_reason", reason).withColumns({"amount_value": F.col("amount").try_cast("decimal(18,2)"), "occurred_value": F.try_to_timestamp("occurred_at")})
+    return rows.withColumns({"reject_reason": reason, "amount_value": F.col("amount").try_cast("decimal(18,2)"), "occurred_value": F.try_to_timestamp("occurred_at")})
 
 
 def batch_verdicts(entries: DataFrame, batch_col: str = "batch_id") -> DataFrame:

@@ -6,10 +6,11 @@ import csv
 import io
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MAX_REPORTED_REJECTS
+from ..functions.frames import written
 from ..functions.money import parse_minor, to_decimal_string
 from ..functions.text import derive_key
 from ..functions.times import iso_utc, parse_timestamp_ms
@@ -64,49 +65,49 @@ def header_names(cells: list[str | None]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """(cells, headers): cells has line and cells, an array of as many strings as headers,
-    and ragged, whether the record had another width. Blank lines are left out and not
-    counted. Lines are numbered in file order within one file, which one task reads.
+    """(cells, headers): a row for each record, which may hold line breaks inside quotes.
+
+    cells has file, line, cells (as many strings as headers) and ragged, whether the record
+    had another width. Records count from 1, the header, in each file; blank records are
+    left out and not counted. A file is parsed as a stream by one task, as only that can
+    tell which line breaks are quoted, so a large feed should come as many files.
     """
     head = spark.read.text(path).filter(F.trim("value") != "").limit(5).collect()
     lines = [r[0] for r in head]
     delimiter = sniff_delimiter(lines)
-    first = next(csv.reader(lines, delimiter=delimiter), [])
-    headers = header_names(first)
-    blank = re.escape(delimiter)
-    # spark.read.csv has no column for a record's width, so the text is cut by from_csv twice
-    wide = len(headers) + 64
-    schema = ", ".join(f"c{i} string" for i in range(wide))
-    raw = spark.read.option("wholetext", "false").text(path).filter(~F.col("value").rlike(rf"^[\s{blank}]*$")).withColumn("n", F.monotonically_increasing_id())
-    parsed = raw.select("n", F.from_csv("value", F.lit(schema), {"sep": delimiter, "ignoreLeadingWhiteSpace": "false", "nullValue": "\0", "emptyValue": "", "escape": '"', "mode": "PERMISSIVE"}).alias("r"), _width("value", delimiter).alias("width"))
-    cells = F.array(*(F.coalesce(F.col("r")[f"c{i}"], F.lit("")) for i in range(len(headers))))
-    return parsed.filter("n > 0").select((F.col("n") + 1).alias("line"), cells.alias("cells"), (F.col("width") != len(headers)).alias("ragged")), headers
-
-
-def _width(value: str, delimiter: str) -> Column:
-    """Cells in a record: delimiters outside quotes, plus one."""
-    bare = F.regexp_replace(value, r'"([^"]|"")*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter))) + 1
+    headers = header_names(next(csv.reader(io.StringIO("\n".join(lines)), delimiter=delimiter), []))
+    names = [f"c{i}" for i in range(len(headers))]
+    # the parser keeps the text of a record whose width is another than the schema's
+    schema = ", ".join(f"{c} string" for c in (*names, "off_width"))
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "off_width").option("mode", "PERMISSIVE").option("multiLine", True).option("header", True).option("sep", delimiter)
+    raw = read.option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
+    cells = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in names))
+    found = raw.select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"), F.col("off_width").isNotNull().alias("ragged"))
+    kept = written(found.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("at", F.monotonically_increasing_id()), "csv-records")
+    first = kept.groupBy("file").agg(F.min("at").alias("first"))
+    return kept.join(first, "file").select("file", (F.col("at") - F.col("first") + 2).alias("line"), "cells", "ragged"), headers
 
 
 def coerce(cells: DataFrame, headers: list[str], mapping: dict[str, str | None], side: str, fallback_currency: str = "INR", key_prefix: str = "") -> DataFrame:
     """line, typed columns and reject_reason (null: accepted); the first failing rule names it."""
     cell = lambda f: F.col("cells")[headers.index(mapping[f])] if mapping[f] is not None else F.lit("")
-    txn_id, raw_amount, raw_at = F.trim(cell("txn_id")), cell("amount"), cell("timestamp")
-    minor, at = parse_minor(raw_amount), parse_timestamp_ms(raw_at)
     given = F.upper(F.trim(cell("currency")))
-    currency = F.when(given == "", fallback_currency).otherwise(given)
-    key = F.trim(cell("idempotency_key"))
+    raw = F.struct(
+        F.trim(cell("txn_id")).alias("txn_id"), cell("amount").alias("amount"), cell("timestamp").alias("at"), F.trim(cell("idempotency_key")).alias("key"),
+        F.when(given == "", fallback_currency).otherwise(given).alias("currency"), parse_minor(cell("amount")).alias("minor"), parse_timestamp_ms(cell("timestamp")).alias("ms"),
+    )
+    # each value is computed once: what comes out of an array's element is not written out again
+    once = cells.select("line", F.explode(F.array(raw)).alias("v"))
+    v = lambda c: F.col(f"v.{c}")
     reason = (
-        F.when(txn_id == "", "empty transaction ID")
-        .when(minor.isNull(), F.concat(F.lit('amount "'), raw_amount, F.lit('" is not a number')))
-        .when(minor == 0, "amount is zero")
-        .when(at.isNull(), F.concat(F.lit('timestamp "'), raw_at, F.lit('" is not ISO 8601 or an epoch value')))
-        .when(~currency.rlike("^[A-Z]{3}$"), F.concat(F.lit('currency "'), currency, F.lit('" is not a 3-letter ISO 4217 code')))
+        F.when(v("txn_id") == "", "empty transaction ID")
+        .when(v("minor").isNull(), F.concat(F.lit('amount "'), v("amount"), F.lit('" is not a number')))
+        .when(v("minor") == 0, "amount is zero")
+        .when(v("ms").isNull(), F.concat(F.lit('timestamp "'), v("at"), F.lit('" is not ISO 8601 or an epoch value')))
+        .when(~v("currency").rlike("^[A-Z]{3}$"), F.concat(F.lit('currency "'), v("currency"), F.lit('" is not a 3-letter ISO 4217 code')))
     )
-    typed = cells.select("line", txn_id.alias("txn_id"), minor.alias("amount_minor"), currency.alias("currency"), at.alias("occurred_ms"), key.alias("key"), reason.alias("reject_reason"))
-    own = F.when(F.col("key") != "", F.col("key")).otherwise(derive_key(F.lit(side), F.col("txn_id"), F.col("amount_minor"), F.col("occurred_ms"), key_prefix))
-    return typed.withColumn("idempotency_key", own).drop("key")
+    own = F.when(v("key") != "", v("key")).otherwise(derive_key(F.lit(side), v("txn_id"), v("minor"), v("ms"), key_prefix))
+    return once.select("line", v("txn_id").alias("txn_id"), v("minor").alias("amount_minor"), v("currency").alias("currency"), v("ms").alias("occurred_ms"), reason.alias("reject_reason"), own.alias("idempotency_key"))
 
 
 def accepted(coerced: DataFrame) -> DataFrame:

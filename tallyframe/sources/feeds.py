@@ -6,6 +6,8 @@ in time or amount, or in another currency follows from the order key alone.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,16 @@ def _every(k: Column, n: int, r: int) -> Column:
     return F.pmod(k, F.lit(n)) == r
 
 
+def pick(values: Sequence[str], at: Column) -> Column:
+    """The value at a place, counted from 0; null beyond the last."""
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
+
+
 def _planned(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     return orders.select(
         k.alias("k"), F.concat(F.lit("TXN-"), F.lpad(k.cast("string"), 8, "0")).alias("txn_id"), money(F.col("o_totalprice")).alias("planned"),
-        F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.pmod(k, F.lit(4)) + 1).cast("int")).alias("planned_currency"),
+        pick(CURRENCIES, F.pmod(k, F.lit(4))).alias("planned_currency"),
         add_us(F.col("o_orderdate"), (k % 86400) * 1_000_000).alias("at"),
     )
 
@@ -57,7 +64,7 @@ def contested(orders: DataFrame) -> DataFrame:
     q = F.floor(k / 4).cast("long")
     at = add_us(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), (q * 600 + k % 4 * 11) * 1_000_000)
     amount = money(F.lit(1000) + 5 * (k % 3))
-    base = orders.select(k.alias("k"), F.concat(F.lit("GRP-"), q.cast("string")).alias("txn_id"), F.element_at(F.array(*map(F.lit, CURRENCIES)), (q % 4 + 1).cast("int")).alias("currency"), amount.alias("amount"), at.alias("at"))
+    base = orders.select(k.alias("k"), F.concat(F.lit("GRP-"), q.cast("string")).alias("txn_id"), pick(CURRENCIES, F.pmod(q, F.lit(4))).alias("currency"), amount.alias("amount"), at.alias("at"))
     k = F.col("k")
     side = lambda name, ahead_s, drift, late_s: base.select(
         F.lit(name).alias("side"), "k", k.alias("row_id"), F.concat(F.lit(name + "-"), k.cast("string")).alias("idempotency_key"), "txn_id", money(F.col("amount") + drift).alias("amount"), "currency",

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..config import DEFAULT, MatchConfig
 from ..operators import results as result_ops
+from ..operators.matching import layer_name
 
 PENDING = "row_id long, amount decimal(18,2), occurred_us long, received_us long"
 MATCHED = "kind string, gateway_id long, ledger_id long, g_amount decimal(18,2), l_amount decimal(18,2), g_occurred_us long, l_occurred_us long, g_received_us long, l_received_us long, rank int, decided_us long"
@@ -50,7 +51,7 @@ class Matcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = {s: handle.getListState(s, PENDING) for s in ("gateway", "ledger")}
+        self.pending = {s: handle.getMapState(s, "id long", PENDING) for s in ("gateway", "ledger")}
 
     def _rank(self, g: tuple, led: tuple) -> int | None:
         dt, off = abs(g[2] - led[2]), abs(g[1] - led[1])
@@ -70,30 +71,33 @@ class Matcher(StatefulProcessor):
                 ranked.append(((rank, abs(g[2] - led[2]), abs(g[1] - led[1]), o[0]), o))
         return min(ranked, key=lambda x: x[0]) if ranked else None
 
+    def _held(self) -> dict[str, dict[int, tuple]]:
+        return {s: {tuple(k)[0]: tuple(v) for k, v in state.iterator()} for s, state in self.pending.items()}
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = {s: [tuple(r) for r in self.pending[s].get()] for s in self.pending}
-        before = {s: list(v) for s, v in held.items()}
+        held = self._held()
+        before = {s: set(v) for s, v in held.items()}
         for r in sorted(rows, key=lambda r: (r.received_us, r.side, r.row_id)):
             row = (r.row_id, r.amount, r.occurred_us, r.received_us)
             other = "ledger" if r.side == "gateway" else "gateway"
-            best = self._best(r.side, row, held[other])
+            best = self._best(r.side, row, list(held[other].values()))
             if best is None:
-                held[r.side].append(row)
+                held[r.side][r.row_id] = row
                 self.handle.registerTimer(self._due_ms(row))
                 continue
             (rank, *_), partner = best
-            held[other].remove(partner)
+            del held[other][partner[0]]
             g, led = (row, partner) if r.side == "gateway" else (partner, row)
             yield Row(kind="match", gateway_id=g[0], ledger_id=led[0], g_amount=g[1], l_amount=led[1], g_occurred_us=g[2], l_occurred_us=led[2], g_received_us=g[3], l_received_us=led[3], rank=rank, decided_us=max(g[3], led[3]))
         self._keep(held, before)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        held = {s: [tuple(r) for r in self.pending[s].get()] for s in self.pending}
-        before = {s: list(v) for s, v in held.items()}
+        held = self._held()
+        before = {s: set(v) for s, v in held.items()}
         for side in ("gateway", "ledger"):
-            for row in [r for r in held[side] if self._due_ms(r) <= now]:
-                held[side].remove(row)
+            for row in [r for r in held[side].values() if self._due_ms(r) <= now]:
+                del held[side][row[0]]
                 g, led = (row, None) if side == "gateway" else (None, row)
                 of = lambda x, i: x[i] if x else None
                 yield Row(kind=side, gateway_id=of(g, 0), ledger_id=of(led, 0), g_amount=of(g, 1), l_amount=of(led, 1), g_occurred_us=of(g, 2), l_occurred_us=of(led, 2), g_received_us=of(g, 3), l_received_us=of(led, 3), rank=None, decided_us=now * 1000)
@@ -103,12 +107,12 @@ class Matcher(StatefulProcessor):
         return row[3] // 1000 + self.cfg.unmatched_after_s * 1000 + 1
 
     def _keep(self, held: dict, before: dict) -> None:
+        """Writes the rows that came and removes those that went; the others are not touched."""
         for side, rows in held.items():
-            if rows != before[side]:
-                if rows:
-                    self.pending[side].put(rows)
-                else:
-                    self.pending[side].clear()
+            for i in before[side] - rows.keys():
+                self.pending[side].removeKey((i,))
+            for i in rows.keys() - before[side]:
+                self.pending[side].updateValue((i,), rows[i])
 
     def close(self) -> None:
         pass
@@ -121,8 +125,7 @@ def _ts(us: str) -> Column:
 def as_results(raw: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """The matcher's rows in the columns of results, notes and latency included."""
     named = raw.select("*", *(_ts(f"{s}_{c}_us").alias(f"{s}_{c}_at") for s in ("g", "l") for c in ("occurred", "received")), F.col("gateway_id").alias("g_row_id"), F.col("ledger_id").alias("l_row_id"), _ts("decided_us").alias("decided_at"))
-    layer = F.element_at(F.array(F.lit("exact"), F.lit("time_drift"), F.lit("amount_drift")), F.col("rank") + 1)
-    pairs = named.filter("kind = 'match'").withColumns({"match_layer": layer, "dt_us": F.abs(F.col("g_occurred_us") - F.col("l_occurred_us"))})
+    pairs = named.filter("kind = 'match'").withColumns({"match_layer": layer_name(F.col("rank")), "dt_us": F.abs(F.col("g_occurred_us") - F.col("l_occurred_us"))})
     lone = named.filter("kind <> 'match'").select(F.col("kind").alias("side"), F.coalesce("g_row_id", "l_row_id").alias("row_id"), F.coalesce("g_received_at", "l_received_at").alias("received_at"), "decided_at")
     return result_ops.match_results(pairs, cfg).unionByName(result_ops.breaks(lone, F.col("decided_at")))
 
@@ -163,13 +166,21 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str, check
     """Reads what a directory of Parquet submissions holds now, and stops.
 
     Two queries, each with its own checkpoint: receipts, then matches over what they wrote.
+    Rows of one micro-batch are put in order of receipt, so the files of one arrival should
+    come in one micro-batch (files_per_batch), or in an order of their own.
     """
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    first = first_receipts(raw).writeStream.option("checkpointLocation", f"{checkpoint}/receipts").format("parquet").option("path", f"{out}/receipts").trigger(availableNow=True).start()
-    first.awaitTermination()
-    stream = spark.readStream.schema(FIRST).option("maxFilesPerTrigger", 64).parquet(f"{out}/receipts").filter("is_first")
-    second = matched(stream, cfg=cfg).writeStream.option("checkpointLocation", f"{checkpoint}/matches").foreachBatch(Sink(f"{out}/matches")).trigger(availableNow=True).start()
-    second.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+        first = first_receipts(raw).writeStream.option("checkpointLocation", f"{checkpoint}/receipts").format("parquet").option("path", f"{out}/receipts").trigger(availableNow=True).start()
+        first.awaitTermination()
+        stream = spark.readStream.schema(FIRST).option("maxFilesPerTrigger", max(64, files_per_batch)).parquet(f"{out}/receipts").filter("is_first")
+        second = matched(stream, cfg=cfg).writeStream.option("checkpointLocation", f"{checkpoint}/matches").foreachBatch(Sink(f"{out}/matches")).trigger(availableNow=True).start()
+        second.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
 
 
 def streamed_results(spark: SparkSession, out: str, cfg: MatchConfig = DEFAULT) -> DataFrame:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def numbered(spark):
-    return plan._numbered(spark, SF).cache()
+    return plan._stored(spark, SF).cache()
 
 
 def test_known_counts(spark):
