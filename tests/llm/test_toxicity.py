@@ -67,3 +67,37 @@ def test_without_labels(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(no_docs, none).count() == 0
+
+
+def test_the_label_model_decides_the_targets(spark, monkeypatch):
+    docs, labels, truth = corpus(spark)
+    loss = lambda rows: -np.mean([np.log(max(1e-6, r["score"] if truth[r["doc_id"]] else 1 - r["score"])) for r in rows if r["held_out"] and r["doc_id"] in truth])
+    with_model = loss(toxicity.score(docs, labels).collect())
+    share = lambda model, terms, votes, width: toxicity.fit_linear(terms, toxicity._bits(votes)[:, toxicity.LEXICONS :].astype(float), toxicity._bits(votes).mean(axis=1), width)
+    monkeypatch.setattr(toxicity, "fit_classifier", share)
+    assert with_model < 0.5 * loss(toxicity.score(docs, labels).collect())
+
+
+def test_labels_that_gave_no_terms_are_no_targets(spark):
+    """The classifier's targets depend on votes alone: documents of one pattern get one target."""
+    rng = np.random.default_rng(1)
+    votes = rng.integers(0, 2, (500, toxicity.VOTERS))
+    rows, n = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel(np.concatenate([rows, rows[:9]]), np.concatenate([n, np.ones(9)]).astype(float), np.array([-1] * len(rows) + [0, 1] * 4 + [0]))
+    post = model.posterior(rows)
+    assert post.shape == (len(rows),) and ((0 <= post) & (post <= 1)).all()
+
+
+def test_shouting_and_long_texts(spark):
+    none: tuple = ({}, [])
+    at = toxicity.VOTERS - len(toxicity.PATTERNS) + toxicity.PATTERNS.index("shouting")
+    assert toxicity._values("ALL OF THIS IS LOUD", *none)[1] == 1 << at and toxicity._values("quiet", *none)[1] == 0
+    terms, votes = toxicity._values("grubbish words and more " * 200_000, {"grubbish": 0}, [3])
+    assert terms == [0] and votes & (1 << 3) and toxicity._values(None, *none) == ([], 0)
+
+
+def test_clashing_names(spark):
+    docs, labels, _ = corpus(spark, 400)
+    odd = docs.selectExpr("*", "1 as bad_id", "2 as bad_key", "3 as votes", "'x' as terms")
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
