@@ -15,7 +15,11 @@ once, in the table of words, and not once for each document. The most frequent w
 words of a document are joined with the table, on the word, so no key is hot.
 
 A character that no piece holds is spelled in bytes, each a 256th of the byte piece. Words
-of more than ``LONG_WORD`` characters are cut there and the parts multiplied.
+of one length are summed side by side; a word of more than ``LONG_WORD`` characters is
+walked by itself, ``CHUNK`` characters at a time, over all its segmentations as well.
+
+The whole-word edges can be left out (``word_edges``): the lattice of pieces alone then
+carries the score.
 
 Defined results: null and empty texts hold the end token alone; an empty table gives no
 rows; repeated rows and null ids are scored each by itself; documents without a language
@@ -40,7 +44,7 @@ MARK = "▁"
 #: Held by every task: at most this many words with their counts and log probabilities.
 FREQUENT = 100_000
 LANGUAGES = 6
-LONG_WORD = 32
+LONG_WORD, CHUNK = 64, 4096
 FLUSH_WORDS = 300_000
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of the lattices that are summed at once.
@@ -130,19 +134,89 @@ def _forward(w: dict[int, np.ndarray], n: int) -> list[np.ndarray]:
     return alpha
 
 
+def _long_edges(chars: np.ndarray, lo: int, hi: int, lp: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, hi - lo): log weights and pieces of the edges that start at lo .. hi - 1."""
+    most = max(v.tables)
+    near = chars[lo : min(len(chars), hi + most)].astype(np.uint64)
+    weight, piece = np.full((most, hi - lo), -np.inf), np.full((most, hi - lo), -1)
+    h = np.zeros(hi - lo, np.uint64)
+    for size in range(1, most + 1):
+        k = min(hi - lo, len(near) - size + 1)
+        if k <= 0:
+            break
+        h = h[:k] * HASH_BASE + near[size - 1 : size - 1 + k]
+        if size in v.tables:
+            keys, ids = v.tables[size]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            p = np.where(keys[at] == h, ids[at], -1)
+            piece[size - 1, :k], weight[size - 1, :k] = p, np.where(p >= 0, lp[p], -np.inf)
+    c = near[: hi - lo]
+    spelled = (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)) * (lp[v.byte] - math.log(256))
+    weight[0] = np.where(piece[0] >= 0, weight[0], spelled)
+    return weight, piece
+
+
+def long_forward(chars: np.ndarray, lp: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """alpha of one word: each place passes its sum on to the places that its edges reach."""
+    n, most = len(chars), max(v.tables)
+    alpha = np.full(n + most + 1, -np.inf)
+    alpha[0] = 0.0
+    for lo in range(0, n, CHUNK):
+        hi = min(n, lo + CHUNK)
+        weight, _ = _long_edges(chars, lo, hi, lp, v)
+        for i, w in enumerate(weight.T, lo):
+            alpha[i + 1 : i + 1 + most] = np.logaddexp(alpha[i + 1 : i + 1 + most], alpha[i] + w)
+    return alpha[: n + 1]
+
+
+def long_uses(chars: np.ndarray, lp: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Expected uses of each piece in one word, from its end to its start."""
+    n, most = len(chars), max(v.tables)
+    alpha = long_forward(chars, lp, v)
+    beta = np.full(n + most + 1, -np.inf)
+    beta[n] = 0.0
+    total = np.zeros(v.size)
+    for lo in range((n - 1) // CHUNK * CHUNK, -1, -CHUNK):
+        hi = min(n, lo + CHUNK)
+        weight, piece = _long_edges(chars, lo, hi, lp, v)
+        for i in range(hi - 1, lo - 1, -1):
+            t = weight[:, i - lo] + beta[i + 1 : i + 1 + most]
+            beta[i] = t.max() + math.log(np.exp(t - t.max()).sum())
+        after = np.lib.stride_tricks.sliding_window_view(beta[lo + 1 : hi + most], most).T
+        uses = np.exp(alpha[lo:hi] + weight + after - alpha[n])
+        held = piece >= 0
+        total += np.bincount(piece[held], weights=uses[held], minlength=v.size)
+        c = chars[lo:hi]
+        total[v.byte] += (uses[0] * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)))[~held[0]].sum()
+    return total
+
+
+def _by_length(words: list[str]) -> tuple[list[int], list[tuple[int, np.ndarray]]]:
+    """Places of the words that are summed side by side, and the long ones with their characters."""
+    usual = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+    return usual, [(i, code_points([w], len(w))[0]) for i, w in enumerate(words) if len(w) > LONG_WORD]
+
+
 def log_marginals(words: list[str], logp: np.ndarray, v: Vocabulary) -> np.ndarray:
     """(words, languages): log probability of each word over all its segmentations."""
     out = np.zeros((len(words), len(logp)))
-    for rows, pieces, sizes in _lattices(words, v):
+    usual, long = _by_length(words)
+    for rows, pieces, sizes in _lattices([words[i] for i in usual], v):
         for k, lp in enumerate(logp):
-            out[rows, k] = _forward(_weights(pieces, sizes, lp, v), sizes.shape[1])[-1]
+            out[np.array(usual)[rows], k] = _forward(_weights(pieces, sizes, lp, v), sizes.shape[1])[-1]
+    for i, chars in long:
+        out[i] = [long_forward(chars, lp, v)[-1] for lp in logp]
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, lp: np.ndarray, v: Vocabulary) -> np.ndarray:
     """(languages, pieces): expected uses of each piece, given (words, languages) counts."""
     total = np.zeros((counts.shape[1], v.size))
-    for rows, pieces, sizes in _lattices(words, v):
+    usual, long = _by_length(words)
+    for i, chars in long:
+        total += counts[i][:, None] * long_uses(chars, lp, v)
+    counts = counts[usual]
+    for rows, pieces, sizes in _lattices([words[i] for i in usual], v):
         n, w = sizes.shape[1], _weights(pieces, sizes, lp, v)
         alpha = _forward(w, n)
         beta = [np.zeros(len(rows))]  # beta[-1 - i]: of what follows the first i characters
@@ -162,12 +236,6 @@ def expected_counts(words: list[str], counts: np.ndarray, lp: np.ndarray, v: Voc
     return total
 
 
-def parts(word: str) -> list[str]:
-    """The word with its mark, cut after every LONG_WORD characters."""
-    w = MARK + word
-    return [w[i : i + LONG_WORD] for i in range(0, len(w), LONG_WORD)]
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
@@ -230,8 +298,8 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
                 counts = b[names].to_numpy(float)
                 b, counts = b[counts.sum(axis=1) > 0], counts[counts.sum(axis=1) > 0]
                 total[:, voc.end] += counts[(b["word"] == "").to_numpy()].sum(axis=0)
-                cut = [(p, i) for i, w in enumerate(b["word"]) if w for p in parts(w)]
-                total += expected_counts([p for p, _ in cut], counts[[i for _, i in cut]], now.value, voc) if cut else 0.0
+                at = [i for i, w in enumerate(b["word"]) if w]
+                total += expected_counts([MARK + b["word"].iloc[i] for i in at], counts[at], now.value, voc)
             k, piece = np.nonzero(total)
             yield pd.DataFrame({"k": k, "piece": piece, "n": total[k, piece]})
 
@@ -245,7 +313,7 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
     return np.log(mixed / mixed.sum(axis=1, keepdims=True))
 
 
-def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.ndarray, distinct: np.ndarray, vocabulary_path: Callable[[], str]) -> DataFrame:
+def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.ndarray, distinct: np.ndarray, vocabulary_path: Callable[[], str], word_edges: bool = True) -> DataFrame:
     """word, c, lp_0 .. lp_K: its natural log probability in each language.
 
     used and distinct: training tokens, and different ones, by language. The lattice's
@@ -258,19 +326,19 @@ def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.n
         voc = vocabulary(vocabulary_path())
         for b in batches:
             lp = np.zeros((len(b), len(names)))
-            cut = [(p, i) for i, w in enumerate(b["word"]) if w for p in parts(w)]
-            if cut:
-                np.add.at(lp, [i for _, i in cut], log_marginals([p for p, _ in cut], now.value, voc))
+            at = [i for i, w in enumerate(b["word"]) if w]
+            lp[at] = log_marginals([MARK + b["word"].iloc[i] for i in at], now.value, voc)
             lp[(b["word"] == "").to_numpy()] = now.value[:, voc.end]
             with np.errstate(divide="ignore"):
                 whole = np.log(known * b[names].to_numpy(float) / np.maximum(used, 1.0))
-            lp = np.logaddexp(whole, lp + np.log1p(-known))
+            if word_edges:
+                lp = np.logaddexp(whole, lp + np.log1p(-known))
             yield pd.DataFrame({"word": b["word"].astype(object), "c": b[names].sum(axis=1).astype("int64")} | {f"lp_{i}": x for i, x in enumerate(lp.T)})
 
     return words.mapInPandas(run, ", ".join(["word string, c long", *(f"lp_{i} double" for i in range(len(names)))]))
 
 
-def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out_fold: int = 1) -> DataFrame:
+def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out_fold: int = 1, word_edges: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
     held_out = crc_mod(id_col, folds) == held_out_fold
@@ -284,7 +352,7 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
     share = np.array([sums[n] for n in names], float)
     log_share = np.log((share + 1.0) / (share + 1.0).sum())
     logp = piece_log_probabilities(words, names, vocabulary_path)
-    values = written(word_values(words, names, logp, share, np.array([sums[f"d{n}"] for n in names], float), vocabulary_path), "word-values")
+    values = written(word_values(words, names, logp, share, np.array([sums[f"d{n}"] for n in names], float), vocabulary_path, word_edges), "word-values")
     base_of = lambda count: np.log10((count + 0.5) / (n_train + 0.5 * (distinct + 1)))
 
     lps = [f"lp_{i}" for i in range(len(names))]

@@ -30,7 +30,7 @@ def test_marginals_and_expected_counts():
     sp = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary_path())
     usable = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and -sp.get_score(i) < 1e8]
     pieces = {p: i for i, p in enumerate(usable)}
-    words = ["▁the", "▁thereaté", "▁𝄞x中", "▁", "▁qzqzqz", "a"]
+    words = ["▁the", "▁thereaté", "▁𝄞x中", "▁", "▁qzqzqz", "a", "▁" + "internationalisation中é" * 5, "▁" + "x" * 99]
     got = lm.log_marginals(words, v.start[None], v)
     for w, g in zip(words, got[:, 0], strict=True):
         assert g == pytest.approx(slow_marginal(w, v, pieces, v.start), rel=1e-12)
@@ -62,3 +62,82 @@ def test_rare_words_are_joined_to_the_same_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 3)
     for a, b in zip(whole, sorted(lm.score(docs, piece_vocabulary_path).collect(), key=key), strict=True):
         assert a["score"] == pytest.approx(b["score"]) and a["base_score"] == pytest.approx(b["base_score"]) and a["n_known"] == b["n_known"]
+
+
+def test_long_words_are_walked_in_chunks_to_the_same_sums(monkeypatch):
+    v = lm.vocabulary(piece_vocabulary_path())
+    words = ["▁" + "theinternationalé中" * 6, "▁" + "abcdefgh" * 13]
+    one = np.ones((2, 1))
+    sums, uses = lm.log_marginals(words, v.start[None], v), lm.expected_counts(words, one, v.start, v)
+    monkeypatch.setattr(lm, "CHUNK", 7)
+    assert lm.log_marginals(words, v.start[None], v) == pytest.approx(sums, rel=1e-12)
+    assert lm.expected_counts(words, one, v.start, v) == pytest.approx(uses, abs=1e-9)
+    monkeypatch.setattr(lm, "LONG_WORD", 1000)  # side by side
+    assert lm.log_marginals(words, v.start[None], v) == pytest.approx(sums, rel=1e-12)
+    assert lm.expected_counts(words, one, v.start, v) == pytest.approx(uses, abs=1e-9)
+    assert math.isfinite(lm.log_marginals(["▁" + "y" * 100_000], v.start[None], v)[0, 0])
+
+
+@pytest.mark.parametrize("edges", [True, False])
+def test_score_against_enumerated_segmentations(spark, edges):
+    """The whole score, from training to mixture, by listing every segmentation of every word."""
+    import sentencepiece
+
+    texts = [(i, t, lang) for i, (t, lang) in enumerate([("the cat the hat", "en"), ("le chat é", "fr"), ("hat cat", "en"), ("the ct 中", "en"), (None, "fr"), ("le the", None)])]
+    v = lm.vocabulary(piece_vocabulary_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_vocabulary_path())
+    usable = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and -sp.get_score(i) < 1e8]
+    ids = {p: i for i, p in enumerate(usable)}
+
+    def ways(w):
+        """Every segmentation as {piece: uses}, with what its spelled bytes cost beside them."""
+        if not w:
+            yield Counter(), 0
+        for n in range(1, len(w) + 1):
+            step = Counter({ids[w[:n]]: 1}) if w[:n] in ids else Counter({v.byte: len(w[:1].encode())}) if n == 1 else None
+            if step is not None:
+                for rest, spelled in ways(w[n:]):
+                    yield step + rest, spelled + step[v.byte]
+
+    prob = lambda way, p: math.prod(p[i] ** k for i, k in way[0].items()) / 256 ** way[1]
+    tokens = lambda t: (t or "").lower().split() + [""]
+    train = [(t, lang or "") for i, t, lang in texts if zlib.crc32(str(i).encode()) % 5 != 1]
+    langs = [x for x, _ in sorted(Counter(x for _, x in train).items(), key=lambda kv: (-kv[1], kv[0]))]
+    used = [Counter(w for t, x in train if x == lang for w in tokens(t)) for lang in langs] + [Counter()]
+    start = np.exp(v.start)
+    pooled = start
+    for _ in range(lm.PASSES):
+        n = np.zeros((len(used), v.size))
+        for k, c in enumerate(used):
+            for w, times in c.items():
+                if not w:
+                    n[k, v.end] += times
+                    continue
+                every = list(ways("▁" + w))
+                p = np.array([prob(x, pooled) for x in every])
+                for x, share in zip(every, p / p.sum(), strict=True):
+                    for i, uses in x[0].items():
+                        n[k, i] += times * share * uses
+        pooled = n.sum(axis=0) + lm.PRIOR * v.size * start
+        pooled /= pooled.sum()
+    mixed = n + lm.PRIOR * 1000 * pooled
+    mixed /= mixed.sum(axis=1, keepdims=True)
+    share = np.array([c.total() + 1.0 for c in used])
+    want = {}
+    for i, t, _ in texts:
+        total = 0.0
+        for k, c in enumerate(used):
+            one = share[k] / share.sum()
+            known = c.total() / max(c.total() + len(c), 1)
+            for w in tokens(t):
+                lattice = sum(prob(x, mixed[k]) for x in ways("▁" + w)) if w else mixed[k, v.end]
+                one *= known * c[w] / max(c.total(), 1) + (1 - known) * lattice if edges else lattice
+            total += one
+        want[i] = math.log10(total)
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string, lang string"), piece_vocabulary_path, word_edges=edges).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_a_text_of_one_very_long_word(spark):
+    docs = spark.createDataFrame([(0, "q" * 50_000, "en"), (2, "word " * 50_000, "en")], "doc_id long, text string, lang string")
+    assert all(math.isfinite(r["score"]) for r in lm.score(docs, piece_vocabulary_path).collect())
