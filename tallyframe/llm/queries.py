@@ -126,23 +126,27 @@ from d left join c using (doc_id) left join k using (doc_id)
 
 def op4_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
-    return OP4_SQL.replace("TEMPLATE_ROWS", rows)
+    n = [len(licenses.template_bigrams(text)) for _, text in licenses.TEMPLATES]
+    sizes = ", ".join(f"({i}, {s})" for i, k in enumerate(n) for s in licenses.window_sizes(k, licenses.MIN_DICE))
+    return OP4_SQL.replace("TEMPLATE_ROWS", rows).replace("SIZE_ROWS", sizes)
 
 
 OP4_SQL = r"""
 with t0(template, license, text) as (values TEMPLATE_ROWS),
+sizes(template, s0) as (values SIZE_ROWS),
 t as (select template, license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from t0),
-ts as (select template, license, len(w) - 1 as t_size from t),
+ts as (select template, license, len(w) - 1 as n from t),
 tb as (select template, g, count(*) as tn from (select template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t) group by all),
-p0 as (
-  select doc_id, unnest(string_split(text, chr(10))) as passage from documents
-  union all
-  select doc_id, x as passage from (select doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) as x from documents) where contains(x, chr(10))),
-p as (select doc_id, row_number() over () as pid, regexp_extract_all(translate(passage, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from p0),
-pb as (select doc_id, pid, len(w) - 1 as size, g, count(*) as n from (select doc_id, pid, w, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from p where len(w) between 2 and 130) group by all),
-m as (select doc_id, pid, template, 2.0::double * sum(least(n, tn))::bigint / (any_value(size) + any_value(t_size)) as dice
-      from pb join tb using (g) join ts using (template) group by doc_id, pid, template),
-b as (select doc_id, arg_min(license, (-dice, license)) as license, max(dice) as dice, count(distinct license) as n_licenses
-      from m join ts using (template) where dice >= 0.8 group by doc_id)
-select doc_id, license, coalesce(dice, 0.0::double) as dice, coalesce(n_licenses, 0) as n_licenses from documents left join b using (doc_id)
+d as (select doc_id, row_number() over () as rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from documents),
+di as (select rid, w, unnest(range(1, len(w))) as p from d where len(w) > 1),
+h as (select rid, template, p, g, tn from (select rid, p, w[p] || ' ' || w[p + 1] as g from di) join tb using (g)),
+c as (select rid, template, n, count(*) over (partition by rid, template) as found from h join ts using (template) qualify row_number() over (partition by rid, template) = 1 and found * 3 >= n * 2),
+cs as (select distinct rid, template, n, len(w) - 1 as size, least(s0, len(w) - 1) as s
+       from c join d using (rid) join sizes using (template) where len(w) - 1 >= (select min(s0) from sizes z where z.template = c.template)),
+starts as (select distinct cs.*, least(p, size - s + 1) as a from cs join h using (rid, template)),
+inside as (select st.rid, st.template, n, s, a, g, least(count(*), any_value(tn)) as k from starts st join h on h.rid = st.rid and h.template = st.template and h.p >= a and h.p < a + s group by all),
+m as (select rid, template, 2.0::double * sum(k)::bigint / (n + s) as dice from inside group by rid, template, n, s, a),
+b as (select rid, arg_min(license, (-dice, license)) as license, max(dice) as dice, count(distinct license) as n_licenses
+      from m join ts using (template) where dice >= 0.8 group by rid)
+select doc_id, license, coalesce(dice, 0.0::double) as dice, coalesce(n_licenses, 0) as n_licenses from d left join b using (rid)
 """
