@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, spread_join, without, written
 from .graph import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -175,33 +175,36 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     reps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     roots = components(links(reps.select("fp")))
-    placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = written(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed-fingerprints")
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(least, "root").select("fp", "root", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    by_fp = written(spread_join(placed, least, "root").select("fp", "root", "component_id"), "components")
+    return spread_join(marked, by_fp, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    return first_of_each(docs, written(near_duplicates(docs), "near-duplicates"))
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return first_of_each(docs, written(near_duplicates(docs, id_col=id_col, text_col=text_col), "near-duplicates"), id_col=id_col, text_col=text_col)
 
 
-def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group (root in found), with all its columns: the one with the smallest id.
 
     Documents are told apart by id and text hash. Null ids come last; of equal ids the
     smallest text hash stays, and of wholly repeated rows one.
     """
-    each = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    each = written(found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows")), "documents-by-group")
     first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
-    judged = each.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
-    named = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    kept = docs.join(named(judged.filter("not stays")), same, "left_anti")
-    repeated = named(judged.filter("stays and rows > 1"))
-    text_key = "__text_key"
-    again = kept.join(repeated, same, "left_semi").withColumn(text_key, F.xxhash64("text")).dropDuplicates(["doc_id", text_key]).drop(text_key)
-    return kept.join(repeated, same, "left_anti").unionByName(again)
+    judged = spread_join(each, first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    kept = without(docs, judged.filter("not stays"), id_col, text_col)
+    repeated = judged.filter("stays and rows > 1")
+    name = fresh(docs, "text_key")
+    # copies of one row among those that stay: few, as each stands for a group
+    marked = kept.withColumn(name, F.xxhash64(text_col))
+    a, b = fresh(marked, "kept_id"), fresh(marked, "kept_key")
+    twice = repeated.select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(a)) & (F.col(name) == F.col(b))
+    again = marked.join(twice, same, "left_semi").dropDuplicates([id_col, name])
+    return marked.join(twice, same, "left_anti").unionByName(again).drop(name)

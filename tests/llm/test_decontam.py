@@ -35,7 +35,7 @@ def frames(spark, docs):
 def test_against_brute_force(spark, docs):
     all_, bench = frames(spark, docs)
     want = sorted(((r["doc_id"], *slow(r["text"], ITEMS)) for r in all_.collect()), key=str)
-    for limit in (1_000_000, 0):  # by broadcast, and by a shuffle
+    for limit in (1_000_000, 2, 0):  # at once, and in blocks
         rows = decontam.digest(decontam.mark(all_, bench, broadcast_windows=limit)).collect()
         got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows), key=str)
         assert got == want
@@ -57,3 +57,29 @@ def test_empty(spark, docs, no_docs):
     assert decontam.mark(no_docs, bench).count() == 0
     none = decontam.digest(decontam.mark(docs, bench.limit(0)))
     assert none.count() == docs.count() and none.filter("contaminated").isEmpty()
+
+
+def test_one_passage_in_half_of_all_documents(spark):
+    """In blocks, with the broadcast of joins off: the hot window is split, and clashing names stay."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(i, f"start {i} {passage} end" if i % 2 else f"clean text number {i}", 1, 2, 3, "x", "y") for i in range(900)] + [(None, passage, 1, 2, 3, "x", "y"), (7, "one more of this id", 1, 2, 3, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad_id int, bad_key int, bad_words int, key string, gram string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(((i, *slow(t, ITEMS)) for i, t, *_ in rows), key=str)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontam.digest(decontam.mark(docs, bench, broadcast_windows=1)).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    left = decontam.drop(docs, bench)
+    assert left.columns == docs.columns and left.count() == 451
+    assert decontam.strip(docs, bench).columns == docs.columns
+
+
+def test_very_long_text(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * 200_000 + "short item " + "x" * 100_000)], "doc_id long, text string")
+    r = decontam.digest(decontam.mark(docs, bench)).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (200_003, 2, 2)
