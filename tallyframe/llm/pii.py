@@ -2,8 +2,8 @@
 
 Candidates come from regular expressions. Luhn confirms card numbers, mod-97 confirms
 IBANs, digit counts and part sizes confirm phones and addresses; a candidate that fails is
-dropped and the search goes on behind it. Words shortly before a span raise or lower its
-score. The four base kinds stay whatever their score; the kinds that the method adds
+dropped and the search goes on behind it. Words near a span, more of them before it than
+behind it, raise or lower its score. The four base kinds stay whatever their score; the kinds that the method adds
 (``iban``, ``short_card``, ``national_id``) must reach ``MIN_SCORE``.
 
 The searches are anchored so that a text costs time in proportion to its length, whatever
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "short_card", "national_id")
 MIN_SCORE = 0.5
-CONTEXT_CHARS = 48
+CONTEXT_CHARS, CONTEXT_BEHIND = 48, 24
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
 
 DIGIT = re.compile(r"[0-9]")
@@ -129,7 +129,7 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
 
 
 def scored(text: str, kind: str, start: int, end: int) -> float:
-    near = {w.lower() for w in WORD.findall(text[max(0, start - CONTEXT_CHARS) : start])}
+    near = {w.lower() for w in WORD.findall(f"{text[max(0, start - CONTEXT_CHARS) : start]} {text[end : end + CONTEXT_BEHIND]}")}
     s = START_SCORE[kind] + 0.3 * bool(near & RAISES[kind]) - 0.3 * bool(near & LOWERS.get(kind, set()))
     return round(min(1.0, max(0.0, s)), 3)
 

@@ -126,5 +126,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     asked = urls.withColumn("part", part_of("key", "salt"))
     cols = ["part", "key", "kind", "page_id", "host", "path", "verdict"]
     both = opens.withColumn("kind", F.lit(0)).select(cols).unionByName(asked.withColumns({"kind": F.lit(1), "verdict": F.lit(None).cast("string")}).select(cols))
-    swept = both.repartition(n, "part").sortWithinPartitions("part", "key", "kind").mapInPandas(sweep, "page_id long, host string, path string, rule string, said string")
+    swept = both.repartitionByRange(n, "part").sortWithinPartitions("part", "key", "kind").mapInPandas(sweep, "page_id long, host string, path string, rule string, said string")
     return swept.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(default)).alias("verdict"))

@@ -16,6 +16,8 @@ Defined results
   response and the rest revisit the same page id.
 * control characters and spaces in urls are percent-encoded in the headers.
 * an empty table gives no records and no captures; other columns are not read.
+* payloads of one size class share archives, so that an archive holds FILE_BYTES of them at
+  most; a larger payload has one of its own (2 GB is what one row of Spark holds).
 * a capture without request or metadata keeps nulls there; of several, the smallest record
   id stands in the row and ``n_requests`` / ``n_metadata`` count them.
 """
@@ -32,12 +34,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import shared_path, spread_join, written
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records in one archive file at most; an archive file is one row for its reader.
-RECORDS_PER_FILE = 6_000
+#: Records and bytes of payload in one archive file at most; an archive file is one row for its reader.
+RECORDS_PER_FILE, FILE_BYTES = 6_000, 256 << 20
+#: Payload sizes up to which pages are written together.
+SIZE_CLASSES = (64 << 10, 1 << 20, 16 << 20, 2 << 30)
 #: Repeated payloads (digests of 40 bytes with an id and a url) that are broadcast at most.
 BROADCAST_DIGESTS = 100_000
 RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, content_type string, declared_digest string, page_id long, payload_bytes long, payload_digest string, payload binary"
@@ -66,17 +70,20 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "
     html = F.coalesce(F.col("html"), F.lit(""))
     seen = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # of each payload the largest page id, how many rows have it, and the least of their urls
-    small = seen.filter(F.octet_length("html") >= min_bytes).select("digest", F.coalesce("page_id", F.lit(-(2**63))).alias("id"), "url")
-    per_id = written(small.groupBy("digest", "id").agg(F.count("*").alias("same"), F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("first")), "warc-digests")
-    kept = per_id.groupBy("digest").agg(F.max(F.struct("id", "same", "first.url")).alias("top"), F.sum("same").alias("rows")).filter("rows > 1").select("digest", "top")
+    shared = F.octet_length("html") >= min_bytes
+    small = seen.select("digest", F.coalesce("page_id", F.lit(-(2**63))).alias("id"), "url", size_class(F.octet_length("html")).alias("class"), shared.alias("shared"))
+    per_id = written(small.groupBy("digest", "id", "class", "shared").agg(F.count("*").alias("same"), F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("first")), "warc-digests")
+    classes = [r[0] for r in per_id.select("class").distinct().collect()]
+    kept = per_id.filter("shared").groupBy("digest").agg(F.max(F.struct("id", "same", "first.url")).alias("top"), F.sum("same").alias("n")).filter("n > 1")
     kept = written(kept, "warc-repeated")
-    if kept.count() <= BROADCAST_DIGESTS:  # else joined by a shuffle of the pages
-        kept = F.broadcast(kept)
-    all_ = seen.join(kept, "digest", "left")
+    if kept.count() <= BROADCAST_DIGESTS:
+        all_ = seen.join(F.broadcast(kept.drop("n")), "digest", "left")
+    else:  # the pages meet their digests by a shuffle, those of very common payloads by a broadcast
+        all_ = spread_join(seen, kept.drop("n"), "digest", "left", counts=kept.select("digest", "n"))
     is_last = F.col("top").isNull() | (F.coalesce("page_id", F.lit(-(2**63))) == F.col("top.id"))
     tied = F.coalesce(is_last & (F.col("top.same") > 1), F.lit(False))
     all_ = all_.withColumn("is_top", is_last)
-    if not per_id.filter("same > 1").isEmpty():
+    if not per_id.filter("shared and same > 1").isEmpty():
         # repeated rows of one page: counted, and one of the first url's copies is the response
         copies = all_.filter(tied).groupBy("page_id", "url", "html", "digest", "top").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
         marked = copies.withColumn("is_top", (F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("top.url")))
@@ -101,8 +108,17 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "
     request = _record("request", [*beside("request"), F.lit("Content-Type: application/http;msgtype=request")], get)
     fields = F.concat_ws(CRLF, named("pageId", F.col("page_id").cast("string")), named("payloadBytes", n), F.lit(""))
     metadata = _record("metadata", [*beside("metadata"), F.lit("Content-Type: application/warc-fields")], fields)
-    lines = rows.select(F.explode(F.array(page, request, metadata)).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    for c in sorted(classes):
+        lines = rows.filter(size_class(F.octet_length("html")) == c).select(F.explode(F.array(page, request, metadata)).alias("value"))
+        most = max(3, min(RECORDS_PER_FILE, 3 * (FILE_BYTES // SIZE_CLASSES[c])))
+        lines.write.mode("append").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path)
+    if not classes:
+        rows.select("digest").write.text(path)
+
+
+def size_class(size: Column) -> Column:
+    """The place in SIZE_CLASSES of a payload of so many bytes."""
+    return sum(((size > s).cast("int") for s in SIZE_CLASSES[1:-1]), (size > SIZE_CLASSES[0]).cast("int"))
 
 
 def _records(content: bytes, with_payload: bool) -> Iterator[tuple]:
@@ -179,7 +195,9 @@ def archive_round_trip(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(pages, path, min_bytes=min_bytes)
     got = assemble(read_warc(spark, path, with_payload=False))
-    flat = got.select(F.col("metadata.page_id").alias("page_id"), F.col("capture.record_id").alias("id"), F.col("capture.record_type").alias("record_type"), F.coalesce("capture.refers_to", "capture.record_id").alias("to"))
-    # a response names itself here, so that no key stands for all of them
-    firsts = got.filter("capture.record_type = 'response'").select(F.col("capture.record_id").alias("to"), F.col("metadata.page_id").alias("to_page"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"))
-    return flat.join(firsts, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("id") != F.col("to"), F.col("to_page")).alias("refers_to"))
+    # a response names itself, so that no key stands for all of them
+    flat = got.select(F.col("metadata.page_id").alias("page_id"), F.col("capture.record_id").alias("id"), F.col("capture.record_type").alias("record_type"), F.coalesce("capture.refers_to", "capture.record_id").alias("to"), "capture.payload_bytes", "capture.payload_digest")
+    flat = written(flat, "captures")
+    firsts = flat.filter("record_type = 'response'").select(F.col("id").alias("to"), F.col("page_id").alias("to_page"), "payload_bytes", "payload_digest")
+    joined = spread_join(flat.drop("payload_bytes", "payload_digest"), firsts, "to", "left")
+    return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("id") != F.col("to"), F.col("to_page")).alias("refers_to"))

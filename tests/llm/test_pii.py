@@ -65,3 +65,9 @@ def test_digest_and_redaction(spark, docs, no_docs):
     assert "[EMAIL]" in seven["text"] and "@" not in seven["text"] and seven["n_chars"] == len(seven["text"])
     assert clean.filter("text is null").count() == 1
     assert pii.digest(no_docs).count() == 0
+
+
+def test_words_behind_a_span_count():
+    kinds = lambda t: [k for k, *_ in pii.spans_of(t)]
+    assert kinds("123-45-6789 is the social security number") == ["national_id"]
+    assert kinds("123-45-6789 " + "x" * 40 + " social security") == []

@@ -48,3 +48,20 @@ def test_assembly_and_payloads(spark):
 
 def test_empty(spark):
     assert warc.archive_round_trip(pages(spark).limit(0)).count() == 0
+
+
+def test_one_payload_in_half_of_all_pages_and_small_archives(spark, monkeypatch):
+    rows = [(i, f"http://h.example/{i}", "the same page" if i % 2 else f"page {i} " * (i % 50 * 30), 0, 1) for i in range(1300)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, to int, record_id int").repartition(4)
+    key = lambda r: (str(r["page_id"]), r["payload_digest"], r["record_type"], str(r["refers_to"]))
+    want = sorted(map(key, warc.archive_round_trip(table).collect()))
+    assert sum(w[2] == "revisit" for w in want) >= 649
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (100, 1_000, 5_000, 1 << 30))
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(key, warc.archive_round_trip(table).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
