@@ -191,9 +191,9 @@ def long_uses(chars: np.ndarray, lp: np.ndarray, v: Vocabulary) -> np.ndarray:
     return total
 
 
-def _by_length(words: list[str]) -> tuple[list[int], list[tuple[int, np.ndarray]]]:
+def _by_length(words: list[str]) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Places of the words that are summed side by side, and the long ones with their characters."""
-    usual = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+    usual = np.array([i for i, w in enumerate(words) if len(w) <= LONG_WORD], np.int64)
     return usual, [(i, code_points([w], len(w))[0]) for i, w in enumerate(words) if len(w) > LONG_WORD]
 
 
@@ -203,7 +203,7 @@ def log_marginals(words: list[str], logp: np.ndarray, v: Vocabulary) -> np.ndarr
     usual, long = _by_length(words)
     for rows, pieces, sizes in _lattices([words[i] for i in usual], v):
         for k, lp in enumerate(logp):
-            out[np.array(usual)[rows], k] = _forward(_weights(pieces, sizes, lp, v), sizes.shape[1])[-1]
+            out[usual[rows], k] = _forward(_weights(pieces, sizes, lp, v), sizes.shape[1])[-1]
     for i, chars in long:
         out[i] = [long_forward(chars, lp, v)[-1] for lp in logp]
     return out
@@ -298,8 +298,8 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
                 counts = b[names].to_numpy(float)
                 b, counts = b[counts.sum(axis=1) > 0], counts[counts.sum(axis=1) > 0]
                 total[:, voc.end] += counts[(b["word"] == "").to_numpy()].sum(axis=0)
-                at = [i for i, w in enumerate(b["word"]) if w]
-                total += expected_counts([MARK + b["word"].iloc[i] for i in at], counts[at], now.value, voc)
+                filled = (b["word"] != "").to_numpy()
+                total += expected_counts([MARK + w for w in b["word"] if w], counts[filled], now.value, voc)
             k, piece = np.nonzero(total)
             yield pd.DataFrame({"k": k, "piece": piece, "n": total[k, piece]})
 
@@ -326,8 +326,7 @@ def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.n
         voc = vocabulary(vocabulary_path())
         for b in batches:
             lp = np.zeros((len(b), len(names)))
-            at = [i for i, w in enumerate(b["word"]) if w]
-            lp[at] = log_marginals([MARK + b["word"].iloc[i] for i in at], now.value, voc)
+            lp[(b["word"] != "").to_numpy()] = log_marginals([MARK + w for w in b["word"] if w], now.value, voc)
             lp[(b["word"] == "").to_numpy()] = now.value[:, voc.end]
             with np.errstate(divide="ignore"):
                 whole = np.log(known * b[names].to_numpy(float) / np.maximum(used, 1.0))
