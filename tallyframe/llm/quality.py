@@ -2,8 +2,9 @@
 
 A language reference is two histograms over every document of that language: shares of
 character classes, and shares of its most common words (all other words are one more bin).
-A document is compared with each reference by Jensen-Shannon distance; the nearest one
-counts. Short documents are not judged by divergence (``MIN_CHARS``, ``MIN_WORDS``), since
+Words are lower-cased (ASCII). A document is compared with each reference by Jensen-Shannon
+distance; the nearest one counts, of equally near ones that of the language with most words
+(then the first by name). Short documents are not judged by divergence (``MIN_CHARS``, ``MIN_WORDS``), since
 their histograms say little, nor are documents whose own language has no reference.
 
 Counting the corpus is one pass that sends per-task sums of distinct words; judging is a
@@ -90,11 +91,15 @@ def dup_lines(text: str) -> int:
     return n
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Square root of the Jensen-Shannon divergence, base 2."""
+def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row by row; a bin that is zero on both sides adds nothing."""
     m = (p + q) / 2
-    part = lambda a: float((a[a > 0] * np.log2(a[a > 0] / m[a > 0])).sum())
-    return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
+    part = lambda a: (a * np.log2(np.divide(a, m, out=np.ones_like(m), where=a > 0))).sum(axis=1)
+    return np.sqrt(np.maximum(0.0, (part(p) + part(q)) / 2))
+
+
+def js_distance(p: np.ndarray, q: np.ndarray) -> float:
+    return float(js_distances(p[None], q[None])[0])
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,23 +151,33 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return out
 
 
-def nearest(raw: bytes, words: list[bytes], refs: dict) -> tuple[str | None, float | None, float | None]:
-    """The nearest reference, by the mean of both distances."""
-    best: tuple = (None, None, None)
-    if not refs:
-        return best
-    classes = class_counts(raw).astype(float)
-    classes /= classes.sum()
-    counts = Counter(words)
-    for lang, (ref_classes, index, ref_words) in refs.items():
-        h = np.zeros(len(ref_words))
-        for w, i in index.items():
-            h[i] = counts.get(w, 0)
-        h[-1] = len(words) - h.sum()
-        got = (lang, js_distance(classes, ref_classes), js_distance(h / len(words), ref_words))
-        if best[0] is None or got[1] + got[2] < best[1] + best[2]:
-            best = got
-    return best
+class Stacked:
+    """All references as matrices, a language a row, with one index of all their words."""
+
+    def __init__(self, refs: dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]) -> None:
+        self.langs = list(refs)
+        self.classes = np.array([classes for classes, _, _ in refs.values()])
+        width = max(len(words) for _, _, words in refs.values())
+        self.words = np.zeros((len(refs), width))
+        self.bins: dict[bytes, list[tuple[int, int]]] = {}
+        for row, (_, index, words) in enumerate(refs.values()):
+            # other words lie in the last column whatever the number of common ones
+            self.words[row, : len(words) - 1], self.words[row, -1] = words[:-1], words[-1]
+            for w, i in index.items():
+                self.bins.setdefault(w, []).append((row, i))
+
+    def nearest(self, raw: bytes, words: list[bytes]) -> tuple[str, float, float]:
+        """The nearest reference, by the mean of both distances."""
+        classes = class_counts(raw).astype(float)
+        h = np.zeros_like(self.words)
+        for w, n in Counter(words).items():
+            for at in self.bins.get(w, ()):
+                h[at] = n
+        h[:, -1] = len(words) - h.sum(axis=1)
+        by_class = js_distances(np.broadcast_to(classes / classes.sum(), self.classes.shape), self.classes)
+        by_word = js_distances(h / len(words), self.words)
+        best = int(np.argmin(by_class + by_word))
+        return self.langs[best], float(by_class[best]), float(by_word[best])
 
 
 def judge(docs: DataFrame, refs: dict, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", class_limit: tuple[float, float] = CLASS_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
@@ -170,6 +185,7 @@ def judge(docs: DataFrame, refs: dict, *, id_col: str = "doc_id", text_col: str
     names = [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stacked = Stacked(refs) if refs else None
         for batch in batches:
             rows = []
             for doc_id, text, own in zip(batch["doc_id"], batch["text"], batch["lang"], strict=True):
@@ -180,8 +196,8 @@ def judge(docs: DataFrame, refs: dict, *, id_col: str = "doc_id", text_col: str
                 blanks = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
                 failed = n < 20 or 100 * repeats > 30 * n
                 lang = by_class = by_word = None
-                if own in refs and n >= MIN_WORDS and len(text) >= MIN_CHARS:
-                    lang, by_class, by_word = nearest(raw, raw.lower().split(), refs)
+                if stacked and own in refs and n >= MIN_WORDS and len(text) >= MIN_CHARS:
+                    lang, by_class, by_word = stacked.nearest(raw, raw.lower().split())
                 kept = not failed and (lang is None or all(d <= floor + slope / n**0.5 for d, (floor, slope) in ((by_class, class_limit), (by_word, word_limit))))
                 rows.append((doc_id, n, len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dup_lines(text), repeats, failed, kept, lang, by_class, by_word))
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "class_distance": "float64", "word_distance": "float64"})
