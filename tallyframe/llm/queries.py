@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
+from . import audit, decontam, licenses, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +65,16 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": op4_sql(), "op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL}
+    return {"op4_license_scan": op4_sql(), "op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL, "op12_filter_audit": OP12_SQL}
 
 
 OP10_SQL = r"""
@@ -107,6 +111,36 @@ select page_id, payload_bytes, payload_digest,
 from m
 """
 
+OP12_SQL = r"""
+with recursive d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by 1),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) over (partition by t), false)} as x
+  from d left join l using (doc_id)),
+g as (
+  select part, good, toxic, (case when x['A'] then 'A' else '' end) || (case when x['B'] then 'B' else '' end) || (case when x['C'] then 'C' else '' end) || (case when x['D'] then 'D' else '' end) || (case when x['E'] then 'E' else '' end) as fails, count(*) as n
+  from f group by all),
+o(filter_order) as (
+  select '' union all select filter_order || x from o, (values ('A'), ('B'), ('C'), ('D'), ('E')) v(x) where not contains(filter_order, x)),
+s as (select filter_order, step, substr(filter_order, step, 1) as x, substr(filter_order, 1, step - 1) as earlier from o, (values (1), (2), (3), (4), (5)) v(step) where length(filter_order) = 5),
+c as (
+  select part, filter_order, step, x,
+         sum(n) filter (translate(fails, earlier || x, '') = fails)::bigint as kept,
+         sum(n) filter (contains(fails, x) and translate(fails, earlier, '') = fails)::bigint as removed,
+         sum(n) filter (contains(fails, x) and translate(fails, earlier, '') <> fails)::bigint as redundant,
+         sum(n) filter (fails = x)::bigint as unique_fails,
+         sum(n) filter (contains(fails, x) and translate(fails, earlier, '') = fails and good)::bigint as good_lost,
+         sum(n) filter (contains(fails, x) and translate(fails, earlier, '') = fails and toxic)::bigint as toxic_lost
+  from g, s group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0) as kept, coalesce(removed, 0) as removed, coalesce(redundant, 0) as redundant, coalesce(unique_fails, 0) as unique_fails,
+       coalesce(good_lost, 0) as good_lost, coalesce(toxic_lost, 0) as toxic_lost, coalesce(sum(removed) over (partition by part, x), 0)::bigint as shapley
+from c
+"""
+
 OP7_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
