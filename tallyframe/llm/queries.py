@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontam, licenses, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
+from . import audit, decontam, htmltext, licenses, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +65,16 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules, op11_main_text, op12_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
