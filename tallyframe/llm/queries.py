@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontam, htmltext, licenses, lm, packing, pii, quality, simhash, toxicity, urlfilter, warc
+from . import audit, decontam, htmltext, licenses, lm, packing, pii, quality, simhash, toxicity, trie, urlfilter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,12 +73,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules, op11_main_text, op12_filter_audit)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_lattice_lm, op4_license_scan, op5_pii, op6_quality, op7_decontamination, op8_simhash, op9_warc_transactions, op10_url_rules, op11_main_text, op12_filter_audit, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": op4_sql(), "op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL, "op12_filter_audit": OP12_SQL}
+    return {"op4_license_scan": op4_sql(), "op7_decontamination": OP7_SQL, "op10_url_rules": OP10_SQL, "op9_warc_transactions": OP9_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
 
 
 OP10_SQL = r"""
@@ -145,6 +149,34 @@ select part, filter_order, step::int as step, coalesce(kept, 0) as kept, coalesc
 from c
 """
 
+OP13_SQL = r"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos
+  from conversations where conv_id is not null),
+c as (
+  select conv_id, conv_id - conv_id % 100 as base,
+         xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+             lambda crc, b: list_reduce([xor(crc, b)] || [0::bigint, 0, 0, 0, 0, 0, 0, 0], lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 6 as h
+  from (select distinct conv_id from t)),
+r as (
+  select c.conv_id, pos, role, text from c join t on t.conv_id = base and pos < h
+  union all select conv_id, pos + 10, role, text from c join t using (conv_id) where pos >= h),
+s as (
+  select conv_id, row_number() over w as depth, length(text) as chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over w) as node
+  from r window w as (partition by conv_id order by pos)),
+m as (select conv_id, depth, chars, node from s union all select conv_id, 0, 0, '' from c),
+n as (select node, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved from m group by node),
+last as (select conv_id, arg_max(node, depth) as node from m group by 1),
+e as (select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from last group by 1),
+-- a node's ancestors are the nodes of its smallest member that are not deeper
+a as (select m.node as above, n.node, n.saved from n join m on m.conv_id = n.conv_id and m.depth <= n.depth),
+p as (select a.above as parent, a.node from a join n x on x.node = a.above join n y on y.node = a.node where x.depth = y.depth - 1),
+k as (select parent, count(*) as n_children from p group by 1),
+b as (select above, count(*) filter (k.parent is null) as n_leaves, sum(saved)::bigint as saved_tokens from a left join k on k.parent = a.node group by 1)
+select n.conv_id, n.depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(k.n_children, 0) as n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from n left join p on p.node = n.node left join n q on q.node = p.parent left join k on k.parent = n.node join b on b.above = n.node left join e on e.node = n.node
+"""
+
 OP7_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
