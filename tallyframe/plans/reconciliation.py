@@ -841,6 +841,48 @@ QUERIES["stream_matches"] = stream_matches
 SQL["stream_matches"] = _STREAM_SQL
 
 
+#: Of the groups that occur well before the last third, a fifth comes late as a whole, and of a fifth the ledger rows do.
+_LATE_SQL = _STREAM_SQL[: _STREAM_SQL.rindex(",\npicked as")] + """,
+cut as (select max(k) // 4 // 3 as third from cb),
+sides as (select row_id, 'gateway' as side, received_at from cg union all select row_id, 'ledger', received_at from cl),
+come as (
+  select *, row_id // 4 < 2 * third - 24 and row_id // 4 % 5 = 0 as late_group, row_id // 4 < 2 * third - 24 and row_id // 4 % 5 = 1 as late_ledger, row_id // 4 < 2 * third as early from sides, cut),
+clock as (
+  select max(received_at) filter (where early and not late_group and not (late_ledger and side = 'ledger')) - interval 10 minutes as before_late, max(received_at) - interval 10 minutes as last from come),
+picked as (
+  select g, l from (select unnest(gs) as g, unnest(ls) as l from last) join come on row_id = g and side = 'gateway' and not late_ledger),
+-- a row waits from its receipt, or from its arrival if the clock was later
+lone as (
+  select side, row_id, case when late_group or (late_ledger and side = 'ledger') then greatest(received_at, before_late) else received_at end as since, last from come, clock
+  where case when side = 'gateway' then row_id not in (select g from picked) else row_id not in (select l from picked) end)
+select case when side = 'gateway' then row_id end as gateway_id, case when side = 'ledger' then row_id end as ledger_id, 'unmatched_' || side || '_only' as status from lone where since + interval 300 seconds < last
+union all select p.g, p.l, case when cp.rank = 2 then 'amount_drift' else 'matched' end from picked p join cp on cp.g = p.g and cp.l = p.l
+"""
+
+
+def stream_late_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The contested feed in four arrivals, the third of which lies hours behind the stream's clock.
+
+    Groups that come late as a whole still match. Where only the ledger rows do, the gateway rows
+    have been swept, so that both sides are breaks; none is lost.
+    """
+    ensure_checkpoints(spark)
+    at = shared_path(spark, "stream")
+    rows = feeds.contested(spark.read.parquet(f"{d}/orders.parquet"))
+    third = spark.read.parquet(f"{d}/orders.parquet").agg(F.floor(F.floor(F.max("o_orderkey") / 4) / 3)).first()[0]
+    group = F.floor(F.col("row_id") / 4)
+    late = (group < 2 * third - 24) & ((group % 5 == 0) | ((group % 5 == 1) & (F.col("side") == "ledger")))
+    arrival = F.when(late, 2).when(group < third, 0).when(group < 2 * third, 1).otherwise(3)
+    for n in range(4):
+        rows.filter(arrival == n).write.mode("append").parquet(f"{at}/in")
+        matcher.run_available(spark, f"{at}/in", SUBMISSION, f"{at}/out", f"{at}/checkpoints", files_per_batch=100_000)
+    return matcher.streamed_results(spark, f"{at}/out").select("gateway_id", "ledger_id", "status")
+
+
+QUERIES["stream_late_arrivals"] = stream_late_arrivals
+SQL["stream_late_arrivals"] = _LATE_SQL
+
+
 def flagship(spark: SparkSession, d: str, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """Counts by status and layer of everything that the engine decides."""
     return recon_summary(spark, d)

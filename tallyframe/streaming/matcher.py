@@ -3,6 +3,7 @@
 Submissions of both sides arrive in micro-batches. First receipts are kept by a keyed state
 that never forgets; the matcher remembers the pending rows of each side, gives an arriving
 row its best pending partner, and sweeps a row that waited too long by an event-time timer.
+No row is dropped for being late: what comes behind the stream's clock waits from there on.
 Output rows have the columns of results.
 """
 
@@ -19,6 +20,7 @@ from ..operators import results as result_ops
 from ..operators.matching import layer_name
 
 PENDING = "row_id long, amount decimal(18,2), occurred_us long, received_us long"
+SIDES = ("gateway", "ledger")
 MATCHED = "kind string, gateway_id long, ledger_id long, g_amount decimal(18,2), l_amount decimal(18,2), g_occurred_us long, l_occurred_us long, g_received_us long, l_received_us long, rank int, decided_us long"
 FIRST = "side string, row_id long, idempotency_key string, txn_id string, amount decimal(18,2), currency string, occurred_us long, received_us long, received_ts timestamp, submissions long, is_first boolean"
 
@@ -44,14 +46,20 @@ class FirstReceipt(StatefulProcessor):
 
 
 class Matcher(StatefulProcessor):
-    """Keyed by (txn_id, currency): pending rows of both sides, one timer per pending row."""
+    """Keyed by (txn_id, currency): pending rows of both sides, one timer per pending row.
+
+    Pending rows lie in buckets of a drift window's length by the time they occurred at, so that
+    an arrival reads three buckets of the other side however much is pending, and a timer one.
+    A row waits from its receipt, or from its arrival if the stream's clock was already later.
+    """
 
     def __init__(self, cfg: MatchConfig = DEFAULT) -> None:
         self.cfg = cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = {s: handle.getMapState(s, "id long", PENDING) for s in ("gateway", "ledger")}
+        self.buckets = {s: handle.getMapState(s, "bucket long", f"rows array<struct<{PENDING.replace(' ', ':').replace(',:', ',')}>>") for s in SIDES}
+        self.due = handle.getMapState("due", "due_ms long", "rows array<struct<side:string,bucket:long,row_id:long>>")
 
     def _rank(self, g: tuple, led: tuple) -> int | None:
         dt, off = abs(g[2] - led[2]), abs(g[1] - led[1])
@@ -62,57 +70,91 @@ class Matcher(StatefulProcessor):
         band = max(abs(g[1]) * self.cfg.amount_drift_pct, self.cfg.amount_drift_floor)
         return 2 if off <= band else None
 
-    def _best(self, side: str, row: tuple, others: list[tuple]) -> tuple | None:
-        ranked = []
-        for o in others:
-            g, led = (row, o) if side == "gateway" else (o, row)
-            rank = self._rank(g, led)
-            if rank is not None:
-                ranked.append(((rank, abs(g[2] - led[2]), abs(g[1] - led[1]), o[0]), o))
-        return min(ranked, key=lambda x: x[0]) if ranked else None
-
-    def _held(self) -> dict[str, dict[int, tuple]]:
-        return {s: {tuple(k)[0]: tuple(v) for k, v in state.iterator()} for s, state in self.pending.items()}
+    def _bucket(self, row: tuple) -> int:
+        return row[2] // max(1, self.cfg.drift_window_us)
+
+    def _read(self, held: dict, side: str, bucket: int) -> dict[int, tuple]:
+        """The rows of a bucket by id; held has what this call has read or changed."""
+        if (side, bucket) not in held:
+            state = self.buckets[side]
+            rows = state.getValue((bucket,))[0] if state.containsKey((bucket,)) else []
+            held[side, bucket] = {r[0]: tuple(r) for r in rows}
+        return held[side, bucket]
+
+    def _write(self, held: dict, changed: set) -> None:
+        for side, bucket in changed:
+            rows = held[side, bucket]
+            if rows:
+                self.buckets[side].updateValue((bucket,), (list(rows.values()),))
+            elif self.buckets[side].containsKey((bucket,)):
+                self.buckets[side].removeKey((bucket,))
+
+    def _best(self, held: dict, side: str, row: tuple) -> tuple[int, tuple] | None:
+        other, at, found = SIDES[side == "gateway"], self._bucket(row), []
+        for b in (at - 1, at, at + 1):
+            for o in self._read(held, other, b).values():
+                g, led = (row, o) if side == "gateway" else (o, row)
+                rank = self._rank(g, led)
+                if rank is not None:
+                    found.append(((rank, abs(g[2] - led[2]), abs(g[1] - led[1]), o[0]), b, o))
+        if not found:
+            return None
+        (rank, *_), b, o = min(found, key=lambda x: x[0])
+        del self._read(held, other, b)[o[0]]
+        return rank, o
+
+    def _wait(self, held: dict, changed: set, due: dict, side: str, row: tuple, clock_ms: int) -> None:
+        bucket = self._bucket(row)
+        self._read(held, side, bucket)[row[0]] = row
+        changed.add((side, bucket))
+        due.setdefault(max(row[3] // 1000, clock_ms) + self.cfg.unmatched_after_s * 1000 + 1, []).append((side, bucket, row[0]))
+
+    def _register(self, due: dict) -> None:
+        for at, rows in due.items():
+            before = [tuple(r) for r in self.due.getValue((at,))[0]] if self.due.containsKey((at,)) else []
+            if not before:
+                self.handle.registerTimer(at)
+            self.due.updateValue((at,), (before + rows,))
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        """A row that a batch left pending: it waits on, from its receipt."""
+        held, changed, due = {}, set(), {}
+        r = initialState
+        self._wait(held, changed, due, r.side, (r.row_id, r.amount, r.occurred_us, r.received_us), 0)
+        self._write(held, changed)
+        self._register(due)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self._held()
-        before = {s: set(v) for s, v in held.items()}
+        held, changed, due = {}, set(), {}
+        clock = max(0, timerValues.getCurrentWatermarkInMs())
         for r in sorted(rows, key=lambda r: (r.received_us, r.side, r.row_id)):
             row = (r.row_id, r.amount, r.occurred_us, r.received_us)
-            other = "ledger" if r.side == "gateway" else "gateway"
-            best = self._best(r.side, row, list(held[other].values()))
+            best = self._best(held, r.side, row)
             if best is None:
-                held[r.side][r.row_id] = row
-                self.handle.registerTimer(self._due_ms(row))
+                self._wait(held, changed, due, r.side, row, clock)
                 continue
-            (rank, *_), partner = best
-            del held[other][partner[0]]
+            rank, partner = best
+            changed.add((SIDES[r.side == "gateway"], self._bucket(partner)))
             g, led = (row, partner) if r.side == "gateway" else (partner, row)
             yield Row(kind="match", gateway_id=g[0], ledger_id=led[0], g_amount=g[1], l_amount=led[1], g_occurred_us=g[2], l_occurred_us=led[2], g_received_us=g[3], l_received_us=led[3], rank=rank, decided_us=max(g[3], led[3]))
-        self._keep(held, before)
+        self._write(held, changed)
+        self._register(due)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        held = self._held()
-        before = {s: set(v) for s, v in held.items()}
-        for side in ("gateway", "ledger"):
-            for row in [r for r in held[side].values() if self._due_ms(r) <= now]:
-                del held[side][row[0]]
-                g, led = (row, None) if side == "gateway" else (None, row)
-                of = lambda x, i: x[i] if x else None
-                yield Row(kind=side, gateway_id=of(g, 0), ledger_id=of(led, 0), g_amount=of(g, 1), l_amount=of(led, 1), g_occurred_us=of(g, 2), l_occurred_us=of(led, 2), g_received_us=of(g, 3), l_received_us=of(led, 3), rank=None, decided_us=now * 1000)
-        self._keep(held, before)
-
-    def _due_ms(self, row: tuple) -> int:
-        return row[3] // 1000 + self.cfg.unmatched_after_s * 1000 + 1
-
-    def _keep(self, held: dict, before: dict) -> None:
-        """Writes the rows that came and removes those that went; the others are not touched."""
-        for side, rows in held.items():
-            for i in before[side] - rows.keys():
-                self.pending[side].removeKey((i,))
-            for i in rows.keys() - before[side]:
-                self.pending[side].updateValue((i,), rows[i])
+        if not self.due.containsKey((now,)):
+            return
+        held, changed = {}, set()
+        for side, bucket, row_id in sorted(tuple(r) for r in self.due.getValue((now,))[0]):
+            row = self._read(held, side, bucket).pop(row_id, None)
+            if row is None:  # matched meanwhile
+                continue
+            changed.add((side, bucket))
+            g, led = (row, None) if side == "gateway" else (None, row)
+            of = lambda x, i: x[i] if x else None
+            yield Row(kind=side, gateway_id=of(g, 0), ledger_id=of(led, 0), g_amount=of(g, 1), l_amount=of(led, 1), g_occurred_us=of(g, 2), l_occurred_us=of(led, 2), g_received_us=of(g, 3), l_received_us=of(led, 3), rank=None, decided_us=now * 1000)
+        self.due.removeKey((now,))
+        self._write(held, changed)
 
     def close(self) -> None:
         pass
@@ -140,13 +182,20 @@ def first_receipts(submissions: DataFrame) -> DataFrame:
     return timed.groupBy("side", "idempotency_key").transformWithState(statefulProcessor=FirstReceipt(), outputStructType=FIRST, outputMode="append", timeMode="none")
 
 
-def matched(receipts: DataFrame, delay: str = "10 minutes", cfg: MatchConfig = DEFAULT) -> DataFrame:
+def matched(receipts: DataFrame, delay: str = "10 minutes", cfg: MatchConfig = DEFAULT, backlog: DataFrame | None = None) -> DataFrame:
     """A stream of first receipts with received_ts to the matcher's rows (MATCHED).
 
-    delay is how late, by receipt time, a row may come before its timer may have run.
+    The stream's clock, which runs the timers, is the latest receipt less delay. Spark drops rows
+    behind the clock only where they carry its column; here that column ends at the clock, so a row
+    that comes late, however late, is matched or waits like any other.
+    backlog: receipts that a batch left pending, taken over when the stream first starts.
     """
-    marked = receipts.withWatermark("received_ts", delay)
-    return marked.groupBy("txn_id", "currency").transformWithState(statefulProcessor=Matcher(cfg), outputStructType=MATCHED, outputMode="append", timeMode="eventtime")
+    clocked = receipts.withColumn("clock", F.col("received_ts")).withWatermark("clock", delay)
+    keyed = clocked.select("side", "row_id", "txn_id", "amount", "currency", "occurred_us", "received_us").groupBy("txn_id", "currency")
+    start = None
+    if backlog is not None:
+        start = backlog.select("txn_id", "currency", "side", "row_id", "amount", _epoch("occurred_at").alias("occurred_us"), _epoch("received_at").alias("received_us")).groupBy("txn_id", "currency")
+    return keyed.transformWithState(statefulProcessor=Matcher(cfg), outputStructType=MATCHED, outputMode="append", timeMode="eventtime", initialState=start)
 
 
 class Sink:
@@ -162,7 +211,7 @@ class Sink:
         return spark.read.parquet(self.path).drop("epoch")
 
 
-def run_available(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, cfg: MatchConfig = DEFAULT, files_per_batch: int = 1) -> None:
+def run_available(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, cfg: MatchConfig = DEFAULT, files_per_batch: int = 1, backlog: DataFrame | None = None) -> None:
     """Reads what a directory of Parquet submissions holds now, and stops.
 
     Two queries, each with its own checkpoint: receipts, then matches over what they wrote.
@@ -177,7 +226,7 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str, check
         first = first_receipts(raw).writeStream.option("checkpointLocation", f"{checkpoint}/receipts").format("parquet").option("path", f"{out}/receipts").trigger(availableNow=True).start()
         first.awaitTermination()
         stream = spark.readStream.schema(FIRST).option("maxFilesPerTrigger", max(64, files_per_batch)).parquet(f"{out}/receipts").filter("is_first")
-        second = matched(stream, cfg=cfg).writeStream.option("checkpointLocation", f"{checkpoint}/matches").foreachBatch(Sink(f"{out}/matches")).trigger(availableNow=True).start()
+        second = matched(stream, cfg=cfg, backlog=backlog).writeStream.option("checkpointLocation", f"{checkpoint}/matches").foreachBatch(Sink(f"{out}/matches")).trigger(availableNow=True).start()
         second.awaitTermination()
     finally:
         spark.conf.set(provider, before)
