@@ -14,12 +14,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def _placed(rows: DataFrame, order: list[Column | str], part: str, at: str) -> DataFrame:
+def placed(rows: DataFrame, order: list[Column | str], part: str, at: str | None = None) -> DataFrame:
     """rows range partitioned and sorted, kept so by a checkpoint, with partition and place."""
     ensure_checkpoints(rows.sparkSession)
     kept = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     n = F.monotonically_increasing_id()
-    return kept.withColumns({part: F.shiftright(n, 33), at: n.bitwiseAND((1 << 33) - 1)})
+    named = {part: F.shiftright(n, 33), at: n.bitwiseAND((1 << 33) - 1)} if at else {part: F.shiftright(n, 33)}
+    return kept.withColumns(named)
 
 
 def _before(sizes: list[tuple], start: object) -> list[tuple]:
@@ -37,17 +38,17 @@ def row_numbers(rows: DataFrame, order: list[Column | str], name: str) -> DataFr
     before, of which there are only as many as partitions.
     """
     part, at, before = (fresh(rows, c) for c in ("part", "at", "before"))
-    placed = _placed(rows, order, part, at)
-    offsets = _before([(r[0], r[1]) for r in placed.groupBy(part).count().collect()], 0)
+    known_places = placed(rows, order, part, at)
+    offsets = _before([(r[0], r[1]) for r in known_places.groupBy(part).count().collect()], 0)
     known = rows.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
-    return placed.join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(at) + 1).drop(part, at, before)
+    return known_places.join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(at) + 1).drop(part, at, before)
 
 
 def running_totals(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """rows with name, the sum of value (long) over all rows up to and with this one, in order."""
     part, at, before = (fresh(rows, c) for c in ("part", "at", "before"))
-    placed = _placed(rows, [order], part, at)
-    offsets = _before([(r[0], r[1]) for r in placed.groupBy(part).agg(F.sum(value)).collect()], 0)
+    known_places = placed(rows, [order], part, at)
+    offsets = _before([(r[0], r[1]) for r in known_places.groupBy(part).agg(F.sum(value)).collect()], 0)
     known = rows.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
     here = F.sum(value).over(Window.partitionBy(part).orderBy(at))
-    return placed.withColumn(name, here).join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(name)).drop(part, at, before)
+    return known_places.withColumn(name, here).join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(name)).drop(part, at, before)

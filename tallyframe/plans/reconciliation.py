@@ -14,7 +14,7 @@ from ..config import DEFAULT, MatchConfig
 from ..functions import money, text, times
 from ..functions.frames import shared_path, written
 from ..functions.order import ensure_checkpoints
-from ..operators import groundtruth, matching, messages, metrics, reads, receipts, results, store, validate
+from ..operators import flush, groundtruth, matching, messages, metrics, reads, receipts, results, store, validate
 from ..schemas import SUBMISSION
 from ..sources import csvfile, feeds
 from ..streaming import matcher
@@ -272,6 +272,31 @@ def ledger_batches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("txn_id", "batch_id", F.col("position").cast("long").alias("position"))
 
 
+_WAIT_US = 2 * 86_400 * 1_000_000
+_FLUSH_SQL = f""", listed as (
+  select currency, list(epoch_us(received_at) order by received_at, row_id) as ts, list(txn_id order by received_at, row_id) as txns from lsub group by 1),
+steps as (
+  select currency, ts, txns, 1::bigint as i, ts[1] + {_WAIT_US} as deadline, 0::bigint as kept, 0::bigint as sent, null::varchar as txn_id, null::bigint as batch, null::bigint as position from listed
+  union all
+  select currency, ts, txns, i + 1, case when kept + 1 >= 5 or ts[i] >= deadline then ts[i] + {_WAIT_US} else deadline end, case when kept + 1 >= 5 or ts[i] >= deadline then 0 else kept + 1 end,
+         case when kept + 1 >= 5 or ts[i] >= deadline then sent + 1 else sent end, txns[i], sent, kept
+  from (select currency, ts, txns, i, case when kept > 0 and deadline <= ts[i] then deadline + {_WAIT_US} else deadline end as deadline, case when kept > 0 and deadline <= ts[i] then 0 else kept end as kept,
+               case when kept > 0 and deadline <= ts[i] then sent + 1 else sent end as sent
+        from steps where i <= len(ts)))
+--result
+select currency, txn_id, batch, position from steps where txn_id is not null"""
+
+
+def flushed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger rows of each currency as a sender batches them: five at most, two days at most."""
+    rows = flush.timed_batches(_sub(spark, d).filter("side = 'ledger'"), 5, _WAIT_US, ["received_at", "row_id"], "currency")
+    return rows.select("currency", "txn_id", "batch", "position")
+
+
+QUERIES["flushed_batches"] = flushed_batches
+SQL["flushed_batches"] = BASE.replace("with o as", "with recursive o as", 1) + _FLUSH_SQL.replace("--result\n", "")
+
+
 # --- scalars and notes --------------------------------------------------------------------
 
 
