@@ -17,7 +17,7 @@ from ..functions.order import ensure_checkpoints
 from ..operators import flush, groundtruth, matching, messages, metrics, reads, receipts, results, store, validate
 from ..schemas import SUBMISSION
 from ..sources import csvfile, csvsplit, feeds
-from ..streaming import matcher
+from ..streaming import ingest, matcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,6 +630,47 @@ def batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return validate.batch_verdicts(rows)
 
 
+_INTAKE_SQL = _RAW_SQL + """, asked as (
+  select *, case when k % 10 = 7 then 'many-' || (k // 20000) when k % 3 = 0 then 'one-' || k else 'two-' || (k // 2) end as request_id from checked),
+told as (select request_id, count(*) as entries, count(reject_reason) as invalid, count(*) <= 1000 and count(reject_reason) = 0 as accepted from asked group by 1)
+"""
+
+
+def _intake(spark: SparkSession, d: str) -> ingest.Intake:
+    """The webhook bodies as ledger requests of one, two or very many entries, in two arrivals, the first of them replayed."""
+    ensure_checkpoints(spark)
+    at = shared_path(spark, "intake")
+    k = F.col("k")
+    request = F.when(k % 10 == 7, F.concat(F.lit("many-"), F.floor(k / 20_000).cast("string"))).when(k % 3 == 0, F.concat(F.lit("one-"), k.cast("string"))).otherwise(F.concat(F.lit("two-"), F.floor(k / 2).cast("string")))
+    own = F.map_from_arrays(F.array(F.lit("entry_id"), F.lit("idempotency_key")), F.array(F.concat(F.lit("E-"), k.cast("string")), F.col("idempotency_key")))
+    body = F.map_filter(F.from_json("payload", "map<string,string>"), lambda f, _: f != "gateway_ref")
+    entry = F.struct(k.alias("k"), F.map_concat(body, own).alias("entry"))
+    requests = _raw(spark, d).groupBy(request.alias("request_id")).agg(F.sort_array(F.collect_list(F.struct("k", F.to_json(entry["entry"]).alias("entry")))).alias("e"))
+    lines = requests.select(F.concat(F.lit('{"request_id":"'), "request_id", F.lit('","entries":['), F.array_join(F.col("e.entry"), ","), F.lit("]}")).alias("value"), (F.crc32("request_id") % 2).alias("arrival"))
+    for n in range(2):
+        lines.filter(F.col("arrival") == n).select("value").write.text(f"{at}/in/arrival={n}")
+        intake = ingest.run_available(spark, f"{at}/in", "ledger", f"{at}/out", f"{at}/checkpoint")
+        if not n:
+            intake(spark.read.text(f"{at}/in/arrival={n}"), 0)
+    return intake
+
+
+@query(_INTAKE_SQL + "select * from told")
+def intake_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts on whole requests, taken in as a stream."""
+    return _intake(spark, d).read(spark, "verdicts").select("request_id", "entries", "invalid", "accepted")
+
+
+@query(_INTAKE_SQL + """select request_id, 'E-' || k as entry_id, coalesce(reject_reason, case when entries > 1000 then 'request size' when not accepted then 'another entry of the request' end) as reason,
+case when accepted then amount end::double as amount, case when accepted then epoch_us(occurred_at::timestamptz) end as occurred_us from asked join told using (request_id)""")
+def intake_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries taken in as a stream, and those that were not, with the reason."""
+    intake = _intake(spark, d)
+    took = intake.read(spark, "accepted").select("request_id", "entry_id", F.lit(None).cast("string").alias("reason"), F.col("amount_value").cast("double").alias("amount"), F.unix_micros("occurred_value").alias("occurred_us"))
+    left = intake.read(spark, "rejected").select("request_id", F.get_json_object("payload", "$.entry_id").alias("entry_id"), "reason", F.lit(None).cast("double").alias("amount"), F.lit(None).cast("long").alias("occurred_us"))
+    return took.unionByName(left)
+
+
 # --- ground truth -------------------------------------------------------------------------
 
 
