@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 
 EXACT_MS, DRIFT_MS = 2_000, 60_000
 DRIFT_BPS, FLOOR_MINOR = 100, 1_000
-VERDICTS = ("matched_exact", "matched_time_drift", "amount_drift", "unmatched_gateway_only", "unmatched_both")
+VERDICTS = ("matched_exact", "matched_time_drift", "amount_drift", "unmatched_gateway_only", "unmatched_ledger_only", "unmatched_both")
+#: Columns that a plan may lack: then every gateway row is sent, and both rows are of one currency.
+OPTIONAL = {"absent": False, "currency": "", "ledger_currency": ""}
 
 
 def verdict() -> Column:
-    """Of one planned pair: amount_minor, ledger_minor, occurred_ms, ledger_occurred_ms, dropped."""
+    """Of one planned pair: amount_minor, ledger_minor, occurred_ms, ledger_occurred_ms, dropped
+    (no ledger row), absent (no gateway row), currency, ledger_currency."""
     apart = F.abs(F.col("ledger_occurred_ms") - F.col("occurred_ms"))
     off = F.abs(F.col("amount_minor") - F.col("ledger_minor")) * 10_000
     band = F.greatest(F.abs(F.col("amount_minor")) * DRIFT_BPS, F.lit(FLOOR_MINOR * 10_000))
     return (
-        F.when(F.col("dropped"), "unmatched_gateway_only")
+        F.when(F.col("dropped") & F.col("absent"), F.lit(None))
+        .when(F.col("dropped"), "unmatched_gateway_only")
+        .when(F.col("absent"), "unmatched_ledger_only")
+        .when(F.col("currency") != F.col("ledger_currency"), "unmatched_both")
         .when(apart > DRIFT_MS, "unmatched_both")
         .when((off > 0) & (off <= band), "amount_drift")
         .when(off > 0, "unmatched_both")
@@ -31,10 +37,10 @@ def verdict() -> Column:
 
 def totals(planned: DataFrame) -> DataFrame:
     """One row: counts by verdict, duplicates, and the totals that follow from them."""
-    v = planned.withColumn("verdict", verdict())
+    v = planned.withColumns({c: F.lit(v) for c, v in OPTIONAL.items() if c not in planned.columns}).withColumn("verdict", verdict())
     n = v.agg(*(F.count_if(F.col("verdict") == x).alias(x) for x in VERDICTS), F.count_if("duplicate").alias("duplicates"), F.count("*").alias("planned"))
     matched = F.col("matched_exact") + F.col("matched_time_drift")
-    gateway, ledger = F.col("unmatched_gateway_only") + F.col("unmatched_both"), F.col("unmatched_both")
+    gateway, ledger = F.col("unmatched_gateway_only") + F.col("unmatched_both"), F.col("unmatched_ledger_only") + F.col("unmatched_both")
     active = matched + F.col("amount_drift") + gateway + ledger
     return n.select(
         "planned", "matched_exact", "matched_time_drift", "amount_drift", gateway.alias("unmatched_gateway"), ledger.alias("unmatched_ledger"), "duplicates", matched.alias("matched"),

@@ -681,18 +681,23 @@ def _plan_of_orders(spark: SparkSession, d: str) -> DataFrame:
     led = feeds.ledger_submissions(orders).select(F.col("row_id").alias("k"), F.col("amount").alias("l_amount"), F.col("currency").alias("l_currency"), F.col("occurred_at").alias("l_at"))
     minor = lambda c: (F.col(c) * 100).cast("long")
     ms = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c)) / 1000
-    both = g.join(led, "k", "left").filter("l_currency is null or l_currency = g_currency")
-    return both.select("k", minor("amount").alias("amount_minor"), minor("l_amount").alias("ledger_minor"), ms("g_at").cast("long").alias("occurred_ms"), ms("l_at").cast("long").alias("ledger_occurred_ms"), F.col("l_at").isNull().alias("dropped"), (F.col("k") % 33 == 7).alias("duplicate"))
+    both = g.join(led, "k", "full")
+    none = lambda c: F.col(c).isNull()
+    return both.select(
+        "k", minor("amount").alias("amount_minor"), minor("l_amount").alias("ledger_minor"), ms("g_at").cast("long").alias("occurred_ms"), ms("l_at").cast("long").alias("ledger_occurred_ms"), none("l_at").alias("dropped"), none("g_at").alias("absent"),
+        F.col("g_currency").alias("currency"), F.col("l_currency").alias("ledger_currency"), ((F.col("k") % 33 == 7) & ~none("g_at")).alias("duplicate"),
+    )
 
 
 _PLAN_SQL = """, plan as (
-  select g.row_id // 2 as k, g.amount, l.amount as la, l.row_id is null as dropped, abs(epoch_us(l.occurred_at) - epoch_us(g.occurred_at)) // 1000 as ms, (g.row_id // 2) % 33 = 7 as duplicate
-  from (select * from gsub where row_id % 2 = 0) g left join lsub l on l.row_id = g.row_id // 2 where l.currency is null or l.currency = g.currency),
+  select coalesce(g.row_id // 2, l.row_id) as k, g.amount, l.amount as la, l.row_id is null as dropped, g.row_id is null as absent, g.currency <> l.currency as apart, abs(epoch_us(l.occurred_at) - epoch_us(g.occurred_at)) // 1000 as ms,
+         g.row_id is not null and (g.row_id // 2) % 33 = 7 as duplicate
+  from (select * from gsub where row_id % 2 = 0) g full join lsub l on l.row_id = g.row_id // 2),
 v as (
-  select *, case when dropped then 'g' when ms > 60000 then 'b' when amount <> la and abs(amount - la) <= greatest(amount * 0.01, 10) then 'd' when amount <> la then 'b' when ms <= 2000 then 'e' else 't' end as v from plan),
+  select *, case when dropped then 'g' when absent then 'l' when apart or ms > 60000 then 'b' when amount <> la and abs(amount - la) <= greatest(amount * 0.01, 10) then 'd' when amount <> la then 'b' when ms <= 2000 then 'e' else 't' end as v from plan),
 truth as (
   select count(*) as planned, count(*) filter (where v = 'e') as matched_exact, count(*) filter (where v = 't') as matched_time_drift, count(*) filter (where v = 'd') as amount_drift,
-         count(*) filter (where v in ('g', 'b')) as unmatched_gateway, count(*) filter (where v = 'b') as unmatched_ledger, count(*) filter (where duplicate) as duplicates from v)
+         count(*) filter (where v in ('g', 'b')) as unmatched_gateway, count(*) filter (where v in ('l', 'b')) as unmatched_ledger, count(*) filter (where duplicate) as duplicates from v)
 """
 
 
@@ -706,7 +711,7 @@ def ground_truth(spark: SparkSession, d: str) -> DataFrame:
 _DETECTED_SQL = _PLAN_SQL + """, det as (
   select count(*) filter (where match_layer = 'exact') as matched_exact, count(*) filter (where match_layer = 'time_drift') as matched_time_drift, count(*) filter (where status = 'amount_drift') as amount_drift,
          count(*) filter (where status = 'unmatched_gateway_only') as unmatched_gateway, count(*) filter (where status = 'unmatched_ledger_only') as unmatched_ledger, count(*) filter (where status = 'duplicate') as duplicates
-  from res where coalesce(gateway_id // 2, ledger_id) in (select k from plan)),
+  from res),
 sides as (select t.{0}, {1} from truth t, det d)
 """
 _KINDS = ("matched_exact", "matched_time_drift", "amount_drift", "unmatched_gateway", "unmatched_ledger", "duplicates")
@@ -719,10 +724,9 @@ def _compared_sql(lines: dict[str, tuple[str, ...]]) -> str:
 
 
 def _injected_and_detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(truth, detected) of all planned orders, the second through the whole engine."""
+    """(truth, detected) of all orders, the second through the whole engine."""
     planned = _plan_of_orders(spark, d)
-    sent = _sub(spark, d).withColumn("k", F.when(F.col("side") == "gateway", F.floor(F.col("row_id") / 2)).otherwise(F.col("row_id")).cast("long"))
-    found = results.reconcile(sent.join(planned.select("k"), "k", "left_semi").drop("k"), as_of())
+    found = results.reconcile(_sub(spark, d), as_of())
     return groundtruth.totals(planned), groundtruth.detected(found)
 
 
