@@ -70,7 +70,12 @@ def _swept(waiting: DataFrame, as_of: Column, cfg: MatchConfig, mode: str) -> tu
     """Results of stale rows that find a partner after all, and the rows that do not."""
     late = lambda c: diff_us(F.col(c), as_of) > cfg.unmatched_after_s * 1_000_000
     again = written(matching.assign(matching.classified(waiting, cfg), mode).filter(late("g_received_at") | late("l_received_at")), "rematched")
-    return match_results(again, cfg).withColumn("resolved_at", as_of), pending(waiting, again)
+    return _decided_at(again, as_of, cfg), pending(waiting, again)
+
+
+def _decided_at(matches: DataFrame, as_of: Column, cfg: MatchConfig) -> DataFrame:
+    """Matches found by a sweep at as_of, which is when their latency ends."""
+    return match_results(matches, cfg, diff_us(F.greatest("g_received_at", "l_received_at"), as_of)).withColumn("resolved_at", as_of)
 
 
 def drain(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT, mode: str = "arrived", batch: int = SWEEP_BATCH, max_passes: int = MAX_SWEEP_PASSES) -> tuple[DataFrame, bool]:
@@ -94,7 +99,7 @@ def drain(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConf
         mine = lambda s, c: chosen.filter(F.col("side") == s).select(F.col("row_id").alias(c), F.lit(True).alias(f"{c}_due"))  # noqa: E731, B023
         pairs = pairs.join(mine("gateway", "g_row_id"), "g_row_id", "left").join(mine("ledger", "l_row_id"), "l_row_id", "left").filter("g_row_id_due or l_row_id_due").drop("g_row_id_due", "l_row_id_due")
         again = written(matching.assign(pairs, mode), "rematched")
-        done.append(written(match_results(again, cfg).withColumn("resolved_at", as_of).unionByName(breaks(pending(chosen, again), as_of)), "swept"))
+        done.append(written(_decided_at(again, as_of, cfg).unionByName(breaks(pending(chosen, again), as_of)), "swept"))
         waiting = written(pending(waiting.join(chosen.select("side", "row_id"), ["side", "row_id"], "left_anti"), again), "waiting")
     return _union(done, receipts.sparkSession), False
 

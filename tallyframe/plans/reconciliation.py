@@ -419,6 +419,42 @@ def sweep_drain(spark: SparkSession, d: str) -> DataFrame:
     return found
 
 
+_REMATCH_SQL = f"""select gateway_id, ledger_id, status, mres.match_layer, '{AS_OF}'::timestamp as resolved_at, greatest((epoch_us('{AS_OF}'::timestamp) - epoch_us(greatest(g_received_at, l_received_at))) // 1000, 0) as match_latency_ms, notes
+from mres join pairs on g_row_id = gateway_id and l_row_id = ledger_id
+where gateway_id % 19 = 4 and epoch_us('{AS_OF}'::timestamp) - epoch_us(least(g_received_at, l_received_at)) > 300000000
+union all select gateway_id, ledger_id, status, match_layer, resolved_at, match_latency_ms, notes from bres"""
+
+
+def _some_unmet(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Receipts, and their matches less those of rows whose message never came: pairs that only a sweep finds."""
+    rec = written(_rec(spark, d), "receipts")
+    return rec, written(matching.assign(matching.classified(rec)).filter("g_row_id % 19 <> 4"), "matches")
+
+
+@query(_REMATCH_SQL)
+def sweep_rematches(spark: SparkSession, d: str) -> DataFrame:
+    """A sweep over pending pairs and lone rows: it matches before it gives up."""
+    return results.sweep(*_some_unmet(spark, d), as_of())
+
+
+@query(_REMATCH_SQL)
+def sweep_drain_rematches(spark: SparkSession, d: str) -> DataFrame:
+    """The same by bounded passes."""
+    found, drained = results.drain(*_some_unmet(spark, d), as_of(), batch=2_000, max_passes=1_000)
+    assert drained
+    return found
+
+
+@query("""select 'gateway' as side, g_row_id as row_id, 2::bigint as count from pairs where g_row_id % 20 = 4 union all select 'ledger', l_row_id, 2 from pairs where l_row_id % 30 = 7""")
+def planted_double_results(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with more than one match, where second ones were planted."""
+    found = written(matching.assign(_pairs(spark, d)).select("g_row_id", "l_row_id"), "matches")
+    far = 1 << 40
+    planted = found.filter("g_row_id % 20 = 4").select("g_row_id", (F.col("l_row_id") + far).alias("l_row_id"))
+    planted = planted.unionByName(found.filter("l_row_id % 30 = 7").select((F.col("g_row_id") + far).alias("g_row_id"), "l_row_id"))
+    return matching.crowded(found.unionByName(planted))
+
+
 @query("select side, row_id, received_at from stale where side = 'gateway' order by received_at, row_id limit 500")
 def sweep_batch(spark: SparkSession, d: str) -> DataFrame:
     """The oldest 500 stale gateway rows: one bounded batch of the sweep."""
