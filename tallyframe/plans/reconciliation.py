@@ -14,7 +14,7 @@ from ..config import DEFAULT, MatchConfig
 from ..functions import money, text, times
 from ..functions.frames import shared_path, written
 from ..functions.order import ensure_checkpoints
-from ..operators import flush, groundtruth, matching, messages, metrics, reads, receipts, results, store, validate
+from ..operators import flush, groundtruth, matching, messages, metrics, reads, receipts, results, store, sweepmerge, validate
 from ..schemas import SUBMISSION
 from ..sources import csvfile, csvsplit, feeds
 from ..streaming import ingest, matcher
@@ -380,6 +380,26 @@ for _f, _edges_sql in ((assign_contested, _ARRIVED), (assign_contested_all, _ALL
     SQL[_f.__name__] = BASE.replace("with o as", "with recursive o as", 1) + _CONTESTED + _FOLD.format(edges=_edges_sql)
 
 
+def assign_swept(spark: SparkSession, d: str) -> DataFrame:
+    """The contested feed, assigned by a sweep without pairs."""
+    return sweepmerge.assign(feeds.contested(spark.read.parquet(f"{d}/orders.parquet"))).select("txn_id", "currency", "g_row_id", "l_row_id")
+
+
+def assign_hot(spark: SparkSession, d: str) -> DataFrame:
+    """The same where one transaction holds half of all rows: every other group of the feed."""
+    rows = feeds.contested(spark.read.parquet(f"{d}/orders.parquet"))
+    hot = F.floor(F.col("row_id") / 4) % 2 == 0
+    one = rows.withColumns({"txn_id": F.when(hot, "GRP-hot").otherwise(F.col("txn_id")), "currency": F.when(hot, "INR").otherwise(F.col("currency"))})
+    return sweepmerge.assign(one).select("txn_id", "currency", "g_row_id", "l_row_id")
+
+
+QUERIES |= {"assign_swept": assign_swept, "assign_hot": assign_hot}
+SQL["assign_swept"] = SQL["assign_contested"]
+# the groups lie ten minutes apart, so no pair reaches from one to the next
+SQL["assign_hot"] = SQL["assign_contested"].replace("select txn_id, currency, unnest(gs) as g_row_id, unnest(ls) as l_row_id from last", """select case when q % 2 = 0 then 'GRP-hot' else txn_id end as txn_id, case when q % 2 = 0 then 'INR' else currency end as currency, g_row_id, l_row_id
+from (select txn_id, currency, replace(txn_id, 'GRP-', '')::bigint as q, unnest(gs) as g_row_id, unnest(ls) as l_row_id from last)""")
+
+
 @query("""select side, n_results, count(*) as n_rows from (
   select 'gateway' as side, gateway_id, count(*) as n_results from res where status <> 'duplicate' and gateway_id is not null group by all
   union all select 'ledger', ledger_id, count(*) from res where status <> 'duplicate' and ledger_id is not null group by all) group by 1, 2""")
