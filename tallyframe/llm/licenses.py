@@ -6,9 +6,11 @@ licence templates by the Dice coefficient over word bigrams, repeats included:
 before or behind a licence does not matter.
 
 A Dice of t needs sizes with a <= b x (2 - t) / t and the other way round. Each template is
-compared with windows of a few sizes within these bounds (all of them for a short template,
-steps of an eighth of its size for a long one), and a document with fewer bigrams than the
-least size, or with fewer bigrams of the template than a match needs, is left.
+compared with windows of some sizes within these bounds (all of a short template, steps of an
+eighth of a long one); between two steps every size is tried whose bound, from what the larger
+step shares, exceeds the best found. So the Dice is that of the best window of all sizes. A
+document with fewer bigrams than the least size, or with fewer bigrams of the template than a
+match needs, is left.
 
 A bigram of the document that the template has ``k`` times counts in a window when fewer
 than ``k`` of its kind stand before it there, so it counts for one run of window starts.
@@ -32,12 +34,10 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 MIN_DICE = 0.8
 WORD = "[a-z0-9]+"
-#: Templates up to this many bigrams are compared with windows of every admitted size.
-EVERY_SIZE = 12
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
 _BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -86,10 +86,10 @@ def size_bounds(n: int, min_dice: float) -> range:
     return range(max(1, math.ceil(n / ratio - 1e-9)), math.floor(n * ratio + 1e-9) + 1)
 
 
-def window_sizes(n: int, min_dice: float) -> list[int]:
-    """The sizes of windows that a template of n bigrams is compared with."""
+def step_sizes(n: int, min_dice: float) -> list[int]:
+    """The sizes that are tried first: both ends, the template's own, and steps between."""
     every = size_bounds(n, min_dice)
-    return list(every) if n <= EVERY_SIZE else sorted({n, *every[:: max(1, n // 8)]})
+    return sorted({n, every[-1], *every[:: max(1, n // 8)]})
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -104,7 +104,7 @@ def template_tables(spark: SparkSession, min_dice: float, texts: list[tuple[str,
     grams = [(i, name, template_bigrams(text)) for i, (name, text) in enumerate(texts)]
     counts = [(i, name, len(g), Counter(g)) for i, name, g in grams if g]
     ids = {g: at for at, g in enumerate(sorted(set().union(*(c for *_, c in counts))))}
-    uses = [(ids[g], i, name, n, k, window_sizes(n, min_dice)) for i, name, n, c in counts for g, k in c.items()]
+    uses = [(ids[g], i, name, n, k, step_sizes(n, min_dice)) for i, name, n, c in counts for g, k in c.items()]
     one = spark.createDataFrame(list(ids.items()), "gram string, gram_id int")
     return one, spark.createDataFrame(uses, "gram_id int, template int, license string, n int, k int, sizes array<int>"), max((u[4] for u in uses), default=0)
 
@@ -130,7 +130,21 @@ def matches(docs: DataFrame, *, min_dice: float = MIN_DICE, texts: list[tuple[st
     kind = Window.partitionBy("row", "template", "gram_id").orderBy("p")
     # the k-th of the same kind before this one: windows that hold it have no room for this one
     before = F.coalesce(*(F.when(F.col("k") == k, F.lag("p", k).over(kind)) for k in range(1, most + 1)), F.lit(-1)) if most else F.lit(-1)
-    sized = own.withColumn("before", before).withColumn("s", F.explode(F.array_distinct(F.transform("sizes", lambda s: F.least(s, F.col("size"))))))
+    own = written(own.withColumn("before", before).drop("enough"), "license-hits")
+    steps = written(_shared(own.withColumn("s", F.explode(F.array_distinct(F.transform("sizes", lambda s: F.least(s, F.col("size"))))))), "license-steps")
+    # a window within one of size s2 shares no more than the best of that size, nor more than its own size
+    by = Window.partitionBy("row", "template")
+    s1, dice = F.lag("s").over(by.orderBy("s")), 2.0 * F.col("shared") / (F.col("n") + F.col("s"))
+    gaps = steps.withColumns({"s1": s1, "top": F.max(dice).over(by)}).filter(F.col("s") - F.col("s1") > 1)
+    best_size = F.greatest(F.col("s1") + 1, F.least(F.col("shared").cast("int"), F.col("s") - 1))
+    bound = 2.0 * F.least(F.col("shared"), best_size) / (F.col("n") + best_size)
+    open_gaps = gaps.filter((bound >= min_dice) & (bound > F.col("top"))).select("row", "template", F.explode(F.sequence(F.col("s1") + 1, F.col("s") - 1)).alias("s"))
+    more = _shared(own.join(open_gaps, ["row", "template"]))
+    return steps.unionByName(more).withColumn("dice", dice).filter(F.col("dice") >= min_dice).select("doc_id", "text_key", "license", "template", "dice")
+
+
+def _shared(sized: DataFrame) -> DataFrame:
+    """Of hits with a window size s: the most that a window of that size shares, by row and template."""
     first = F.greatest(F.col("before") + 1, F.col("p") - F.col("s") + 1, F.lit(0))
     last = F.least("p", F.col("size") - F.col("s"))
     runs = sized.withColumns({"first": first, "last": last}).filter("first <= last")
@@ -138,9 +152,7 @@ def matches(docs: DataFrame, *, min_dice: float = MIN_DICE, texts: list[tuple[st
     edges = runs.select(*key, F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*key, "e.*")
     steps = edges.groupBy(*key, "at").agg(F.sum("d").alias("d"))
     sums = steps.withColumn("shared", F.sum("d").over(Window.partitionBy("row", "template", "s").orderBy("at")))
-    best = sums.groupBy(*key).agg(F.max("shared").alias("shared"))
-    dice = 2.0 * F.col("shared") / (F.col("n") + F.col("s"))
-    return best.withColumn("dice", dice).filter(F.col("dice") >= min_dice).select("doc_id", "text_key", "license", "template", "dice")
+    return sums.groupBy(*key).agg(F.max("shared").alias("shared"))
 
 
 def scan(docs: DataFrame, *, min_dice: float = MIN_DICE, texts: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

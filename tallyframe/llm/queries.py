@@ -196,16 +196,15 @@ from d left join c using (doc_id) left join k using (doc_id)
 
 def op4_sql() -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
-    n = [len(licenses.template_bigrams(text)) for _, text in licenses.TEMPLATES]
-    sizes = ", ".join(f"({i}, {s})" for i, k in enumerate(n) for s in licenses.window_sizes(k, licenses.MIN_DICE))
-    return OP4_SQL.replace("TEMPLATE_ROWS", rows).replace("SIZE_ROWS", sizes)
+    return OP4_SQL.replace("TEMPLATE_ROWS", rows)
 
 
 OP4_SQL = r"""
 with t0(template, license, text) as (values TEMPLATE_ROWS),
-sizes(template, s0) as (values SIZE_ROWS),
 t as (select template, license, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from t0),
 ts as (select template, license, len(w) - 1 as n from t),
+-- 2 * shared / (n + s) can be 0.8 only where s * 3 >= n * 2 and s * 2 <= n * 3
+sizes as (select template, s0 from (select template, n, unnest(range(1, 2 * n + 1)) as s0 from ts) where s0 * 3 >= n * 2 and s0 * 2 <= n * 3),
 tb as (select template, g, count(*) as tn from (select template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t) group by all),
 d as (select doc_id, row_number() over () as rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') as w from documents),
 di as (select rid, w, unnest(range(1, len(w))) as p from d where len(w) > 1),
