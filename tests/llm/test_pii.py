@@ -71,3 +71,22 @@ def test_words_behind_a_span_count():
     kinds = lambda t: [k for k, *_ in pii.spans_of(t)]
     assert kinds("123-45-6789 is the social security number") == ["national_id"]
     assert kinds("123-45-6789 " + "x" * 40 + " social security") == []
+
+
+def iban_of(country, length, seed):
+    """A number of the country that mod-97 confirms."""
+    body = "".join(random.Random(f"{country}{seed}").choices("0123456789", k=length - 4))
+    digits = "".join(str(int(c, 36)) for c in f"{body}{country}00")
+    return f"{country}{98 - int(digits) % 97:02d}{body}"
+
+
+def test_ibans_of_every_country():
+    for country, length in [*pii.IBAN_LENGTH.items(), ("ZZ", 15), ("ZQ", 34), ("QQ", 21)]:
+        number = iban_of(country, length, 1)
+        for text in (number, number.lower(), " ".join(number[i : i + 4] for i in range(0, length, 4))):
+            assert ("iban", 5, 5 + len(text)) in [s[:3] for s in pii.spans_of(f"IBAN {text}, bank account")], (country, text)
+        wrong = number[:-1] + str((int(number[-1]) + 1) % 10)
+        assert "iban" not in [s[0] for s in pii.spans_of(f"IBAN {wrong}, bank account")]
+    # a start that fails does not swallow the number behind it
+    good = iban_of("DE", 22, 2)
+    assert [s[:3] for s in pii.spans_of(f"AB12 {good} END")] == [("iban", 5, 27)]
