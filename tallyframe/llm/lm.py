@@ -23,7 +23,8 @@ carries the score.
 
 Defined results: null and empty texts hold the end token alone; an empty table gives no
 rows; repeated rows and null ids are scored each by itself; documents without a language
-train the pooled language; without any training document weights stay the starting ones.
+train the pooled language, as do those of a language with less than ``LANGUAGE_SHARE`` of the
+training text; without any training document weights stay the starting ones.
 """
 
 from __future__ import annotations
@@ -43,7 +44,11 @@ from .common import crc_mod, written
 MARK = "▁"
 #: Held by every task: at most this many words with their counts and log probabilities.
 FREQUENT = 100_000
-LANGUAGES = 6
+#: A language with this share of the training text or more has models of its own; so at most
+#: 1 / LANGUAGE_SHARE languages have, and the text of all others is one more.
+LANGUAGE_SHARE = 0.001
+#: Held by every task at most: log probabilities of frequent words, a column for each language.
+FREQUENT_CELLS = 1_000_000
 LONG_WORD, CHUNK = 64, 4096
 FLUSH_WORDS = 300_000
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -342,7 +347,9 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
     spark = docs.sparkSession
     held_out = crc_mod(id_col, folds) == held_out_fold
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), held_out.alias("held_out"))
-    langs = [r[0] for r in plain.filter("not held_out").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    by = plain.filter("not held_out").groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars"))
+    chars = by.agg(F.sum("chars")).first()[0] or 0
+    langs = [r[0] for r in by.filter((F.col("chars") > 0) & (F.col("chars") >= LANGUAGE_SHARE * chars)).orderBy(F.desc("count"), "lang").collect()]
     names = [f"n_{i}" for i in range(len(langs) + 1)]
     words = written(corpus_counts(plain.select("text", "lang", (~F.col("held_out")).alias("train")), langs), "words")
     c = sum((F.col(n) for n in names[1:]), F.col(names[0]))
@@ -357,7 +364,7 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
     lps = [f"lp_{i}" for i in range(len(names))]
     # an eighth of an octave of counts to a bin, so a few hundred bins whatever the corpus
     bins = values.filter("c > 0").groupBy(F.floor(F.log2("c") * 8).cast("int").alias("bin")).count().collect()
-    least, room = None, FREQUENT
+    least, room = None, min(FREQUENT, FREQUENT_CELLS // len(names))
     for r in sorted(bins, key=lambda r: -r["bin"]):
         room -= r["count"]
         if room < 0:

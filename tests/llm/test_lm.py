@@ -141,3 +141,16 @@ def test_score_against_enumerated_segmentations(spark, edges):
 def test_a_text_of_one_very_long_word(spark):
     docs = spark.createDataFrame([(0, "q" * 50_000, "en"), (2, "word " * 50_000, "en")], "doc_id long, text string, lang string")
     assert all(math.isfinite(r["score"]) for r in lm.score(docs, piece_vocabulary_path).collect())
+
+
+def test_each_of_ten_languages_has_a_model(spark, monkeypatch):
+    words = {lang: [f"{a}{lang}{b}" for a in "bcdf" for b in ("a", "eg", "ion")] for lang in "qwzxvjkghy"}
+    rows = [(100 * n + i, " ".join(words[lang][(i * k) % 12] for k in range(1, 15)), lang) for n, lang in enumerate(words) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    total = lambda: {r["doc_id"]: r["score"] for r in lm.score(docs, piece_vocabulary_path).collect()}
+    apart = total()
+    monkeypatch.setattr(lm, "LANGUAGE_SHARE", 2.0)
+    pooled = total()
+    for n in range(10):
+        mine = [i for i, *_ in rows if i // 100 == n]
+        assert sum(apart[i] for i in mine) > sum(pooled[i] for i in mine)
