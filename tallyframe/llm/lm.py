@@ -347,7 +347,7 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
     spark = docs.sparkSession
     held_out = crc_mod(id_col, folds) == held_out_fold
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), held_out.alias("held_out"))
-    by = plain.filter("not held_out").groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars"))
+    by = written(plain.filter("not held_out").groupBy("lang").agg(F.count("*").alias("count"), F.sum(F.length("text")).alias("chars")), "languages")
     chars = by.agg(F.sum("chars")).first()[0] or 0
     langs = [r[0] for r in by.filter((F.col("chars") > 0) & (F.col("chars") >= LANGUAGE_SHARE * chars)).orderBy(F.desc("count"), "lang").collect()]
     names = [f"n_{i}" for i in range(len(langs) + 1)]
