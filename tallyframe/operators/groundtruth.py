@@ -13,7 +13,7 @@ EXACT_MS, DRIFT_MS = 2_000, 60_000
 DRIFT_BPS, FLOOR_MINOR = 100, 1_000
 VERDICTS = ("matched_exact", "matched_time_drift", "amount_drift", "unmatched_gateway_only", "unmatched_ledger_only", "unmatched_both")
 #: Columns that a plan may lack: then every gateway row is sent, and both rows are of one currency.
-OPTIONAL = {"absent": False, "currency": "", "ledger_currency": ""}
+OPTIONAL = ("absent", "currency", "ledger_currency")
 
 
 def verdict() -> Column:
@@ -37,7 +37,9 @@ def verdict() -> Column:
 
 def totals(planned: DataFrame) -> DataFrame:
     """One row: counts by verdict, duplicates, and the totals that follow from them."""
-    v = planned.withColumns({c: F.lit(v) for c, v in OPTIONAL.items() if c not in planned.columns}).withColumn("verdict", verdict())
+    one_currency = F.col("currency") if "currency" in planned.columns else F.lit("")
+    defaults = dict(zip(OPTIONAL, (F.lit(False), one_currency, one_currency), strict=True))
+    v = planned.withColumns({c: x for c, x in defaults.items() if c not in planned.columns}).withColumn("verdict", verdict())
     n = v.agg(*(F.count_if(F.col("verdict") == x).alias(x) for x in VERDICTS), F.count_if("duplicate").alias("duplicates"), F.count("*").alias("planned"))
     matched = F.col("matched_exact") + F.col("matched_time_drift")
     gateway, ledger = F.col("unmatched_gateway_only") + F.col("unmatched_both"), F.col("unmatched_ledger_only") + F.col("unmatched_both")
