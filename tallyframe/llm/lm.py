@@ -33,6 +33,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ LANGUAGE_SHARE = 0.001
 FREQUENT_CELLS = 1_000_000
 LONG_WORD, CHUNK = 64, 4096
 FLUSH_WORDS = 300_000
+#: Words of the table that a task sums together.
+GATHERED = 60_000
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of the lattices that are summed at once.
 LATTICE_CELLS = 1 << 21
@@ -98,23 +101,26 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _lattices(words: list[str], v: Vocabulary) -> Iterator[tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]]:
-    """Words of one length at a time: their numbers; for each piece length the piece that
-    starts at each place (-1: none); and the UTF-8 bytes of each character."""
+    """Words of one length at a time: their numbers; for each piece length that occurs the piece
+    that starts at each place (-1: none); and the UTF-8 bytes of each character. Arrays are
+    (places, words), so that a place of all words lies together."""
     groups: dict[int, list[int]] = {}
     for at, w in enumerate(words):
         groups.setdefault(len(w), []).append(at)
     for n, every in groups.items():
         step = max(1, LATTICE_CELLS // (n * min(n, max(v.tables))))
         for rows in (np.array(every[i : i + step]) for i in range(0, len(every), step)):
-            chars = code_points([words[i] for i in rows], n)
+            chars = np.ascontiguousarray(code_points([words[i] for i in rows], n).T)
             h = np.zeros_like(chars)
-            pieces = {}
-            for size in range(1, n + 1):
-                h = h[:, : n - size + 1] * HASH_BASE + chars[:, size - 1 :]
+            pieces = {1: np.full(chars.shape, -1)}
+            for size in range(1, min(n, max(v.tables)) + 1):
+                h = h[: n - size + 1] * HASH_BASE + chars[size - 1 :]
                 if size in v.tables:
                     keys, ids = v.tables[size]
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    pieces[size] = np.where(keys[at] == h, ids[at], -1)
+                    found = keys[at] == h
+                    if found.any():
+                        pieces[size] = np.where(found, ids[at], -1)
             yield rows, pieces, 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
 
 
@@ -133,9 +139,9 @@ def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
 
 def _forward(w: dict[int, np.ndarray], n: int) -> list[np.ndarray]:
     """alpha[j]: log probability of the first j characters over all their segmentations."""
-    alpha = [np.zeros(len(w[1]))]
+    alpha = [np.zeros(w[1].shape[1])]
     for j in range(1, n + 1):
-        alpha.append(_log_sum([alpha[j - size] + w[size][:, j - size] for size in w if size <= j]))
+        alpha.append(_log_sum([alpha[j - size] + w[size][j - size] for size in w if size <= j]))
     return alpha
 
 
@@ -208,7 +214,7 @@ def log_marginals(words: list[str], logp: np.ndarray, v: Vocabulary) -> np.ndarr
     usual, long = _by_length(words)
     for rows, pieces, sizes in _lattices([words[i] for i in usual], v):
         for k, lp in enumerate(logp):
-            out[usual[rows], k] = _forward(_weights(pieces, sizes, lp, v), sizes.shape[1])[-1]
+            out[usual[rows], k] = _forward(_weights(pieces, sizes, lp, v), len(sizes))[-1]
     for i, chars in long:
         out[i] = [long_forward(chars, lp, v)[-1] for lp in logp]
     return out
@@ -222,47 +228,64 @@ def expected_counts(words: list[str], counts: np.ndarray, lp: np.ndarray, v: Voc
         total += counts[i][:, None] * long_uses(chars, lp, v)
     counts = counts[usual]
     for rows, pieces, sizes in _lattices([words[i] for i in usual], v):
-        n, w = sizes.shape[1], _weights(pieces, sizes, lp, v)
-        alpha = _forward(w, n)
+        n, w = len(sizes), _weights(pieces, sizes, lp, v)
+        alpha = np.array(_forward(w, n))
         beta = [np.zeros(len(rows))]  # beta[-1 - i]: of what follows the first i characters
         for i in range(n - 1, -1, -1):
-            beta.append(_log_sum([beta[n - i - size] + w[size][:, i] for size in w if size <= n - i]))
-        beta.reverse()
+            beta.append(_log_sum([beta[n - i - size] + w[size][i] for size in w if size <= n - i]))
+        after = np.array(beta[::-1]) - alpha[n]
+        pieces_of, uses_of, words_of_them = [], [], []
         for size, p in pieces.items():
-            at = np.stack(alpha[: n - size + 1], axis=1) + w[size] + np.stack(beta[size:], axis=1) - alpha[n][:, None]
-            uses = np.exp(at)
+            place, row = np.nonzero((p >= 0) | (size == 1))
+            piece = p[place, row]
+            uses = np.exp(alpha[place, row] + w[size][place, row] + after[place + size, row])
             if size == 1:
-                spelled = p < 0
-                p, uses = np.where(spelled, v.byte, p), np.where(spelled, uses * sizes, uses)
-            row, place = np.nonzero(p >= 0)
-            piece, uses = p[row, place], uses[row, place]
-            for k in range(counts.shape[1]):
-                total[k] += np.bincount(piece, weights=uses * counts[rows[row], k], minlength=v.size)
+                spelled = piece < 0
+                piece, uses = np.where(spelled, v.byte, piece), np.where(spelled, uses * sizes[place, row], uses)
+            pieces_of.append(piece)
+            uses_of.append(uses)
+            words_of_them.append(row)
+        piece, uses, row = np.concatenate(pieces_of), np.concatenate(uses_of), np.concatenate(words_of_them)
+        for k in range(counts.shape[1]):
+            n_k = counts[rows, k]
+            if n_k.any():
+                total[k] += np.bincount(piece, weights=uses * n_k[row], minlength=v.size)
     return total
 
 
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of the table of words put together, so that more words of one length are summed at once."""
+    held, rows, chars = [], 0, 0
+    for b in batches:
+        held.append(b)
+        rows, chars = rows + len(b), chars + b["word"].str.len().sum()
+        if rows >= GATHERED or chars >= GATHERED * 16:
+            yield pd.concat(held, ignore_index=True)
+            held, rows, chars = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
 def corpus_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
-    """word, n_0 .. n_K: training uses by language (the last pools the rest); every word has a row.
+    """word, n_0 .. n_K, held_out: training uses by language (the last pools the rest), and other uses.
 
-    The empty word stands for the ends of texts.
+    Every word has a row. The empty word stands for the ends of training texts.
     """
     place = {x: i for i, x in enumerate(langs)}
-    names = [f"n_{i}" for i in range(len(langs) + 1)]
+    names = [*(f"n_{i}" for i in range(len(langs) + 1)), "held_out"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[Counter] = [Counter() for _ in names]
-        unseen: set[bytes] = set()
 
         def flush() -> Iterator[pd.DataFrame]:
-            every = list(set().union(unseen, *held))
+            every = list(set().union(*held))
             for at in range(0, len(every), 50_000):
                 some = every[at : at + 50_000]
-                yield pd.DataFrame({"word": pd.Series([w.decode() for w in some], dtype=object)} | {c: np.fromiter((h[w] for w in some), np.int64, len(some)) for c, h in zip(names, held, strict=True)})
-            unseen.clear()
+                yield pd.DataFrame({"word": pd.Series([w.decode() for w in some], dtype=object)} | {c: np.fromiter(map(h.get, some, repeat(0)), np.int64, len(some)) for c, h in zip(names, held, strict=True)})
             for h in held:
                 h.clear()
 
@@ -274,8 +297,8 @@ def corpus_counts(docs: DataFrame, langs: list[str]) -> DataFrame:
                     h.update(words)
                     h[b""] += 1
                 else:
-                    unseen.update(words)
-            if len(unseen) + sum(map(len, held)) >= FLUSH_WORDS:
+                    held[-1].update(words)
+            if sum(map(len, held)) >= FLUSH_WORDS:
                 yield from flush()
         yield from flush()
 
@@ -293,15 +316,15 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
     v = vocabulary(vocabulary_path())
     pooled = v.start
     n = np.zeros((len(names), v.size))
+    trained = words.filter(sum((F.col(c) for c in names[1:]), F.col(names[0])) > 0).select("word", *names)
     for _ in range(PASSES):
         now = words.sparkSession.sparkContext.broadcast(pooled)
 
         def run(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
             voc = vocabulary(vocabulary_path())
             total = np.zeros((len(names), voc.size))
-            for b in batches:
+            for b in gathered(batches):
                 counts = b[names].to_numpy(float)
-                b, counts = b[counts.sum(axis=1) > 0], counts[counts.sum(axis=1) > 0]
                 total[:, voc.end] += counts[(b["word"] == "").to_numpy()].sum(axis=0)
                 filled = (b["word"] != "").to_numpy()
                 total += expected_counts([MARK + w for w in b["word"] if w], counts[filled], now.value, voc)
@@ -309,7 +332,7 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
             yield pd.DataFrame({"k": k, "piece": piece, "n": total[k, piece]})
 
         n[:] = 0.0
-        for r in words.mapInPandas(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).collect():
+        for r in trained.mapInPandas(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).collect():
             n[r["k"], r["piece"]] = r["n"]
         every = n.sum(axis=0) + PRIOR * v.size * np.exp(v.start)
         pooled = np.log(every / every.sum())
@@ -319,7 +342,7 @@ def piece_log_probabilities(words: DataFrame, names: list[str], vocabulary_path:
 
 
 def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.ndarray, distinct: np.ndarray, vocabulary_path: Callable[[], str], word_edges: bool = True) -> DataFrame:
-    """word, c, lp_0 .. lp_K: its natural log probability in each language.
+    """word, c, uses, lp_0 .. lp_K: its natural log probability in each language; uses: in all rows.
 
     used and distinct: training tokens, and different ones, by language. The lattice's
     pieces get the share of new words among tokens (Witten-Bell), the whole-word edges the rest.
@@ -329,7 +352,7 @@ def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.n
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(vocabulary_path())
-        for b in batches:
+        for b in gathered(batches):
             lp = np.zeros((len(b), len(names)))
             lp[(b["word"] != "").to_numpy()] = log_marginals([MARK + w for w in b["word"] if w], now.value, voc)
             lp[(b["word"] == "").to_numpy()] = now.value[:, voc.end]
@@ -337,9 +360,10 @@ def word_values(words: DataFrame, names: list[str], logp: np.ndarray, used: np.n
                 whole = np.log(known * b[names].to_numpy(float) / np.maximum(used, 1.0))
             if word_edges:
                 lp = np.logaddexp(whole, lp + np.log1p(-known))
-            yield pd.DataFrame({"word": b["word"].astype(object), "c": b[names].sum(axis=1).astype("int64")} | {f"lp_{i}": x for i, x in enumerate(lp.T)})
+            c = b[names].to_numpy().sum(axis=1)
+            yield pd.DataFrame({"word": b["word"].astype(object), "c": c, "uses": c + b["held_out"].to_numpy()} | {f"lp_{i}": x for i, x in enumerate(lp.T)})
 
-    return words.mapInPandas(run, ", ".join(["word string, c long", *(f"lp_{i} double" for i in range(len(names)))]))
+    return words.mapInPandas(run, ", ".join(["word string, c long, uses long", *(f"lp_{i} double" for i in range(len(names)))]))
 
 
 def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out_fold: int = 1, word_edges: bool = True) -> DataFrame:
@@ -363,14 +387,14 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
 
     lps = [f"lp_{i}" for i in range(len(names))]
     # an eighth of an octave of counts to a bin, so a few hundred bins whatever the corpus
-    bins = values.filter("c > 0").groupBy(F.floor(F.log2("c") * 8).cast("int").alias("bin")).count().collect()
+    bins = values.groupBy(F.floor(F.log2("uses") * 8).cast("int").alias("bin")).count().collect()
     least, room = None, min(FREQUENT, FREQUENT_CELLS // len(names))
     for r in sorted(bins, key=lambda r: -r["bin"]):
         room -= r["count"]
         if room < 0:
             break
         least = r["bin"]
-    often = values.filter((F.col("c") > 0) & (F.floor(F.log2("c") * 8) >= least)) if least is not None else values.limit(0)
+    often = values.filter(F.floor(F.log2("uses") * 8) >= least) if least is not None else values.limit(0)
     top = often.collect()  # FREQUENT rows at most
     frequent = spark.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64), np.array([[r[x] for x in lps] for r in top], float).reshape(len(top), len(names))))
     end = values.filter("word = ''").first()
@@ -382,24 +406,27 @@ def score(docs: DataFrame, vocabulary_path: Callable[[], str], *, id_col: str =
         index, cs, lp = frequent.value
         base, known = base_of(cs), cs > 0
         for b in batches:
-            rows, rare = [], []
+            rows: list[tuple] = []
+            of_row, of_word, times_rare = [], [], []
             for row, doc_id, held, text in zip(b["row"], b["doc_id"], b["held_out"], b["text"], strict=True):
                 counts = Counter(words_of(text))
-                got, times = [], []
-                for w, n in counts.items():
-                    i = index.get(w)
-                    if i is None:
-                        rare.append((row, w.decode(), n))
-                    else:
-                        got.append(i)
-                        times.append(n)
-                i, t = np.array(got, np.int64), np.array(times, float)
-                rows.append((row, doc_id, held, sum(counts.values()) + 1, int(t[known[i]].sum()) + (end_c > 0), float(t @ base[i] + base_of(end_c)), *(t @ lp[i] + end_lp)))
-                if len(rare) >= 200_000:
-                    yield pd.DataFrame(rare, columns=["row", "word", "n"])
-                    rare = []
+                at = np.fromiter(map(index.get, counts, repeat(-1)), np.int64, len(counts))
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                cached = at >= 0
+                i, t = at[cached], n[cached]
+                if len(i) < len(at):
+                    few = ~cached
+                    rare = list(compress(counts, few.tolist()))
+                    of_row.append(np.full(len(rare), row))
+                    of_word.extend(w.decode() for w in rare)
+                    times_rare.append(n[few])
+                rows.append((row, doc_id, held, int(n.sum()) + 1, int(t[known[i]].sum()) + (end_c > 0), float(t @ base[i] + base_of(end_c)), *(t @ lp[i] + end_lp)))
+                if len(of_word) >= 200_000:
+                    yield pd.DataFrame({"row": np.concatenate(of_row), "word": pd.Series(of_word, dtype=object), "n": np.concatenate(times_rare)})
+                    of_row, of_word, times_rare = [], [], []
             yield pd.DataFrame(rows, columns=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", *k_sums])
-            yield pd.DataFrame(rare, columns=["row", "word", "n"])
+            if of_word:
+                yield pd.DataFrame({"row": np.concatenate(of_row), "word": pd.Series(of_word, dtype=object), "n": np.concatenate(times_rare)})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         types = {"doc_id": "Int64", "held_out": "boolean", "n": "Int64", "n_tokens": "Int64", "n_known": "Int64"}
