@@ -11,6 +11,11 @@ def diff_us(a: Column, b: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b)
 
 
+def epoch_us(name: str) -> Column:
+    """Microseconds since 1970 of a column, its name, without a zone."""
+    return diff_us(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(name))
+
+
 def time_delta_us(a: Column, b: Column) -> Column:
     return F.abs(diff_us(a, b))
 

@@ -6,6 +6,7 @@ Each is registered with the SQL that a second engine runs on the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ from ..config import DEFAULT, MatchConfig
 from ..functions import money, text, times
 from ..functions.frames import shared_path, written
 from ..functions.order import ensure_checkpoints
-from ..operators import flush, groundtruth, matching, messages, metrics, reads, receipts, results, store, sweepmerge, validate
+from ..operators import flush, groundtruth, matching, messages, metrics, reads, receipts, results, rollup, store, sweepmerge, validate
 from ..schemas import SUBMISSION
 from ..sources import csvfile, csvsplit, feeds
-from ..streaming import ingest, matcher
+from ..streaming import backlog as stream_state, closures, ingest, matcher
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -498,6 +499,27 @@ def closure_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return results.closure_outcomes(results.exceptions(numbered), _closures(numbered))
 
 
+def stream_closures(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as a stream: of every third exception they come before the exception itself."""
+    ensure_checkpoints(spark)
+    at = shared_path(spark, "closures")
+    numbered = _stored(spark, d)
+    opened, asked = results.exceptions(numbered).select("id", "opened_at"), _closures(numbered).select("exception_id", "seq", "closed_at", "resolution_notes")
+    # in the end the clock moves past all requests
+    tick = spark.range(1).select(F.lit(None).cast("long").alias("exception_id"), F.lit(None).cast("long").alias("seq"), times.add_us(as_of(), F.lit(86_400_000_000)).alias("closed_at"), F.lit(None).cast("string").alias("resolution_notes"))
+    arrivals = (
+        (opened.filter("id % 3 <> 0"), asked.filter("exception_id % 3 = 0 and seq = 2")), (opened.filter("id % 3 = 0"), asked.filter("not (exception_id % 3 = 0 and seq = 2)")), (opened.limit(0), tick))
+    for exceptions, requests in arrivals:
+        exceptions.write.mode("append").parquet(f"{at}/opened")
+        requests.write.mode("append").parquet(f"{at}/requests")
+        found = closures.run_available(spark, f"{at}/opened", f"{at}/requests", f"{at}/out", f"{at}/checkpoints")
+    return found.select("exception_id", "seq", "outcome")
+
+
+QUERIES["stream_closures"] = stream_closures
+SQL["stream_closures"] = SQL["closure_outcomes"]
+
+
 # --- read path ----------------------------------------------------------------------------
 
 
@@ -579,6 +601,23 @@ for _w, _s in (("1h", 3_600), ("24h", 86_400), ("7d", 604_800)):
     _stats(_w, _s)
 
 
+def stats_rolled(spark: SparkSession, d: str) -> DataFrame:
+    """The three windows from counts a minute, kept as two batches of results came in."""
+    path = shared_path(spark, "minutes")
+    numbered = _stored(spark, d)
+    for batch in (numbered.filter("coalesce(gateway_id, ledger_id) % 3 = 1"), numbered.filter("coalesce(gateway_id, ledger_id) % 3 <> 1")):
+        rollup.keep(batch, path)
+    kept, exceptions = rollup.load(spark, path), _exceptions(numbered)
+    one, *others = (rollup.stats(kept, numbered, exceptions, w, as_of()) for w in ("1h", "24h", "7d"))
+    for rows in others:
+        one = one.unionByName(rows)
+    return one
+
+
+QUERIES["stats_rolled"] = stats_rolled
+SQL["stats_rolled"] = BASE + " union all ".join(f"select * from ({SQL[f'stats_{w}'][len(BASE):]})" for w in ("1h", "24h", "7d"))
+
+
 @query("""select rank, coalesce(n, 0) as count, (sum(coalesce(n, 0)) over (order by rank desc))::bigint as carried_in, coalesce(n, 0) / (sum(coalesce(n, 0)) over ())::double as share
 from (values (1, 'exact'), (2, 'time_drift'), (3, 'amount_drift'), (4, 'duplicate'), (5, 'unmatched_sweep')) v(rank, match_layer) left join (select match_layer, count(*) as n from res group by 1) using (match_layer)""")
 def layer_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -970,18 +1009,31 @@ union all select p.g, p.l, case when cp.rank = 2 then 'amount_drift' else 'match
 """
 
 
-def stream_matches(spark: SparkSession, d: str) -> DataFrame:
-    """The contested feed through the streaming matcher, in two arrivals cut in time: matches and breaks."""
+def _streamed(spark: SparkSession, d: str, cfg: MatchConfig = DEFAULT) -> str:
+    """The contested feed through the streaming matcher, in two arrivals cut in time; the folder of its files."""
     ensure_checkpoints(spark)
     at = shared_path(spark, "stream")
     rows = feeds.contested(spark.read.parquet(f"{d}/orders.parquet"))
     middle = rows.agg(F.expr("min(received_at) + (max(received_at) - min(received_at)) / 2").alias("cut")).first()["cut"]
     for part in (rows.filter(F.col("received_at") < F.lit(middle)), rows.filter(F.col("received_at") >= F.lit(middle))):
         part.write.mode("append").parquet(f"{at}/in")
-        matcher.run_available(spark, f"{at}/in", SUBMISSION, f"{at}/out", f"{at}/checkpoints", files_per_batch=100_000)
-    return matcher.streamed_results(spark, f"{at}/out").select("gateway_id", "ledger_id", "status")
+        matcher.run_available(spark, f"{at}/in", SUBMISSION, f"{at}/out", f"{at}/checkpoints", cfg, files_per_batch=100_000)
+    return at
+
+
+def stream_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matches and breaks of the stream."""
+    return matcher.streamed_results(spark, f"{_streamed(spark, d)}/out").select("gateway_id", "ledger_id", "status")
+
+
+def stream_pending(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that still wait in the stream's state, neither matched nor swept, where a row waits for a day."""
+    return stream_state.pending(spark, f"{_streamed(spark, d, replace(DEFAULT, unmatched_after_s=86_400))}/checkpoints").select("side", "row_id", "received_at")
 
 
+QUERIES["stream_pending"] = stream_pending
+SQL["stream_pending"] = _STREAM_SQL[: _STREAM_SQL.rindex("select gateway_id, ledger_id, status from lone")] + """
+select case when gateway_id is null then 'ledger' else 'gateway' end as side, coalesce(gateway_id, ledger_id) as row_id, received_at from lone, seen where received_at + interval 86400 seconds >= top - interval 10 minutes"""
 QUERIES["stream_matches"] = stream_matches
 SQL["stream_matches"] = _STREAM_SQL
 

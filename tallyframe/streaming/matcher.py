@@ -10,12 +10,14 @@ Output rows have the columns of results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, MatchConfig
+from ..functions.times import epoch_us
 from ..operators import results as result_ops
 from ..operators.matching import layer_name
 
@@ -172,13 +174,9 @@ def as_results(raw: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     return result_ops.match_results(pairs, cfg).unionByName(result_ops.breaks(lone, F.col("decided_at")))
 
 
-def _epoch(ntz: str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ntz))
-
-
 def first_receipts(submissions: DataFrame) -> DataFrame:
     """A stream of submissions (SUBMISSION) to a stream of receipts (FIRST), retries marked."""
-    timed = submissions.withColumns({"occurred_us": _epoch("occurred_at"), "received_us": _epoch("received_at")}).withColumn("received_ts", F.timestamp_micros("received_us"))
+    timed = submissions.withColumns({"occurred_us": epoch_us("occurred_at"), "received_us": epoch_us("received_at")}).withColumn("received_ts", F.timestamp_micros("received_us"))
     return timed.groupBy("side", "idempotency_key").transformWithState(statefulProcessor=FirstReceipt(), outputStructType=FIRST, outputMode="append", timeMode="none")
 
 
@@ -194,7 +192,7 @@ def matched(receipts: DataFrame, delay: str = "10 minutes", cfg: MatchConfig = D
     keyed = clocked.select("side", "row_id", "txn_id", "amount", "currency", "occurred_us", "received_us").groupBy("txn_id", "currency")
     start = None
     if backlog is not None:
-        start = backlog.select("txn_id", "currency", "side", "row_id", "amount", _epoch("occurred_at").alias("occurred_us"), _epoch("received_at").alias("received_us")).groupBy("txn_id", "currency")
+        start = backlog.select("txn_id", "currency", "side", "row_id", "amount", epoch_us("occurred_at").alias("occurred_us"), epoch_us("received_at").alias("received_us")).groupBy("txn_id", "currency")
     return keyed.transformWithState(statefulProcessor=Matcher(cfg), outputStructType=MATCHED, outputMode="append", timeMode="eventtime", initialState=start)
 
 
@@ -211,6 +209,18 @@ class Sink:
         return spark.read.parquet(self.path).drop("epoch")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which keyed processors need."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
 def run_available(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, cfg: MatchConfig = DEFAULT, files_per_batch: int = 1, backlog: DataFrame | None = None) -> None:
     """Reads what a directory of Parquet submissions holds now, and stops.
 
@@ -218,18 +228,13 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str, check
     Rows of one micro-batch are put in order of receipt, so the files of one arrival should
     come in one micro-batch (files_per_batch), or in an order of their own.
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with rocksdb(spark):
         raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         first = first_receipts(raw).writeStream.option("checkpointLocation", f"{checkpoint}/receipts").format("parquet").option("path", f"{out}/receipts").trigger(availableNow=True).start()
         first.awaitTermination()
         stream = spark.readStream.schema(FIRST).option("maxFilesPerTrigger", max(64, files_per_batch)).parquet(f"{out}/receipts").filter("is_first")
         second = matched(stream, cfg=cfg, backlog=backlog).writeStream.option("checkpointLocation", f"{checkpoint}/matches").foreachBatch(Sink(f"{out}/matches")).trigger(availableNow=True).start()
         second.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
 
 
 def streamed_results(spark: SparkSession, out: str, cfg: MatchConfig = DEFAULT) -> DataFrame:
