@@ -27,10 +27,10 @@ FOLD_EDGES = 256
 BROADCAST_GROUPS = 100_000
 
 
-def side(receipts: DataFrame, name: str) -> DataFrame:
-    """One side's facts under its own column names."""
+def side(receipts: DataFrame, name: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """One side's facts, and more of its columns, under its own column names."""
     short = name[0]
-    return receipts.filter(F.col("side") == name).select(*GROUP, *(F.col(c).alias(f"{short}_{c}") for c in _FACTS))
+    return receipts.filter(F.col("side") == name).select(*GROUP, *(F.col(c).alias(f"{short}_{c}") for c in (*_FACTS, *more)))
 
 
 def layer_rank(g_amount: Column, l_amount: Column, dt_us: Column, cfg: MatchConfig = DEFAULT) -> Column:
@@ -47,7 +47,7 @@ def layer_name(rank: Column) -> Column:
     return F.when(rank == 0, LAYER_OF_RANK[0]).when(rank == 1, LAYER_OF_RANK[1]).when(rank == 2, LAYER_OF_RANK[2])
 
 
-def candidates(receipts: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+def candidates(receipts: DataFrame, cfg: MatchConfig = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
     """Every gateway and ledger row of one transaction and currency within the drift window.
 
     A ledger row stands in each stretch of time that its window touches: one, or two at an edge.
@@ -55,17 +55,17 @@ def candidates(receipts: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     long = F.lit(max(1, WINDOWS_A_STRETCH * cfg.drift_window_us))
     stretch = lambda c, off: F.floor((diff_us(F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c)) + off) / long)
     both = F.array_distinct(F.array(stretch("l_occurred_at", -cfg.drift_window_us), stretch("l_occurred_at", cfg.drift_window_us)))
-    g = side(receipts, "gateway").withColumn("stretch", stretch("g_occurred_at", 0))
-    led = side(receipts, "ledger").withColumn("stretch", F.explode(both))
+    g = side(receipts, "gateway", more).withColumn("stretch", stretch("g_occurred_at", 0))
+    led = side(receipts, "ledger", more).withColumn("stretch", F.explode(both))
     near = diff_us(F.col("g_occurred_at"), F.col("l_occurred_at")).between(-cfg.drift_window_us, cfg.drift_window_us)
     joined = g.join(led, [*GROUP, "stretch"]).filter(near).drop("stretch")
     return joined.withColumns({"dt_us": time_delta_us(F.col("g_occurred_at"), F.col("l_occurred_at")), "d_amount": F.abs(F.col("g_amount") - F.col("l_amount"))})
 
 
-def classified(receipts: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
-    """Candidate pairs with rank and match_layer; pairs that do not fit are left out."""
+def classified(receipts: DataFrame, cfg: MatchConfig = DEFAULT, more: tuple[str, ...] = ()) -> DataFrame:
+    """Candidate pairs with rank and match_layer; pairs that do not fit are left out. more: further columns of both rows."""
     rank = layer_rank(F.col("g_amount"), F.col("l_amount"), F.col("dt_us"), cfg)
-    return candidates(receipts, cfg).withColumn("rank", rank).filter("rank is not null").withColumn("match_layer", layer_name(F.col("rank")))
+    return candidates(receipts, cfg, more).withColumn("rank", rank).filter("rank is not null").withColumn("match_layer", layer_name(F.col("rank")))
 
 
 def best_counterparty(pairs: DataFrame, of: str = "gateway") -> DataFrame:

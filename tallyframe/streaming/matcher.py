@@ -1,8 +1,10 @@
-"""The streaming matcher: one keyed state per (txn_id, currency), timers for breaks.
+"""The streaming matcher: first receipts by a streaming aggregation, matches an epoch at a time.
 
-Submissions of both sides arrive in micro-batches. First receipts are kept by a keyed state
-that never forgets; the matcher remembers the pending rows of each side, gives an arriving
-row its best pending partner, and sweeps a row that waited too long by an event-time timer.
+Submissions of both sides arrive in micro-batches. First receipts are an aggregation whose state
+never forgets a key. The matcher keeps the rows that wait as a table with a version an epoch: an
+epoch joins its arrivals with them, gives each arrival its best partner in order of arrival, sweeps
+rows that waited too long by the stream's clock, and writes what is left. All of it is joins and
+aggregations, so no row or key costs a call into Python.
 No row is dropped for being late: what comes behind the stream's clock waits from there on.
 Output rows have the columns of results.
 """
@@ -12,154 +14,87 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, MatchConfig
+from ..functions.frames import make_dir, scratch, written
 from ..functions.times import epoch_us
-from ..operators import results as result_ops
+from ..operators import matching, results as result_ops
 from ..operators.matching import layer_name
+from .versions import Stepwise, Versions, run_to_end
 
-PENDING = "row_id long, amount decimal(18,2), occurred_us long, received_us long"
 SIDES = ("gateway", "ledger")
+WAITING = "side string, row_id long, txn_id string, currency string, amount decimal(18,2), occurred_us long, received_us long, due_ms long"
 MATCHED = "kind string, gateway_id long, ledger_id long, g_amount decimal(18,2), l_amount decimal(18,2), g_occurred_us long, l_occurred_us long, g_received_us long, l_received_us long, rank int, decided_us long"
 FIRST = "side string, row_id long, idempotency_key string, txn_id string, amount decimal(18,2), currency string, occurred_us long, received_us long, received_ts timestamp, submissions long, is_first boolean"
+DELAY_MS = 600_000
 
 
-class FirstReceipt(StatefulProcessor):
-    """Keyed by (side, idempotency_key): counts submissions, passes the first on."""
+class Matcher(Stepwise):
+    """The sink of a stream of first receipts (FIRST): writes MATCHED rows to out, keeps waiting rows under state.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "row_id long, received_us long, submissions long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state = self.seen.get() if self.seen.exists() else None
-        row_id, received, n = tuple(state) if state is not None else (None, None, 0)
-        for r in sorted(rows, key=lambda r: (r.received_us, r.row_id)):
-            n += 1
-            if n == 1:
-                row_id, received = r.row_id, r.received_us
-            yield Row(side=r.side, row_id=row_id, idempotency_key=r.idempotency_key, txn_id=r.txn_id, amount=r.amount, currency=r.currency, occurred_us=r.occurred_us, received_us=r.received_us, received_ts=r.received_ts, submissions=n, is_first=n == 1)
-        self.seen.update((row_id, received, n))
-
-    def close(self) -> None:
-        pass
-
-
-class Matcher(StatefulProcessor):
-    """Keyed by (txn_id, currency): pending rows of both sides, one timer per pending row.
-
-    Pending rows lie in buckets of a drift window's length by the time they occurred at, so that
-    an arrival reads three buckets of the other side however much is pending, and a timer one.
-    A row waits from its receipt, or from its arrival if the stream's clock was already later.
+    The stream's clock is the latest receipt of the epochs before, less delay_ms. A row waits from
+    its receipt, or from its arrival if the clock was already later.
+    backlog: receipts that a batch left pending, taken over when the stream first starts.
     """
 
-    def __init__(self, cfg: MatchConfig = DEFAULT) -> None:
-        self.cfg = cfg
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.buckets = {s: handle.getMapState(s, "bucket long", f"rows array<struct<{PENDING.replace(' ', ':').replace(',:', ',')}>>") for s in SIDES}
-        self.due = handle.getMapState("due", "due_ms long", "rows array<struct<side:string,bucket:long,row_id:long>>")
-
-    def _rank(self, g: tuple, led: tuple) -> int | None:
-        dt, off = abs(g[2] - led[2]), abs(g[1] - led[1])
-        if dt > self.cfg.drift_window_us:
-            return None
-        if not off:
-            return 0 if dt <= self.cfg.exact_window_us else 1
-        band = max(abs(g[1]) * self.cfg.amount_drift_pct, self.cfg.amount_drift_floor)
-        return 2 if off <= band else None
-
-    def _bucket(self, row: tuple) -> int:
-        return row[2] // max(1, self.cfg.drift_window_us)
-
-    def _read(self, held: dict, side: str, bucket: int) -> dict[int, tuple]:
-        """The rows of a bucket by id; held has what this call has read or changed."""
-        if (side, bucket) not in held:
-            state = self.buckets[side]
-            rows = state.getValue((bucket,))[0] if state.containsKey((bucket,)) else []
-            held[side, bucket] = {r[0]: tuple(r) for r in rows}
-        return held[side, bucket]
-
-    def _write(self, held: dict, changed: set) -> None:
-        for side, bucket in changed:
-            rows = held[side, bucket]
-            if rows:
-                self.buckets[side].updateValue((bucket,), (list(rows.values()),))
-            elif self.buckets[side].containsKey((bucket,)):
-                self.buckets[side].removeKey((bucket,))
-
-    def _best(self, held: dict, side: str, row: tuple) -> tuple[int, tuple] | None:
-        other, at, found = SIDES[side == "gateway"], self._bucket(row), []
-        for b in (at - 1, at, at + 1):
-            for o in self._read(held, other, b).values():
-                g, led = (row, o) if side == "gateway" else (o, row)
-                rank = self._rank(g, led)
-                if rank is not None:
-                    found.append(((rank, abs(g[2] - led[2]), abs(g[1] - led[1]), o[0]), b, o))
-        if not found:
-            return None
-        (rank, *_), b, o = min(found, key=lambda x: x[0])
-        del self._read(held, other, b)[o[0]]
-        return rank, o
-
-    def _wait(self, held: dict, changed: set, due: dict, side: str, row: tuple, clock_ms: int) -> None:
-        bucket = self._bucket(row)
-        self._read(held, side, bucket)[row[0]] = row
-        changed.add((side, bucket))
-        due.setdefault(max(row[3] // 1000, clock_ms) + self.cfg.unmatched_after_s * 1000 + 1, []).append((side, bucket, row[0]))
-
-    def _register(self, due: dict) -> None:
-        for at, rows in due.items():
-            before = [tuple(r) for r in self.due.getValue((at,))[0]] if self.due.containsKey((at,)) else []
-            if not before:
-                self.handle.registerTimer(at)
-            self.due.updateValue((at,), (before + rows,))
-
-    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        """A row that a batch left pending: it waits on, from its receipt."""
-        held, changed, due = {}, set(), {}
-        r = initialState
-        self._wait(held, changed, due, r.side, (r.row_id, r.amount, r.occurred_us, r.received_us), 0)
-        self._write(held, changed)
-        self._register(due)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, changed, due = {}, set(), {}
-        clock = max(0, timerValues.getCurrentWatermarkInMs())
-        for r in sorted(rows, key=lambda r: (r.received_us, r.side, r.row_id)):
-            row = (r.row_id, r.amount, r.occurred_us, r.received_us)
-            best = self._best(held, r.side, row)
-            if best is None:
-                self._wait(held, changed, due, r.side, row, clock)
-                continue
-            rank, partner = best
-            changed.add((SIDES[r.side == "gateway"], self._bucket(partner)))
-            g, led = (row, partner) if r.side == "gateway" else (partner, row)
-            yield Row(kind="match", gateway_id=g[0], ledger_id=led[0], g_amount=g[1], l_amount=led[1], g_occurred_us=g[2], l_occurred_us=led[2], g_received_us=g[3], l_received_us=led[3], rank=rank, decided_us=max(g[3], led[3]))
-        self._write(held, changed)
-        self._register(due)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.due.containsKey((now,)):
-            return
-        held, changed = {}, set()
-        for side, bucket, row_id in sorted(tuple(r) for r in self.due.getValue((now,))[0]):
-            row = self._read(held, side, bucket).pop(row_id, None)
-            if row is None:  # matched meanwhile
-                continue
-            changed.add((side, bucket))
-            g, led = (row, None) if side == "gateway" else (None, row)
-            of = lambda x, i: x[i] if x else None
-            yield Row(kind=side, gateway_id=of(g, 0), ledger_id=of(led, 0), g_amount=of(g, 1), l_amount=of(led, 1), g_occurred_us=of(g, 2), l_occurred_us=of(led, 2), g_received_us=of(g, 3), l_received_us=of(led, 3), rank=None, decided_us=now * 1000)
-        self.due.removeKey((now,))
-        self._write(held, changed)
-
-    def close(self) -> None:
-        pass
+    def __init__(self, out: str, state: str, cfg: MatchConfig = DEFAULT, delay_ms: int = DELAY_MS, backlog: DataFrame | None = None) -> None:
+        self.sink, self.kept, self.cfg, self.backlog = Sink(out), Versions(state, delay_ms), cfg, backlog
+
+    def _due(self, since_ms: Column) -> Column:
+        return since_ms + F.lit(self.cfg.unmatched_after_s * 1000 + 1)
+
+    def waiting(self, spark: SparkSession, version: int | None, clock_ms: int) -> DataFrame:
+        """The rows (WAITING) that a version left."""
+        if version is None and self.backlog is not None:
+            rows = self.backlog.select("side", "row_id", "txn_id", "currency", "amount", epoch_us("occurred_at").alias("occurred_us"), epoch_us("received_at").alias("received_us"))
+            return rows.withColumn("due_ms", self._due(F.floor(F.col("received_us") / 1000)))
+        return self.kept.read(spark, "rows", version, WAITING).filter(F.col("due_ms") > clock_ms)
+
+    def step(self, spark: SparkSession, batch: DataFrame | None, version: int) -> None:
+        last, newest, before_ms = self.kept.before(spark, version)
+        clock = self.kept.clock_after(newest)
+        rows = self.waiting(spark, last, before_ms)
+        with scratch(spark):
+            found = None
+            if batch is not None:
+                arrived = batch.select("side", "row_id", "txn_id", "currency", "amount", "occurred_us", "received_us").withColumn("due_ms", self._due(F.greatest(F.floor(F.col("received_us") / 1000), F.lit(clock))))
+                newest = max((x for x in (newest, batch.agg(F.max("received_us")).first()[0]) if x is not None), default=None)
+                found = written(self._pairs(rows, arrived), "stream-matches")
+                rows = _less(rows.unionByName(arrived), found)
+            # rows that are due go out and are passed over when the version is read
+            rows.select(*(c.split()[0] for c in WAITING.split(", "))).write.mode("overwrite").parquet(self.kept.at("rows", version))
+            due = _lone(self.kept.read(spark, "rows", version, WAITING).filter(F.col("due_ms") <= clock))
+            self.sink(due if found is None else found.unionByName(due), version)
+        self.kept.commit(spark, version, newest, clock, "rows")
+
+    def _pairs(self, waiting: DataFrame, arrived: DataFrame) -> DataFrame:
+        """Matches of arrivals with rows that wait or arrived before them (MATCHED)."""
+        # rows that wait came before all arrivals, whatever their receipts say
+        turn = lambda rows, fresh: rows.withColumns({"fresh": F.lit(fresh), "occurred_at": _ts("occurred_us"), "received_at": _ts("received_us") if fresh else F.lit("0001-01-01").cast("timestamp_ntz")})
+        pairs = matching.classified(turn(waiting, False).unionByName(turn(arrived, True)), self.cfg, ("occurred_us", "received_us", "fresh"))
+        took = matching.assign(pairs.filter("g_fresh or l_fresh"), "arrived")
+        return took.select(
+            F.lit("match").alias("kind"), F.col("g_row_id").alias("gateway_id"), F.col("l_row_id").alias("ledger_id"), "g_amount", "l_amount", "g_occurred_us", "l_occurred_us", "g_received_us", "l_received_us",
+            F.col("rank").cast("int").alias("rank"), F.greatest("g_received_us", "l_received_us").alias("decided_us"),
+        )
+
+
+def _less(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that found does not match."""
+    taken = found.select(F.explode(F.array(F.struct(F.lit("gateway").alias("side"), F.col("gateway_id").alias("row_id")), F.struct(F.lit("ledger").alias("side"), F.col("ledger_id").alias("row_id")))).alias("t")).select("t.*")
+    return rows.join(taken, ["side", "row_id"], "left_anti")
+
+
+def _lone(rows: DataFrame) -> DataFrame:
+    """Rows that waited too long, as MATCHED rows."""
+    of = lambda s, c: F.when(F.col("side") == s, F.col(c))
+    both = lambda c: (of("gateway", c).alias(f"g_{c}"), of("ledger", c).alias(f"l_{c}"))
+    return rows.select(
+        F.col("side").alias("kind"), of("gateway", "row_id").alias("gateway_id"), of("ledger", "row_id").alias("ledger_id"), *both("amount"), *both("occurred_us"), *both("received_us"),
+        F.lit(None).cast("int").alias("rank"), (F.col("due_ms") * 1000).alias("decided_us"),
+    )
 
 
 def _ts(us: str) -> Column:
@@ -175,25 +110,19 @@ def as_results(raw: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
 
 
 def first_receipts(submissions: DataFrame) -> DataFrame:
-    """A stream of submissions (SUBMISSION) to a stream of receipts (FIRST), retries marked."""
-    timed = submissions.withColumns({"occurred_us": epoch_us("occurred_at"), "received_us": epoch_us("received_at")}).withColumn("received_ts", F.timestamp_micros("received_us"))
-    return timed.groupBy("side", "idempotency_key").transformWithState(statefulProcessor=FirstReceipt(), outputStructType=FIRST, outputMode="append", timeMode="none")
+    """A stream of submissions (SUBMISSION) to a stream of receipts (FIRST), to be read in update mode.
 
-
-def matched(receipts: DataFrame, delay: str = "10 minutes", cfg: MatchConfig = DEFAULT, backlog: DataFrame | None = None) -> DataFrame:
-    """A stream of first receipts with received_ts to the matcher's rows (MATCHED).
-
-    The stream's clock, which runs the timers, is the latest receipt less delay. Spark drops rows
-    behind the clock only where they carry its column; here that column ends at the clock, so a row
-    that comes late, however late, is matched or waits like any other.
-    backlog: receipts that a batch left pending, taken over when the stream first starts.
+    A micro-batch gives a row for each key that it brings: the first submission ever, by
+    micro-batch, receipt and id, how many there were so far, and whether the key is new.
     """
-    clocked = receipts.withColumn("clock", F.col("received_ts")).withWatermark("clock", delay)
-    keyed = clocked.select("side", "row_id", "txn_id", "amount", "currency", "occurred_us", "received_us").groupBy("txn_id", "currency")
-    start = None
-    if backlog is not None:
-        start = backlog.select("txn_id", "currency", "side", "row_id", "amount", epoch_us("occurred_at").alias("occurred_us"), epoch_us("received_at").alias("received_us")).groupBy("txn_id", "currency")
-    return keyed.transformWithState(statefulProcessor=Matcher(cfg), outputStructType=MATCHED, outputMode="append", timeMode="eventtime", initialState=start)
+    timed = submissions.withColumns({"seen": F.current_timestamp(), "occurred_us": epoch_us("occurred_at"), "received_us": epoch_us("received_at")})
+    first = F.min(F.struct("seen", "received_us", "row_id", "txn_id", "amount", "currency", "occurred_us")).alias("first")
+    kept = timed.groupBy("side", "idempotency_key").agg(first, F.count("*").alias("submissions"))
+    # in a stream the current instant is one for a micro-batch, also when that is replayed
+    return kept.select(
+        "side", "first.row_id", "idempotency_key", "first.txn_id", "first.amount", "first.currency", "first.occurred_us", "first.received_us",
+        F.timestamp_micros("first.received_us").alias("received_ts"), "submissions", (F.col("first.seen") == F.current_timestamp()).alias("is_first"),
+    )
 
 
 class Sink:
@@ -211,7 +140,7 @@ class Sink:
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state in RocksDB, which keyed processors need."""
+    """Streams that start inside keep their state in RocksDB, so that it need not fit in memory."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -230,11 +159,16 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str, check
     """
     with rocksdb(spark):
         raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-        first = first_receipts(raw).writeStream.option("checkpointLocation", f"{checkpoint}/receipts").format("parquet").option("path", f"{out}/receipts").trigger(availableNow=True).start()
+        first = first_receipts(raw).writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/receipts").foreachBatch(Sink(f"{out}/receipts")).trigger(availableNow=True).start()
         first.awaitTermination()
+        make_dir(spark, f"{out}/receipts")
         stream = spark.readStream.schema(FIRST).option("maxFilesPerTrigger", max(64, files_per_batch)).parquet(f"{out}/receipts").filter("is_first")
-        second = matched(stream, cfg=cfg, backlog=backlog).writeStream.option("checkpointLocation", f"{checkpoint}/matches").foreachBatch(Sink(f"{out}/matches")).trigger(availableNow=True).start()
-        second.awaitTermination()
+        run_to_end(spark, stream, Matcher(f"{out}/matches", state_path(checkpoint), cfg, backlog=backlog), f"{checkpoint}/matches")
+
+
+def state_path(checkpoint: str) -> str:
+    """Where run_available's matcher keeps the rows that wait."""
+    return f"{checkpoint}/waiting"
 
 
 def streamed_results(spark: SparkSession, out: str, cfg: MatchConfig = DEFAULT) -> DataFrame:
