@@ -29,6 +29,7 @@ def test_text_forms(spark):
     assert one(spark, ["5", None, "x"], lambda c: money.format_amount(c, F.lit("CHF"))) == ["5.00 CHF", "—", "x"]
     assert one(spark, [0, -999, 1500, 59_999, 90_000], times.format_skew, "long") == ["+0ms", "-999ms", "+1.50s", "+60.00s", "+1.5m"]
     assert one(spark, [500, 2048, 3 << 20], text.format_bytes, "long") == ["500 B", "2.0 KB", "3.0 MB"]
+    assert one(spark, [88_102 * 97, 1023, 1024, 1088, (1 << 20) - 1], text.format_bytes, "long") == ["8.2 MB", "1023 B", "1.0 KB", "1.1 KB", "1024.0 KB"]
     assert one(spark, ["note", " ", None], lambda c: text.resolution_text(F.lit("reason"), c)) == ["reason — note", "reason", "reason"]
     assert one(spark, [0.5, 1500.0], times.format_duration, "double") == ["0.50ms", "1.50s"]
 
