@@ -75,15 +75,18 @@ def best_counterparty(pairs: DataFrame, of: str = "gateway") -> DataFrame:
     return pairs.groupBy(me).agg(F.min(F.struct(order.alias("o"), "match_layer")).alias("b")).select(F.col(me).alias("row_id"), F.col(f"b.o.{other}").alias("partner_id"), F.col("b.match_layer").alias("match_layer"))
 
 
-def _edges(pairs: DataFrame, mode: str) -> DataFrame:
+def _edges(pairs: DataFrame, mode: str, first: str | None = None) -> DataFrame:
     """Pairs as choices of a candidate, in the order in which the matcher meets them.
 
+    first: a column of pairs that goes before the turns.
+
     ``arrived``: the later arrival chooses. ``all``: either row may choose, at its own turn.
     An edge carries its pair's other columns, so that nothing is joined back to it.
     """
     turn = lambda s: F.struct(F.col(f"{s}_received_at").alias("at"), F.lit(0 if s == "g" else 1).alias("side"), F.col(f"{s}_row_id").alias("id"))
     rest = F.struct(*(c for c in pairs.columns if c not in (*GROUP, "g_row_id", "l_row_id", "rank", "dt_us", "d_amount"))).alias("rest")
-    edge = lambda s, o: F.struct(turn(s).alias("turn"), "rank", "dt_us", "d_amount", F.col(f"{o}_row_id").alias("other"), F.col("g_row_id").alias("g"), F.col("l_row_id").alias("l"), rest)
+    ahead = [F.col(first).alias("ahead")] if first else []
+    edge = lambda s, o: F.struct(*ahead, turn(s).alias("turn"), "rank", "dt_us", "d_amount", F.col(f"{o}_row_id").alias("other"), F.col("g_row_id").alias("g"), F.col("l_row_id").alias("l"), rest)
     by_g, by_l = edge("g", "l"), edge("l", "g")
     if mode == "all":
         return pairs.select(*GROUP, F.explode(F.array(by_g, by_l)).alias("edge"))
@@ -148,9 +151,12 @@ def _settled(edges: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def assign(pairs: DataFrame, mode: str = "arrived", fold_edges: int = FOLD_EDGES) -> DataFrame:
-    """One-to-one matches: every row, in turn, takes its best partner that is still free."""
-    edges = written(_edges(pairs, mode), "edges")
+def assign(pairs: DataFrame, mode: str = "arrived", fold_edges: int = FOLD_EDGES, first: str | None = None) -> DataFrame:
+    """One-to-one matches: every row, in turn, takes its best partner that is still free.
+
+    first: a column of pairs; those with a smaller value are met before all others.
+    """
+    edges = written(_edges(pairs, mode, first), "edges")
     rest = [f.name for f in edges.schema["edge"].dataType["rest"].dataType]
     named = {"g_row_id": "g", "l_row_id": "l", "rank": "rank", "dt_us": "dt_us", "d_amount": "d_amount"}
     of = lambda c: F.col(c) if c in GROUP else F.col(f"edge.{named[c]}").alias(c) if c in named else F.col(f"edge.rest.{c}").alias(c)

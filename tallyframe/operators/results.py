@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EXCEPTION_STATUSES, MAX_SWEEP_PASSES, SWEEP_BATCH, MatchConfig
@@ -10,7 +10,6 @@ from ..functions.frames import written
 from ..functions.order import row_numbers
 from ..functions.text import match_notes, unmatched_notes
 from ..functions.times import add_us, diff_us, match_latency_ms
-from ..schemas import RESULT
 from . import matching, receipts as receipt_ops
 
 COLUMNS = ("gateway_id", "ledger_id", "status", "match_layer", "resolved_at", "match_latency_ms", "notes")
@@ -78,37 +77,30 @@ def _decided_at(matches: DataFrame, as_of: Column, cfg: MatchConfig) -> DataFram
     return match_results(matches, cfg, diff_us(F.greatest("g_received_at", "l_received_at"), as_of)).withColumn("resolved_at", as_of)
 
 
-def drain(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT, mode: str = "arrived", batch: int = SWEEP_BATCH, max_passes: int = MAX_SWEEP_PASSES) -> tuple[DataFrame, bool]:
+def drain(receipts: DataFrame, matches: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT, mode: str = "arrived", batch: int = SWEEP_BATCH, max_passes: int | None = MAX_SWEEP_PASSES) -> tuple[DataFrame, bool]:
     """(results, drained): passes over the oldest stale rows, batch of a side in each.
 
-    A pass takes its rows off the pending table, which is written anew. The passes end when
-    one finds nothing (drained) or when their number is spent; what is left stays pending.
+    A pass takes the next batch of each side, by age; a row that an earlier pass matched leaves its
+    place empty. The passes end when none is left (drained) or when their number is spent; what is
+    left stays pending. max_passes: None for as many as there are.
+
+    The passes are made at once: a pair belongs to the first pass that takes one of its rows, and
+    the greedy scan goes by pass before all else, so it meets the pairs as one pass after the other
+    would. Their number costs nothing.
     """
     waiting = written(pending(receipts, matches), "waiting")
-    done = []
-    for _ in range(max_passes):
-        due = stale(waiting, as_of, cfg)
-        batches = [oldest(due.filter(F.col("side") == s), batch) for s in ("gateway", "ledger")]
-        chosen = written(batches[0].unionByName(batches[1]), "sweep-batch")
-        if chosen.isEmpty():
-            return _union(done, receipts.sparkSession), True
-        # a chosen row may take any pending partner; a partner may be younger than the wait
-        keys = chosen.select(*matching.GROUP).distinct()
-        near = waiting.join(keys, [*matching.GROUP], "left_semi")
-        pairs = matching.classified(near, cfg)
-        mine = lambda s, c: chosen.filter(F.col("side") == s).select(F.col("row_id").alias(c), F.lit(True).alias(f"{c}_due"))  # noqa: E731, B023
-        pairs = pairs.join(mine("gateway", "g_row_id"), "g_row_id", "left").join(mine("ledger", "l_row_id"), "l_row_id", "left").filter("g_row_id_due or l_row_id_due").drop("g_row_id_due", "l_row_id_due")
-        again = written(matching.assign(pairs, mode), "rematched")
-        done.append(written(_decided_at(again, as_of, cfg).unionByName(breaks(pending(chosen, again), as_of)), "swept"))
-        waiting = written(pending(waiting.join(chosen.select("side", "row_id"), ["side", "row_id"], "left_anti"), again), "waiting")
-    return _union(done, receipts.sparkSession), False
-
-
-def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
-    out = spark.createDataFrame([], RESULT)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    late = stale(waiting, as_of, cfg)
+    per = lambda s: row_numbers(late.filter(F.col("side") == s).select("side", "row_id", "received_at"), ["received_at", "row_id"], "n")
+    numbered_rows = written(per("gateway").unionByName(per("ledger")).select("side", "row_id", F.floor((F.col("n") - 1) / batch).cast("long").alias("pass")), "sweep-passes")
+    last = numbered_rows.agg(F.max("pass")).first()[0]
+    # the pass that finds nothing is one of them
+    drained = max_passes is None or (-1 if last is None else last) + 1 < max_passes
+    if not drained:
+        numbered_rows = numbered_rows.filter(F.col("pass") < max_passes)
+    passed = written(waiting.join(numbered_rows, ["side", "row_id"], "left"), "waiting")
+    pairs = matching.classified(passed, cfg, ("pass",)).withColumn("pass", F.least("g_pass", "l_pass")).filter("pass is not null")
+    again = written(matching.assign(pairs, mode, first="pass"), "rematched")
+    return _decided_at(again, as_of, cfg).unionByName(breaks(pending(passed.filter("pass is not null"), again), as_of)), drained
 
 
 def append(kept: DataFrame, found: DataFrame) -> DataFrame:

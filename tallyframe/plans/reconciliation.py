@@ -435,7 +435,7 @@ def sweep_results(spark: SparkSession, d: str) -> DataFrame:
 def sweep_drain(spark: SparkSession, d: str) -> DataFrame:
     """Bounded passes over the oldest stale rows until none is left: what one pass settles."""
     rec = _rec(spark, d)
-    found, drained = results.drain(rec, matching.assign(matching.classified(rec)), as_of(), batch=1_000, max_passes=1_000)
+    found, drained = results.drain(rec, matching.assign(matching.classified(rec)), as_of(), batch=1_000, max_passes=None)
     assert drained
     return found
 
@@ -461,7 +461,7 @@ def sweep_rematches(spark: SparkSession, d: str) -> DataFrame:
 @query(_REMATCH_SQL)
 def sweep_drain_rematches(spark: SparkSession, d: str) -> DataFrame:
     """The same by bounded passes."""
-    found, drained = results.drain(*_some_unmet(spark, d), as_of(), batch=2_000, max_passes=1_000)
+    found, drained = results.drain(*_some_unmet(spark, d), as_of(), batch=2_000, max_passes=None)
     assert drained
     return found
 

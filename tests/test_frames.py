@@ -79,6 +79,9 @@ def test_drain_gives_what_one_pass_gives(spark):
     assert drained and whole.count() > 20 and key(parts.filter("status not like 'unm%'")) != [] and key(parts) == key(whole)
     some, drained = results.drain(rec, none, as_of, batch=2, max_passes=1)
     assert not drained and 0 < some.count() <= 4
+    # as many passes as there are rows, and each takes one row of a side
+    many, drained = results.drain(rec, none, as_of, batch=1, max_passes=None)
+    assert drained and many.count() > 20 and many.count() <= whole.count() * 2
 
 
 def test_results_are_taken_once(spark):
