@@ -23,9 +23,23 @@ def feed(results: DataFrame, receipts: DataFrame) -> DataFrame:
     """Results with what both sides say, skew and difference (ledger minus gateway)."""
     of = lambda s, p: receipts.filter(F.col("side") == s).select(F.col("row_id").alias(f"{s}_id"), *(F.col(c).alias(f"{p}_{c}") for c in ("txn_id", "currency", "amount", "occurred_at")))
     both = results.join(of("gateway", "g"), "gateway_id", "left").join(of("ledger", "l"), "ledger_id", "left")
-    keep = [c for c in ("id", "status", "match_layer", "resolved_at", "match_latency_ms", "notes") if c in results.columns]
+    return shown(both.withColumns({c: F.coalesce(f"g_{c}", f"l_{c}") for c in ("txn_id", "currency")}))
+
+
+#: What results may carry of their rows, so that a feed needs no join: see with_sides and shown.
+SIDES = ("txn_id", "currency", "g_amount", "l_amount", "g_occurred_at", "l_occurred_at")
+
+
+def with_sides(receipts: DataFrame) -> DataFrame:
+    """Receipts with SIDES: their own facts on their side, nothing on the other. Pairs have SIDES as they are."""
+    return receipts.withColumns({f"{s[0]}_{c}": F.when(F.col("side") == s, F.col(c)) for s in ("gateway", "ledger") for c in ("amount", "occurred_at")})
+
+
+def shown(both: DataFrame) -> DataFrame:
+    """The feed of results that carry SIDES."""
+    keep = [c for c in ("id", "status", "match_layer", "resolved_at", "match_latency_ms", "notes") if c in both.columns]
     return both.select(
-        *keep, "gateway_id", "ledger_id", F.coalesce("g_txn_id", "l_txn_id").alias("txn_id"), F.coalesce("g_currency", "l_currency").alias("currency"),
+        *keep, "gateway_id", "ledger_id", "txn_id", "currency",
         F.col("g_amount").alias("gateway_amount"), F.col("l_amount").alias("ledger_amount"), F.col("g_occurred_at").alias("gateway_occurred_at"), F.col("l_occurred_at").alias("ledger_occurred_at"),
         whole_ms(diff_us(F.col("g_occurred_at"), F.col("l_occurred_at"))).alias("skew_ms"), (F.col("l_amount") - F.col("g_amount")).cast("decimal(19,2)").alias("amount_delta"),
     )

@@ -15,8 +15,8 @@ from . import matching, receipts as receipt_ops
 COLUMNS = ("gateway_id", "ledger_id", "status", "match_layer", "resolved_at", "match_latency_ms", "notes")
 
 
-def match_results(matches: DataFrame, cfg: MatchConfig = DEFAULT, delay_us: Column | None = None) -> DataFrame:
-    """A result per match, decided delay_us after the later of its two rows arrived."""
+def match_results(matches: DataFrame, cfg: MatchConfig = DEFAULT, delay_us: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A result per match, decided delay_us after the later of its two rows arrived. keep: further columns of matches."""
     later = F.greatest("g_received_at", "l_received_at")
     resolved = add_us(later, delay_us) if delay_us is not None else later
     status = F.when(F.col("match_layer") == "amount_drift", "amount_drift").otherwise("matched")
@@ -24,7 +24,7 @@ def match_results(matches: DataFrame, cfg: MatchConfig = DEFAULT, delay_us: Colu
     return rows.select(
         F.col("g_row_id").alias("gateway_id"), F.col("l_row_id").alias("ledger_id"), status.alias("status"), "match_layer", "resolved_at",
         match_latency_ms(F.col("g_received_at"), F.col("l_received_at"), F.col("resolved_at")).alias("match_latency_ms"),
-        match_notes(F.col("match_layer"), F.col("dt_us"), F.col("g_amount"), F.col("l_amount"), cfg).alias("notes"),
+        match_notes(F.col("match_layer"), F.col("dt_us"), F.col("g_amount"), F.col("l_amount"), cfg).alias("notes"), *keep,
     )
 
 
@@ -44,14 +44,14 @@ def oldest(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy("received_at", "row_id").limit(limit)
 
 
-def breaks(stale_rows: DataFrame, as_of: Column) -> DataFrame:
+def breaks(stale_rows: DataFrame, as_of: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """One-sided results for rows that waited too long, with what they waited in their notes."""
     of = lambda s: F.when(F.col("side") == s, F.col("row_id"))
     us = diff_us(F.col("received_at"), as_of)
     waited = F.bround(us.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"), 0).cast("decimal(20,0)")
     return stale_rows.select(
         of("gateway").alias("gateway_id"), of("ledger").alias("ledger_id"), F.concat(F.lit("unmatched_"), "side", F.lit("_only")).alias("status"), F.lit("unmatched_sweep").alias("match_layer"),
-        as_of.alias("resolved_at"), F.greatest(F.floor(us / 1000), F.lit(0)).cast("long").alias("match_latency_ms"), unmatched_notes(waited).alias("notes"),
+        as_of.alias("resolved_at"), F.greatest(F.floor(us / 1000), F.lit(0)).cast("long").alias("match_latency_ms"), unmatched_notes(waited).alias("notes"), *keep,
     )
 
 
@@ -117,15 +117,15 @@ def append(kept: DataFrame, found: DataFrame) -> DataFrame:
     return fresh.select(*found.columns)
 
 
-def duplicates(receipts: DataFrame) -> DataFrame:
+def duplicates(receipts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Duplicate markers as results, decided when the row was first received."""
-    marked = receipt_ops.duplicate_markers(receipts, "received_at")
-    return marked.select("gateway_id", "ledger_id", "status", "match_layer", F.col("received_at").alias("resolved_at"), F.lit(0).cast("long").alias("match_latency_ms"), "notes")
+    marked = receipt_ops.duplicate_markers(receipts, "received_at", *keep)
+    return marked.select("gateway_id", "ledger_id", "status", "match_layer", F.col("received_at").alias("resolved_at"), F.lit(0).cast("long").alias("match_latency_ms"), "notes", *keep)
 
 
 def reconcile(submissions: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT, mode: str = "arrived") -> DataFrame:
     """Everything the engine decides about a feed up to as_of."""
-    rec = receipt_ops.first_receipts(submissions)
+    rec = written(receipt_ops.first_receipts(submissions), "receipts")
     matches = matching.assign(matching.classified(rec, cfg), mode)
     waiting = stale(pending(rec, matches), as_of, cfg)
     return match_results(matches, cfg).unionByName(duplicates(rec)).unionByName(breaks(waiting, as_of)).select(*COLUMNS)

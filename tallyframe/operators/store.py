@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from . import reads, results as result_ops
 
 
-def save(found: DataFrame, receipts: DataFrame, path: str) -> None:
-    """Numbers results and writes them, with their receipts' columns, to path."""
-    rows = reads.feed(result_ops.numbered(found), receipts)
-    rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+def _write(numbered: DataFrame, mode: str, path: str) -> None:
+    # numbered rows lie in runs of numbers, so that each file is sorted where it lies
+    reads.shown(numbered).sortWithinPartitions("id").write.mode(mode).parquet(path)
+
+
+def save(found: DataFrame, path: str) -> None:
+    """Numbers results that carry what their rows say (reads.SIDES) and writes them to path."""
+    _write(result_ops.numbered(found), "errorifexists", path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def add(spark: SparkSession, path: str, found: DataFrame, receipts: DataFrame) -> int:
+def add(spark: SparkSession, path: str, found: DataFrame) -> int:
     """Appends what the table may still take; how many results that were.
 
     Results whose rows have theirs already are no-ops, so a replayed batch adds none. The
@@ -34,7 +38,7 @@ def add(spark: SparkSession, path: str, found: DataFrame, receipts: DataFrame) -
     new = result_ops.numbered(result_ops.append(kept, found)).withColumn("id", F.col("id") + last)
     n = new.count()
     if n:
-        reads.feed(new, receipts).repartitionByRange("id").sortWithinPartitions("id").write.mode("append").parquet(path)
+        _write(new, "append", path)
     return n
 
 

@@ -130,12 +130,12 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """All results at AS_OF, matches decided up to 0.9 s after the later arrival."""
-    rec = _rec(spark, d)
+    """All results at AS_OF with what their rows say, matches decided up to 0.9 s after the later arrival."""
+    rec, said = reads.with_sides(written(_rec(spark, d), "receipts")), reads.SIDES
     matches = matching.assign(matching.classified(rec))
     delay = (F.col("g_row_id") * 7919 + F.col("l_row_id") * 104729) % 900001
     waiting = results.stale(results.pending(rec, matches), as_of())
-    return results.match_results(matches, DEFAULT, delay).unionByName(results.duplicates(rec)).unionByName(results.breaks(waiting, as_of()))
+    return results.match_results(matches, DEFAULT, delay, said).unionByName(results.duplicates(rec, said)).unionByName(results.breaks(waiting, as_of(), said))
 
 
 #: Results tables by session and input: written once, and read by all queries of the read path.
@@ -144,7 +144,7 @@ _TABLES: dict[tuple[str, str], str] = {}
 
 def _build(spark: SparkSession, d: str) -> str:
     path = shared_path(spark, "results-table")
-    store.save(_results(spark, d), _rec(spark, d), path)
+    store.save(written(_results(spark, d), "results"), path)
     return path
 
 
@@ -176,7 +176,7 @@ def _exceptions(numbered: DataFrame) -> DataFrame:
 @query("""select status, match_layer, count(*) as n, sum(gateway_amount)::decimal(38,2) as gateway_amount from feed group by 1, 2""", money=("gateway_amount",))
 def recon_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums by status and layer: the whole engine end to end."""
-    rows = reads.feed(_results(spark, d), _rec(spark, d))
+    rows = reads.shown(_results(spark, d))
     return rows.groupBy("status", "match_layer").agg(F.count("*").alias("n"), F.sum("gateway_amount").cast("decimal(38,2)").alias("gateway_amount"))
 
 
@@ -358,7 +358,7 @@ union all select txn_id, currency, g, l, rank, dt, da, lr, 1, l, g from cp"""
 
 
 def _contested_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = feeds.contested(spark.read.parquet(f"{d}/orders.parquet"))
+    rows = feeds.contested(feeds.spread(spark.read.parquet(f"{d}/orders.parquet")))
     return matching.classified(rows.withColumn("submissions", F.lit(1)))
 
 
@@ -413,7 +413,8 @@ def active_results_per_row(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select 'gateway' as side, g_row_id as row_id, count(*) as count from pairs group by 1, 2 having count(*) > 1")
 def one_active_result_per_row(spark: SparkSession, d: str) -> DataFrame:
-    return matching.crowded(matching.assign(_contested_pairs(spark, d))).unionByName(matching.crowded(matching.assign(_pairs(spark, d))))
+    found = lambda pairs: written(matching.assign(pairs).select("g_row_id", "l_row_id"), "matches")
+    return matching.crowded(found(_contested_pairs(spark, d))).unionByName(matching.crowded(found(_pairs(spark, d))))
 
 
 # --- sweep, exceptions, closures ----------------------------------------------------------
@@ -539,10 +540,10 @@ def result_feed(spark: SparkSession, d: str) -> DataFrame:
 def replayed_results(spark: SparkSession, d: str) -> DataFrame:
     """Two batches of results, the second with all of the first in it: each result stands once."""
     path = shared_path(spark, "replayed-table")
-    found, rec = written(_results(spark, d), "results"), _rec(spark, d)
-    store.save(found.filter("coalesce(gateway_id, ledger_id) % 3 = 1"), rec, path)
-    store.add(spark, path, found, rec)
-    store.add(spark, path, found, rec)
+    found = written(_results(spark, d), "results")
+    store.save(found.filter("coalesce(gateway_id, ledger_id) % 3 = 1"), path)
+    store.add(spark, path, found)
+    store.add(spark, path, found)
     return store.load(spark, path).select("gateway_id", "ledger_id", "status", "notes")
 
 
@@ -924,8 +925,8 @@ def csv_split_rows(spark: SparkSession, d: str) -> DataFrame:
     cells, headers = csvsplit.read_large_csv(spark, path, 64 << 10)
     row = F.substring_index(F.get("cells", F.lit(len(_HEADERS))), "\n", -1).try_cast("long")
     rows = cells.select(row.alias("line"), F.col("line").alias("number"), F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("file"), "cells", "ragged")
-    typed = csvfile.coerce(rows, headers, csvfile.guess_mapping(headers), "gateway")
-    return typed.join(rows.select("line", "number", "file", "ragged"), "line").select("file", F.col("number").alias("line"), F.col("line").alias("row"), "txn_id", "amount_minor", "currency", "occurred_ms", "reject_reason", "ragged")
+    typed = csvfile.coerce(rows, headers, csvfile.guess_mapping(headers), "gateway", keep=("number", "file", "ragged"))
+    return typed.select("file", F.col("number").alias("line"), F.col("line").alias("row"), "txn_id", "amount_minor", "currency", "occurred_ms", "reject_reason", "ragged")
 
 
 @query(_CELLS_SQL + "select line, reject_reason from n3 where reject_reason is not null order by line limit 50")

@@ -88,8 +88,8 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return kept.join(first, "file").select("file", (F.col("at") - F.col("first") + 2).alias("line"), "cells", "ragged"), headers
 
 
-def coerce(cells: DataFrame, headers: list[str], mapping: dict[str, str | None], side: str, fallback_currency: str = "INR", key_prefix: str = "") -> DataFrame:
-    """line, typed columns and reject_reason (null: accepted); the first failing rule names it."""
+def coerce(cells: DataFrame, headers: list[str], mapping: dict[str, str | None], side: str, fallback_currency: str = "INR", key_prefix: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """line, typed columns and reject_reason (null: accepted); the first failing rule names it. keep: further columns of cells."""
     cell = lambda f: F.col("cells")[headers.index(mapping[f])] if mapping[f] is not None else F.lit("")
     given = F.upper(F.trim(cell("currency")))
     raw = F.struct(
@@ -97,7 +97,7 @@ def coerce(cells: DataFrame, headers: list[str], mapping: dict[str, str | None],
         F.when(given == "", fallback_currency).otherwise(given).alias("currency"), parse_minor(cell("amount")).alias("minor"), parse_timestamp_ms(cell("timestamp")).alias("ms"),
     )
     # each value is computed once: what comes out of an array's element is not written out again
-    once = cells.select("line", F.explode(F.array(raw)).alias("v"))
+    once = cells.select("line", *keep, F.explode(F.array(raw)).alias("v"))
     v = lambda c: F.col(f"v.{c}")
     reason = (
         F.when(v("txn_id") == "", "empty transaction ID")
@@ -107,7 +107,7 @@ def coerce(cells: DataFrame, headers: list[str], mapping: dict[str, str | None],
         .when(~v("currency").rlike("^[A-Z]{3}$"), F.concat(F.lit('currency "'), v("currency"), F.lit('" is not a 3-letter ISO 4217 code')))
     )
     own = F.when(v("key") != "", v("key")).otherwise(derive_key(F.lit(side), v("txn_id"), v("minor"), v("ms"), key_prefix))
-    return once.select("line", v("txn_id").alias("txn_id"), v("minor").alias("amount_minor"), v("currency").alias("currency"), v("ms").alias("occurred_ms"), reason.alias("reject_reason"), own.alias("idempotency_key"))
+    return once.select("line", *keep, v("txn_id").alias("txn_id"), v("minor").alias("amount_minor"), v("currency").alias("currency"), v("ms").alias("occurred_ms"), reason.alias("reject_reason"), own.alias("idempotency_key"))
 
 
 def accepted(coerced: DataFrame) -> DataFrame:

@@ -17,6 +17,17 @@ from ..functions.times import add_us
 CURRENCIES = ("INR", "USD", "EUR", "GBP")
 
 
+#: Orders that one task expands to submissions.
+ORDERS_A_TASK = 250_000
+
+
+def spread(orders: DataFrame) -> DataFrame:
+    """Key, price and date of orders, over enough tasks for what each is expanded to; a count reads no column."""
+    few = orders.select("o_orderkey", "o_totalprice", "o_orderdate")
+    parts = -(-orders.count() // ORDERS_A_TASK)
+    return few.repartition(parts) if parts > 1 else few
+
+
 def _every(k: Column, n: int, r: int) -> Column:
     return F.pmod(k, F.lit(n)) == r
 
@@ -74,5 +85,5 @@ def contested(orders: DataFrame) -> DataFrame:
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return gateway_submissions(orders).unionByName(ledger_submissions(orders))
