@@ -22,6 +22,8 @@ from .csvfile import header_names, sniff_delimiter
 
 #: Splits' first states (two short keys and a bit each) that are broadcast at most.
 BROADCAST_SPLITS = 1_000_000
+#: Tasks that read the splits of a size that a caller names, about; a task takes several splits, one after the other.
+TASKS = 400
 
 
 def _after(line: Column, inside: bool, delimiter: str) -> Column:
@@ -92,12 +94,19 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @contextmanager
 def _split_size(spark: SparkSession, size: int | None) -> Iterator[None]:
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    if size:
-        spark.conf.set(name, str(size))
-    yield
-    spark.conf.set(name, before)
+    """Splits of this size; a task reads several, so that small splits are not a task each."""
+    sizes = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionNum": str(TASKS)} if size else {}
+    before = {name: spark.conf.get(name, None) for name in sizes}
+    try:
+        for name, value in sizes.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def _first_states(maps: DataFrame) -> DataFrame:
