@@ -18,6 +18,8 @@ from ..functions.times import diff_us, time_delta_us
 
 GROUP = ("txn_id", "currency")
 _FACTS = ("row_id", "amount", "occurred_at", "received_at")
+#: What an assignment reads of a pair; where only ids are asked for, edges need carry no more.
+CHOICE = (*GROUP, "g_row_id", "l_row_id", "rank", "dt_us", "d_amount", "g_received_at", "l_received_at")
 LAYER_OF_RANK = ("exact", "time_drift", "amount_drift")
 #: A stretch of the time axis is this many drift windows long.
 WINDOWS_A_STRETCH = 10
@@ -106,13 +108,14 @@ def _folded(edges: Column) -> Column:
 
 def _fold(edges: DataFrame) -> DataFrame:
     """The edges taken, where no group has more than a row may hold."""
-    listed = edges.groupBy(*GROUP).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    listed = edges.groupBy(*GROUP).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     places = F.when(F.size("edges") == 1, F.array(F.lit(0))).otherwise(_folded(F.transform("edges", lambda e: F.struct(e["g"].alias("g"), e["l"].alias("l")))))
     return listed.select(*GROUP, "edges", F.explode(places).alias("at")).select(*GROUP, F.get("edges", F.col("at")).alias("edge"))
 
 
-def _crowded_groups(edges: DataFrame, most: int) -> DataFrame:
-    return edges.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*GROUP)
+def _shared_groups(edges: DataFrame) -> DataFrame:
+    """Groups of more than one edge, and how many they have."""
+    return edges.groupBy(*GROUP).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,6 +131,9 @@ def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _settled(edges: DataFrame, most: int) -> DataFrame:
     """The edges taken of a written table of edges: small groups by the fold, others by rounds.
 
+    An edge that is alone in its group is taken as it stands. Where the other groups are few
+    enough to be broadcast, nothing is shuffled for it.
+
     Edges are totally ordered, so the greedy scan takes exactly the edges that are first at
     both of their rows, again and again. A round is two aggregations and joins on single
     rows, and takes at least the first edge of each group, so the loop ends; a group goes to
@@ -135,11 +141,18 @@ def _settled(edges: DataFrame, most: int) -> DataFrame:
     """
     done = []
     while True:
-        crowded = written(_crowded_groups(edges, most), "crowded-groups")
-        if crowded.isEmpty():
+        shared = written(_shared_groups(edges), "shared-groups")
+        crowded = shared.filter(F.col("n") > most)
+        n, n_crowded = shared.agg(F.count("*"), F.count_if(F.col("n") > most)).first()
+        if n <= BROADCAST_GROUPS:
+            done.append(edges.join(F.broadcast(shared), [*GROUP], "left_anti"))
+            edges = edges.join(F.broadcast(shared), [*GROUP], "left_semi")
+        if not n:
+            break
+        if not n_crowded:
             done.append(_fold(edges))
             break
-        if crowded.count() <= BROADCAST_GROUPS:
+        if n_crowded <= BROADCAST_GROUPS:
             crowded = F.broadcast(crowded)
         done.append(_fold(edges.join(crowded, [*GROUP], "left_anti")))
         took, left = _round(edges.join(crowded, [*GROUP], "left_semi"))

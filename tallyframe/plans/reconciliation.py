@@ -129,6 +129,11 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.classified(_rec(spark, d))
 
 
+def _taken(receipts: DataFrame) -> DataFrame:
+    """Which rows of receipts are matched, without what they say."""
+    return matching.assign(matching.classified(receipts).select(*matching.CHOICE))
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """All results at AS_OF with what their rows say, matches decided up to 0.9 s after the later arrival."""
     rec, said = reads.with_sides(written(_rec(spark, d), "receipts")), reads.SIDES
@@ -369,11 +374,11 @@ def best_counterparty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assign_contested(spark: SparkSession, d: str) -> DataFrame:
-    return matching.assign(_contested_pairs(spark, d), "arrived").select("txn_id", "currency", "g_row_id", "l_row_id")
+    return matching.assign(_contested_pairs(spark, d).select(*matching.CHOICE), "arrived").select("txn_id", "currency", "g_row_id", "l_row_id")
 
 
 def assign_contested_all(spark: SparkSession, d: str) -> DataFrame:
-    return matching.assign(_contested_pairs(spark, d), "all").select("txn_id", "currency", "g_row_id", "l_row_id")
+    return matching.assign(_contested_pairs(spark, d).select(*matching.CHOICE), "all").select("txn_id", "currency", "g_row_id", "l_row_id")
 
 
 for _f, _edges_sql in ((assign_contested, _ARRIVED), (assign_contested_all, _ALL)):
@@ -413,7 +418,7 @@ def active_results_per_row(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select 'gateway' as side, g_row_id as row_id, count(*) as count from pairs group by 1, 2 having count(*) > 1")
 def one_active_result_per_row(spark: SparkSession, d: str) -> DataFrame:
-    found = lambda pairs: written(matching.assign(pairs).select("g_row_id", "l_row_id"), "matches")
+    found = lambda pairs: written(matching.assign(pairs.select(*matching.CHOICE)).select("g_row_id", "l_row_id"), "matches")
     return matching.crowded(found(_contested_pairs(spark, d))).unionByName(matching.crowded(found(_pairs(spark, d))))
 
 
@@ -423,20 +428,20 @@ def one_active_result_per_row(spark: SparkSession, d: str) -> DataFrame:
 @query("select side, row_id, received_at from stale")
 def stale_pending(spark: SparkSession, d: str) -> DataFrame:
     rec = _rec(spark, d)
-    return results.stale(results.pending(rec, matching.assign(matching.classified(rec))), as_of()).select("side", "row_id", "received_at")
+    return results.stale(results.pending(rec, _taken(rec)), as_of()).select("side", "row_id", "received_at")
 
 
 @query("select gateway_id, ledger_id, status, match_layer, resolved_at, match_latency_ms, notes from bres")
 def sweep_results(spark: SparkSession, d: str) -> DataFrame:
     rec = _rec(spark, d)
-    return results.sweep(rec, matching.assign(matching.classified(rec)), as_of())
+    return results.sweep(rec, _taken(rec), as_of())
 
 
 @query("select gateway_id, ledger_id, status, match_layer, resolved_at, match_latency_ms, notes from bres")
 def sweep_drain(spark: SparkSession, d: str) -> DataFrame:
     """Bounded passes over the oldest stale rows until none is left: what one pass settles."""
     rec = _rec(spark, d)
-    found, drained = results.drain(rec, matching.assign(matching.classified(rec)), as_of(), batch=1_000, max_passes=None)
+    found, drained = results.drain(rec, _taken(rec), as_of(), batch=1_000, max_passes=None)
     assert drained
     return found
 
@@ -450,7 +455,7 @@ union all select gateway_id, ledger_id, status, match_layer, resolved_at, match_
 def _some_unmet(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Receipts, and their matches less those of rows whose message never came: pairs that only a sweep finds."""
     rec = written(_rec(spark, d), "receipts")
-    return rec, written(matching.assign(matching.classified(rec)).filter("g_row_id % 19 <> 4"), "matches")
+    return rec, written(_taken(rec).filter("g_row_id % 19 <> 4"), "matches")
 
 
 @query(_REMATCH_SQL)
@@ -470,7 +475,7 @@ def sweep_drain_rematches(spark: SparkSession, d: str) -> DataFrame:
 @query("""select 'gateway' as side, g_row_id as row_id, 2::bigint as count from pairs where g_row_id % 20 = 4 union all select 'ledger', l_row_id, 2 from pairs where l_row_id % 30 = 7""")
 def planted_double_results(spark: SparkSession, d: str) -> DataFrame:
     """Rows with more than one match, where second ones were planted."""
-    found = written(matching.assign(_pairs(spark, d)).select("g_row_id", "l_row_id"), "matches")
+    found = written(matching.assign(_pairs(spark, d).select(*matching.CHOICE)).select("g_row_id", "l_row_id"), "matches")
     far = 1 << 40
     planted = found.filter("g_row_id % 20 = 4").select("g_row_id", (F.col("l_row_id") + far).alias("l_row_id"))
     planted = planted.unionByName(found.filter("l_row_id % 30 = 7").select((F.col("g_row_id") + far).alias("g_row_id"), "l_row_id"))
@@ -655,7 +660,7 @@ def nearest_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
 @query("select (select count(*) from rec) as received, (select count(*) from pend) as pending, (select count(*) from stale) as overdue")
 def backlog(spark: SparkSession, d: str) -> DataFrame:
     rec = _rec(spark, d)
-    return metrics.backlog(rec, results.pending(rec, matching.assign(matching.classified(rec))), as_of(), DEFAULT.unmatched_after_s)
+    return metrics.backlog(rec, results.pending(rec, _taken(rec)), as_of(), DEFAULT.unmatched_after_s)
 
 
 @query("select status, match_layer, count(*) as n, avg(match_latency_ms) as mean_latency_ms from res group by 1, 2")
@@ -979,7 +984,7 @@ def half_up_amounts(spark: SparkSession, d: str) -> DataFrame:
 @query("select side, row_id, submissions from pend")
 def pending_receipts(spark: SparkSession, d: str) -> DataFrame:
     rec = _rec(spark, d)
-    return results.pending(rec, matching.assign(matching.classified(rec))).select("side", "row_id", "submissions")
+    return results.pending(rec, _taken(rec)).select("side", "row_id", "submissions")
 
 
 @query("select e.id, e.closed_at, e.resolution_notes, f.txn_id, f.status from exc2 e join feed f on f.id = e.result_id where e.closed_at is not null")
