@@ -31,7 +31,8 @@ def match_results(matches: DataFrame, cfg: MatchConfig = DEFAULT, delay_us: Colu
 def pending(receipts: DataFrame, matches: DataFrame) -> DataFrame:
     """Receipts without a match; a duplicate marker leaves a row pending."""
     taken = matches.select(F.lit("gateway").alias("side"), F.col("g_row_id").alias("row_id")).unionByName(matches.select(F.lit("ledger").alias("side"), F.col("l_row_id").alias("row_id")))
-    return receipts.join(taken, ["side", "row_id"], "left_anti")
+    # the id first: a sort tells rows apart by it, while there are but two sides
+    return receipts.join(taken, ["row_id", "side"], "left_anti").select(*receipts.columns)
 
 
 def stale(pending_rows: DataFrame, as_of: Column, cfg: MatchConfig = DEFAULT) -> DataFrame:
@@ -110,7 +111,7 @@ def append(kept: DataFrame, found: DataFrame) -> DataFrame:
     have theirs is left out, so a batch that is sent again adds nothing.
     """
     kind = (F.col("status") == "duplicate").alias("marker")
-    has = lambda c: kept.filter(F.col(c).isNotNull()).select(c, kind).distinct()
+    has = lambda c: kept.filter(F.col(c).isNotNull()).select(c, kind)
     fresh = found.withColumn("marker", kind)
     for c in ("gateway_id", "ledger_id"):
         fresh = fresh.join(has(c), [c, "marker"], "left_anti")

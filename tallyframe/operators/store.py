@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import written
 from . import reads, results as result_ops
 
 
@@ -35,10 +36,11 @@ def add(spark: SparkSession, path: str, found: DataFrame) -> int:
     """
     kept = load(spark, path)
     last = kept.agg(F.max("id")).first()[0] or 0
-    new = result_ops.numbered(result_ops.append(kept, found)).withColumn("id", F.col("id") + last)
+    # numbering reads its rows twice
+    new = written(result_ops.append(kept, found), "new-results")
     n = new.count()
     if n:
-        _write(new, "append", path)
+        _write(result_ops.numbered(new).withColumn("id", F.col("id") + last), "append", path)
     return n
 
 

@@ -84,7 +84,7 @@ class Matcher(Stepwise):
 def _less(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The rows that found does not match."""
     taken = found.select(F.explode(F.array(F.struct(F.lit("gateway").alias("side"), F.col("gateway_id").alias("row_id")), F.struct(F.lit("ledger").alias("side"), F.col("ledger_id").alias("row_id")))).alias("t")).select("t.*")
-    return rows.join(taken, ["side", "row_id"], "left_anti")
+    return rows.join(taken, ["row_id", "side"], "left_anti")
 
 
 def _lone(rows: DataFrame) -> DataFrame:
