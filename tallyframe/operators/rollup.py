@@ -12,17 +12,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STATS_WINDOWS
+from ..functions.frames import written
 from ..functions.order import running_totals
 from ..functions.times import add_us, diff_us, epoch_us
 
 MINUTE_US = 60_000_000
-_CELL = ("status", "match_layer", "match_latency_ms")
+CELL = ("status", "match_layer", "match_latency_ms")
 
 
 def counted(results: DataFrame) -> DataFrame:
     """minute (since 1970), status, match_layer, match_latency_ms, n."""
     minute = F.floor(epoch_us("resolved_at") / MINUTE_US).cast("long")
-    return results.groupBy(minute.alias("minute"), *_CELL).agg(F.count("*").alias("n"))
+    return results.groupBy(minute.alias("minute"), *CELL).agg(F.count("*").alias("n"))
 
 
 def keep(results: DataFrame, path: str) -> None:
@@ -41,7 +42,7 @@ def within(kept: DataFrame, results: DataFrame, window: str, as_of: Column) -> D
     first = F.ceil(start / MINUTE_US).cast("long")
     whole = kept.filter(F.col("minute") >= first)
     edge = results.filter((F.col("resolved_at") >= since) & (epoch_us("resolved_at") < first * MINUTE_US)).withColumn("n", F.lit(1).cast("long"))
-    return whole.select(*_CELL, "n").unionByName(edge.select(*_CELL, "n")).groupBy(*_CELL).agg(F.sum("n").alias("n"))
+    return whole.select(*CELL, "n").unionByName(edge.select(*CELL, "n")).groupBy(*CELL).agg(F.sum("n").alias("n"))
 
 
 def percentiles(cells: DataFrame, pcts: tuple[int, ...]) -> DataFrame:
@@ -60,7 +61,13 @@ def percentiles(cells: DataFrame, pcts: tuple[int, ...]) -> DataFrame:
 
 def stats(kept: DataFrame, results: DataFrame, exceptions: DataFrame, window: str, as_of: Column) -> DataFrame:
     """The row of reads.stats, from kept counts."""
-    cells = within(kept, results, window, as_of)
+    return summed(within(kept, results, window, as_of), exceptions, window)
+
+
+def summed(cells: DataFrame, exceptions: DataFrame, window: str) -> DataFrame:
+    """One row of counts, percentiles and rates from counts by CELL over a window."""
+    # the sums read them, and the ranks do twice
+    cells = written(cells, "cells")
     seconds, status, n = STATS_WINDOWS[window], F.col("status"), F.col("n")
     of = lambda c, name: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(name)
     sums = cells.agg(

@@ -35,3 +35,12 @@ def test_the_minute_a_window_starts_in_is_read_by_result(spark, tmp_path):
     rollup.keep(found, str(tmp_path / "minutes"))
     kept = rollup.load(spark, str(tmp_path / "minutes"))
     assert [rollup.within(kept, found, "1h", at(f"2024-01-01 01:00:{s}")).agg(F.sum("n")).first()[0] for s in ("00", "30", "59")] == [4, 3, 2]
+
+
+def test_a_scan_gathers_no_latencies_in_one_task(spark):
+    found = reconciliation._stored(spark, SF)
+    rows = reads.stats(found, found.select(F.lit(None).cast("timestamp_ntz").alias("closed_at")), "1h", reconciliation.as_of())
+    assert "percentile(" not in rows._jdf.queryExecution().executedPlan().toString()
+    near = found.filter(F.col("resolved_at") >= F.lit("2001-08-01 19:00:00").cast("timestamp_ntz")).filter("status <> 'duplicate'")
+    want = near.agg(*(F.percentile("match_latency_ms", F.lit(p / 100)) for p in (50, 95, 99))).first()
+    assert tuple(rows.select("latency_p50", "latency_p95", "latency_p99").first()) == pytest.approx(tuple(want), rel=1e-12)
