@@ -27,6 +27,8 @@ WINDOWS_A_STRETCH = 10
 FOLD_EDGES = 256
 #: Crowded groups (two short keys each) that are broadcast at most.
 BROADCAST_GROUPS = 100_000
+#: Ids that one task counts.
+IDS_A_TASK = 250_000
 
 
 def side(receipts: DataFrame, name: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -183,6 +185,10 @@ def assign_rounds(pairs: DataFrame, mode: str = "arrived") -> DataFrame:
 
 
 def crowded(matches: DataFrame) -> DataFrame:
-    """Rows with more than one match: none, ever."""
-    per = lambda s, c: matches.groupBy(F.col(c).alias("row_id")).count().filter("count > 1").select(F.lit(s).alias("side"), "row_id", "count")
+    """Rows with more than one match: none, ever. matches is counted first, so it should be a written table.
+
+    Ids are dealt out by how many there are: in bytes they are so few that one task would hold millions of them.
+    """
+    parts = max(1, -(-matches.count() // IDS_A_TASK))
+    per = lambda s, c: matches.select(F.col(c).alias("row_id")).repartition(parts, "row_id").groupBy("row_id").count().filter("count > 1").select(F.lit(s).alias("side"), "row_id", "count")
     return per("gateway", "g_row_id").unionByName(per("ledger", "l_row_id"))

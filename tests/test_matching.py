@@ -153,3 +153,11 @@ def test_join_plan_has_one_exchange_per_side(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(txn_id") == 2 and "CartesianProduct" not in plan
+
+
+def test_ids_are_counted_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(matching, "IDS_A_TASK", 100, raising=False)
+    pairs = [(i, i + 5_000) for i in range(2_000)] + [(7, 9_000)] * 40 + [(9_001, 5_011)]
+    found = matching.crowded(spark.createDataFrame(pairs, "g_row_id long, l_row_id long"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, found.collect())) == [("gateway", 7, 41), ("ledger", 5_011, 2), ("ledger", 9_000, 40)]
