@@ -1,9 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, for the pipeline.
+"""Near-duplicates for the pipeline: SimHash's index, then MinHash, give candidates; shingles verify them.
 
-Texts with the same set of shingles are one node. A node has ``BANDS`` keys, each made of
+Texts with the same set of five-word shingles are one node. Nodes whose fingerprints are equal, or
+linked by SimHash's inverted index (``simhash.links``), are the first candidates. Since texts at
+``SIMILARITY`` are often more bits apart than the index reaches, a node also has ``BANDS`` keys, each made of
 ``ROWS`` minima of its shingles' hashes (MinHash); pairs that share a key are candidates and
 are verified by the exact similarity of their sets. A pair of similarity s shares no key
-with probability (1 - s^ROWS)^BANDS: 2 in a million at ``SIMILARITY``, less above.
+with probability (1 - s^ROWS)^BANDS: 2 in a million at ``SIMILARITY``, less above. Both kinds of
+candidates go through the same exact check.
 
 A key's list is not compared pair by pair: first its members meet the list's least node,
 then, in lists where that leaves several components, the members of different components
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import spread_join, written
 from .graph import components
-from .simhash import first_of_each
+from .simhash import fingerprint, first_of_each, links as near_fingerprints
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
@@ -70,15 +73,15 @@ def _keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, node (hash of the set of shingles), keys of every document."""
+    """doc_id, text_key, node (hash of the set of shingles), keys, fp (SimHash) of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [shingles(t) for t in b["text"]]
             node = np.fromiter((_h(x.tobytes()) for x in found), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "node": node, "keys": [_keys(x) for x in found]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "node": node, "keys": [_keys(x) for x in found], "fp": np.fromiter(map(fingerprint, b["text"]), np.int64, len(b))})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, text_key long, node long, keys array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, text_key long, node long, keys array<long>, fp long")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -116,21 +119,39 @@ def _across(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, text_key, root (a node) for every document; near copies have one root."""
+def by_fingerprint(reps: DataFrame) -> DataFrame:
+    """a, b: candidate pairs of nodes (node, fp): of one fingerprint, or of two that SimHash's index links.
+
+    A fingerprint's nodes meet its least one, which stands for it in links, so there are fewer pairs than nodes and links.
+    """
+    heads = written(reps.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "fingerprint-heads")
+    same = spread_join(reps.select("fp", "node"), heads.select("fp", "head"), "fp", counts=heads.select("fp", "n")).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    of = lambda x: heads.select(F.col("fp").alias(f"{x}_fp"), F.col("head").alias(x))
+    near = written(near_fingerprints(heads.select("fp")), "fingerprint-links").select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
+    return written(same.unionByName(near.join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")), "fingerprint-pairs")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, by_minima: bool = True) -> DataFrame:
+    """doc_id, text_key, root (a node) for every document; near copies have one root.
+
+    by_minima: False for the candidates of SimHash alone.
+    """
     marked = written(marks(docs, id_col, text_col), "shingle-marks")
-    reps = written(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("keys").alias("keys")), "distinct-shingle-sets")
-    posted = reps.select("node", F.explode("keys").alias("key"))
+    reps = written(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("keys").alias("keys"), F.min_by("fp", F.struct("doc_id", "text_key")).alias("fp")), "distinct-shingle-sets")
+    near = by_fingerprint(reps.select("node", "fp"))
+    posted = reps.filter(F.lit(by_minima)).select("node", F.explode("keys").alias("key"))
     heads = written(posted.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("n")).filter("head <> last").drop("last"), "shared-heads")
     listed = written(spread_join(posted, heads.drop("n"), "key", counts=heads.select("key", "n")), "shared-keys")
-    wanted = reps.join(listed.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    met = listed.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = reps.join(met, "node", "left_semi").select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_key"))
     texts = plain.join(wanted, same).select("node", "text").dropDuplicates(["node"])
     sets = written(_sets(texts), "shingle-sets")
 
     members = listed.filter("node <> head")
-    links = written(verified(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets), "shingle-links")
+    pairs = near.unionByName(members.select(F.col("head").alias("a"), F.col("node").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = written(verified(pairs.distinct(), sets), "shingle-links")
     roots = written(components(links), "shingle-roots")
     # pairs with a list's head are settled; the rest may still join components
     placed = members.select("key", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
@@ -143,7 +164,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     more = written(met.groupBy("key", "pair").applyInPandas(_across, "a long, b long").distinct(), "shingle-links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    return spread_join(marked.drop("keys"), roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    return spread_join(marked.drop("keys", "fp"), roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,5 +49,26 @@ def test_pairs_of_similarity_four_fifths_are_joined_as_by_brute_force(spark):
     assert kept == sorted(set(want)) and 1 < len(kept) < len(texts) / 2
 
 
+def test_fingerprints_within_four_bits_give_candidates_that_are_checked(spark):
+    texts = near_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = similar.near_duplicates(docs, by_minima=False)
+    nodes = {r["node"]: r["fp"] for r in similar.marks(docs).collect()}
+    bits = lambda a, b: ((nodes[a] ^ nodes[b]) & (2**64 - 1)).bit_count()
+    pairs = [(r["a"], r["b"]) for r in similar.by_fingerprint(spark.createDataFrame(list(nodes.items()), "node long, fp long")).collect()]
+    root = {n: n for n in nodes}
+    for a, b in pairs:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {n: new if r == old else r for n, r in root.items()}
+    assert all(root[a] == root[b] for a in nodes for b in nodes if bits(a, b) <= 4)
+    groups = {}
+    for r in near.collect():
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    whole = slow_roots(texts)
+    # SimHash alone joins some of what is similar, and nothing else
+    assert all(len({whole[i] for i in g}) == 1 for g in groups.values())
+    assert len(set(whole)) < len(groups) < len(set(nodes))
+
+
 def test_empty(spark, no_docs):
     assert similar.near_duplicates(no_docs).count() == 0 and similar.one_of_each(no_docs).count() == 0
