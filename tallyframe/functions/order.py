@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,8 @@ def row_numbers(rows: DataFrame, order: list[Column | str], name: str) -> DataFr
     n = F.monotonically_increasing_id()
     known_places = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({part: F.shiftright(n, 33), at: n.bitwiseAND((1 << 33) - 1)}), "numbered")
     offsets = _before([(r[0], r[1]) for r in known_places.groupBy(part).count().collect()], 0)
-    known = rows.sparkSession.createDataFrame(offsets, f"{part} long, {before} long")
+    # as Arrow it is a local relation, which needs no call into Python
+    known = rows.sparkSession.createDataFrame(pa.table({part: pa.array([p for p, _ in offsets], pa.int64()), before: pa.array([b for _, b in offsets], pa.int64())}))
     return known_places.join(F.broadcast(known), part).withColumn(name, F.col(before) + F.col(at) + 1).drop(part, at, before)
 
 

@@ -15,8 +15,8 @@ from . import reads, results as result_ops
 
 
 def _write(numbered: DataFrame, mode: str, path: str) -> None:
-    # numbered rows lie in runs of numbers, so that each file is sorted where it lies
-    reads.shown(numbered).sortWithinPartitions("id").write.mode(mode).parquet(path)
+    # numbered rows lie in runs of numbers as they are read, so nothing is sorted again
+    reads.shown(numbered).write.mode(mode).parquet(path)
 
 
 def save(found: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import scratch, written
+from ..functions.frames import empty, scratch, small_tasks, written
 from ..functions.times import epoch_us
 from .matcher import Sink
 from .versions import Stepwise, Versions, run_to_end
@@ -40,7 +40,7 @@ class Closer(Stepwise):
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], "exception_id long")
+            return empty(spark, "exception_id long")
         return rows.filter(F.col("version") < version).select("exception_id")
 
     def step(self, spark: SparkSession, batch: DataFrame | None, version: int) -> None:
@@ -87,5 +87,6 @@ def arrivals(opened: DataFrame, requests: DataFrame) -> DataFrame:
 def run_available(spark: SparkSession, opened: str, requests: str, out: str, checkpoint: str, delay_ms: int = 600_000) -> DataFrame:
     """Decides what the two folders of Parquet files hold now, and stops; all outcomes so far."""
     rows = arrivals(spark.readStream.schema(OPENED).parquet(opened), spark.readStream.schema(REQUEST).parquet(requests))
-    run_to_end(spark, rows, Closer(out, f"{checkpoint}/closing", delay_ms), f"{checkpoint}/stream")
+    with small_tasks(spark):
+        run_to_end(spark, rows, Closer(out, f"{checkpoint}/closing", delay_ms), f"{checkpoint}/stream")
     return Sink(out).read(spark).withColumn("closed_at", F.timestamp_micros("closed_us").cast("timestamp_ntz")).drop("closed_us")

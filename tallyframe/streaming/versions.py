@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.frames import remove
+from ..functions.frames import empty, remove
 
 CLOCK = "newest_us long, clock_ms long, version long"
 
@@ -48,12 +49,12 @@ class Versions:
 
     def read(self, spark: SparkSession, what: str, version: int | None, schema: str) -> DataFrame:
         if version is None:
-            return spark.createDataFrame([], schema)
+            return empty(spark, schema)
         return spark.read.schema(schema).parquet(self.at(what, version))
 
     def commit(self, spark: SparkSession, version: int, newest_us: int | None, clock_ms: int, *what: str) -> None:
         """what: names of the tables whose older versions go."""
-        one = spark.createDataFrame([(newest_us, clock_ms)], "newest_us long, clock_ms long")
+        one = spark.range(1).select(F.lit(newest_us).cast("long").alias("newest_us"), F.lit(clock_ms).cast("long").alias("clock_ms"))
         one.coalesce(1).write.mode("overwrite").parquet(self.at("clock", version))
         last = self.before(spark, version)[0]
         for old in [v for v in self._clocks(spark) if last is not None and v < last]:
