@@ -833,8 +833,9 @@ def _compared_sql(lines: dict[str, tuple[str, ...]]) -> str:
 def _injected_and_detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(truth, detected) of all orders, the second through the whole engine."""
     planned = _plan_of_orders(spark, d)
-    found = results.reconcile(_sub(spark, d), as_of())
-    return groundtruth.totals(planned), groundtruth.detected(found)
+    with small_tasks(spark, _submitted(spark, d)):
+        found = written(groundtruth.detected(results.reconcile(_sub(spark, d), as_of())), "detected")
+        return written(groundtruth.totals(planned), "truth"), found
 
 
 @query(_compared_sql({"matched": ("matched_exact", "matched_time_drift"), "amount drift": ("amount_drift",), "unmatched": ("unmatched_gateway", "unmatched_ledger"), "duplicates": ("duplicates",)}))

@@ -22,3 +22,11 @@ def test_the_results_table_is_built_in_small_tasks(spark, monkeypatch):
     monkeypatch.setattr(reconciliation.store, "save", lambda found, path: seen.append(spark.conf.get(PARTS)))
     reconciliation._build(spark, "nowhere")
     assert seen == ["9", "9"] and spark.conf.get(PARTS) == "4"
+
+
+def test_counts_against_the_truth_are_decided_in_small_tasks(spark, monkeypatch):
+    seen, whole = [], reconciliation.results.reconcile
+    monkeypatch.setattr(reconciliation, "_submitted", lambda s, d: 9 * ROWS_A_TASK)
+    monkeypatch.setattr(reconciliation.results, "reconcile", lambda *a: seen.append(spark.conf.get(PARTS)) or whole(*a))
+    rows = reconciliation.compare_to_truth(spark, "/root/testdata/sf0.001").collect()
+    assert seen == ["9"] and len(rows) == 6 and spark.conf.get(PARTS) == "4"
