@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MatchConfig
-from ..functions.frames import make_dir, scratch, written
+from ..functions.frames import make_dir, scratch, small_tasks, written
 from ..functions.times import epoch_us
 from ..operators import matching, results as result_ops
 from ..operators.matching import layer_name
@@ -29,6 +29,8 @@ WAITING = "side string, row_id long, txn_id string, currency string, amount deci
 MATCHED = "kind string, gateway_id long, ledger_id long, g_amount decimal(18,2), l_amount decimal(18,2), g_occurred_us long, l_occurred_us long, g_received_us long, l_received_us long, rank int, decided_us long"
 FIRST = "side string, row_id long, idempotency_key string, txn_id string, amount decimal(18,2), currency string, occurred_us long, received_us long, received_ts timestamp, submissions long, is_first boolean"
 DELAY_MS = 600_000
+#: What a match says of its rows; pairs carry no more than this and what the assignment reads.
+SAID = ("g_amount", "l_amount", "g_occurred_us", "l_occurred_us", "g_received_us", "l_received_us")
 
 
 class Matcher(Stepwise):
@@ -74,7 +76,7 @@ class Matcher(Stepwise):
         # rows that wait came before all arrivals, whatever their receipts say
         turn = lambda rows, fresh: rows.withColumns({"fresh": F.lit(fresh), "occurred_at": _ts("occurred_us"), "received_at": _ts("received_us") if fresh else F.lit("0001-01-01").cast("timestamp_ntz")})
         pairs = matching.classified(turn(waiting, False).unionByName(turn(arrived, True)), self.cfg, ("occurred_us", "received_us", "fresh"))
-        took = matching.assign(pairs.filter("g_fresh or l_fresh"), "arrived")
+        took = matching.assign(pairs.filter("g_fresh or l_fresh").select(*matching.CHOICE, *SAID), "arrived")
         return took.select(
             F.lit("match").alias("kind"), F.col("g_row_id").alias("gateway_id"), F.col("l_row_id").alias("ledger_id"), "g_amount", "l_amount", "g_occurred_us", "l_occurred_us", "g_received_us", "l_received_us",
             F.col("rank").cast("int").alias("rank"), F.greatest("g_received_us", "l_received_us").alias("decided_us"),
@@ -140,14 +142,22 @@ class Sink:
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams that start inside keep their state in RocksDB, so that it need not fit in memory."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams that start inside keep their state in RocksDB, so that it need not fit in memory.
+
+    RocksDB does not count its rows, which would be a read before each write.
+    """
+    ours = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    }
+    before = {c: spark.conf.get(c, None) for c in ours}
+    for c, value in ours.items():
+        spark.conf.set(c, value)
     try:
         yield
     finally:
-        spark.conf.set(provider, before)
+        for c, value in before.items():
+            spark.conf.unset(c) if value is None else spark.conf.set(c, value)
 
 
 def run_available(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, cfg: MatchConfig = DEFAULT, files_per_batch: int = 1, backlog: DataFrame | None = None) -> None:
@@ -157,7 +167,7 @@ def run_available(spark: SparkSession, source: str, schema: str, out: str, check
     Rows of one micro-batch are put in order of receipt, so the files of one arrival should
     come in one micro-batch (files_per_batch), or in an order of their own.
     """
-    with rocksdb(spark):
+    with rocksdb(spark), small_tasks(spark):
         raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         first = first_receipts(raw).writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/receipts").foreachBatch(Sink(f"{out}/receipts")).trigger(availableNow=True).start()
         first.awaitTermination()

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
-from tallyframe.functions.frames import ROWS_A_TASK, TASK_BYTES, small_tasks
+from tallyframe.functions.frames import ROWS_A_TASK, TASK_BYTES, empty, small_tasks
 from tallyframe.plans import reconciliation
+from tallyframe.streaming import matcher
 
 SIZE, PARTS = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
 
@@ -30,3 +31,11 @@ def test_counts_against_the_truth_are_decided_in_small_tasks(spark, monkeypatch)
     monkeypatch.setattr(reconciliation.results, "reconcile", lambda *a: seen.append(spark.conf.get(PARTS)) or whole(*a))
     rows = reconciliation.compare_to_truth(spark, "/root/testdata/sf0.001").collect()
     assert seen == ["9"] and len(rows) == 6 and spark.conf.get(PARTS) == "4"
+
+
+def test_pairs_of_the_stream_carry_what_a_match_says_and_no_more(spark, tmp_path, monkeypatch):
+    seen, assign = [], matcher.matching.assign
+    monkeypatch.setattr(matcher.matching, "assign", lambda pairs, mode: seen.append(set(pairs.columns)) or assign(pairs, mode))
+    rows = empty(spark, matcher.WAITING)
+    assert matcher.Matcher(str(tmp_path / "out"), str(tmp_path / "state"))._pairs(rows, rows).count() == 0
+    assert seen == [{*matcher.matching.CHOICE, *matcher.SAID}]
